@@ -13,7 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.tables import BLANK, broadcast_if_small, materialise, sheet_key, trimmed
@@ -188,7 +188,7 @@ def alias_dictionary(spellings: DataFrame, unit_refs: DataFrame) -> DataFrame:
 
 
 # Figures. A number may be wrapped in unit marks; what is left around it is the unit's spelling.
-_NUM = r"[-−–+]?\s*(?:\d[\d.,'’" + BLANK[3:-1] + r" ]*\d|\d|\.\d+)(?:[eE][-+]?\d+)?"
+_NUM = r"[-−–+]?\s*(?:\d[\d.,'’" + BLANK[1:-1] + r" ]*\d|\d|\.\d+)(?:[eE][-+]?\d+)?"
 PLAIN = r"^\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?\s*$"
 AROUND = rf"(?s)^([^\d(\-−–+.]*)(\(?\s*{_NUM}\s*-?\)?)(\D.*)?$"
 
@@ -237,16 +237,16 @@ def line_units(lines: DataFrame, alias: DataFrame, small: int) -> DataFrame:
     """
     keys = ["workbook_id", "k", "row"]
     one = lines.filter("workbook_id is not null and sheet is not null and `row` is not null").groupBy("workbook_id", sheet_key(F.col("sheet")).alias("k"), "row").agg(
-        F.max_by(F.struct("units", "label", "section"), F.struct("loaded_at", "units", "label", "section")).alias("x")
+        F.max_by(F.struct("sheet", "units", "label", "section"), F.struct("loaded_at", "units", "label", "section")).alias("x")
     )
     units = trimmed(F.col("x.units"))
     cands = [F.when(units.isNull() | F.lower(units).isin(PLACEHOLDERS), None).otherwise(units), *text_candidates(F.col("x.label")), *text_candidates(F.col("x.section"))]
-    out = one.select(*keys, *[c.alias(f"s{i}") for i, c in enumerate(cands)])
+    out = one.select(*keys, F.col("x.sheet").alias("sheet"), *[c.alias(f"s{i}") for i, c in enumerate(cands)])
     for i in range(len(cands)):
         a = alias.select(F.col("spelling").alias(f"s{i}"), F.struct("unit_code", "common_code", "factor").alias(f"u{i}"))
         out = out.join(broadcast_if_small(a, small), f"s{i}", "left")
     unit = F.when(F.col("s0").isNotNull(), F.col("u0")).otherwise(F.coalesce(*[F.col(f"u{i}") for i in range(1, len(cands))]))
-    return out.select(*keys, unit.alias("unit"))
+    return out.select(*keys, "sheet", unit.alias("unit"))
 
 
 def spellings_of(cells: DataFrame, lines: DataFrame) -> DataFrame:
@@ -274,10 +274,13 @@ def common_quantities(cells: DataFrame, lines: DataFrame, sheets: DataFrame, uni
         F.max(F.coalesce(F.col("layout.units_col"), F.col("layout.label_col") + 1)).alias("units_col")
     )
     unit = unit.join(right, ["workbook_id", "k"], "left")
-    keys = ["workbook_id", "k", "row"]
-    flat = cells.filter("value is not null and `col` is not null").select("workbook_id", "sheet", sheet_key(F.col("sheet")).alias("k"), "row", "col", "value", "loaded_at")
-    joined = flat.join(unit, keys).filter(F.col("col") > F.coalesce("units_col", F.lit(0)))
-    newest = joined.groupBy(*keys, "col").agg(F.max_by(F.struct("sheet", "value", "unit"), F.struct("loaded_at", "value")).alias("x")).select("workbook_id", "row", "col", "x.*")
+    # one exchange and one sort serve both the choice of the newest copy and the join: a hash leads the keys
+    lead = F.xxhash64("workbook_id", "k", "row").alias("h")
+    keys = ["h", "workbook_id", "k", "row"]
+    flat = cells.filter("value is not null and `col` is not null").select("workbook_id", sheet_key(F.col("sheet")).alias("k"), "row", "col", "value", "loaded_at")
+    flat = flat.select(lead, "*").repartition(*keys)
+    newest = flat.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "col").orderBy(F.desc("loaded_at"), F.desc("value")))).filter("n = 1")
+    newest = newest.join(unit.select(lead, "*").repartition(*keys), keys).filter(F.col("col") > F.coalesce("units_col", F.lit(0)))
     number, text = cell_parts(F.col("value"))
     got = newest.withColumn("number", number).withColumn("cell_unit", text)
     own = alias.select(F.col("spelling").alias("cell_unit"), F.struct("unit_code", "common_code", "factor").alias("own"))

@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blanks in the sense of Unicode White_Space, for trimming in Java regular expressions.
-BLANK = "[\\s" + "".join(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)) + "]"
+#: Blanks in the sense of Unicode White_Space, with zero-width space and byte order mark.
+BLANKS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+#: The same as a class in Java regular expressions.
+BLANK = f"[{BLANKS}]"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,7 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 50_000) -> DataFram
 
 def trimmed(col: Column) -> Column:
     """Text without outer blanks of any kind, non-breaking ones included."""
-    return F.regexp_replace(col, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def sheet_key(col: Column) -> Column:
@@ -59,5 +61,6 @@ def sheet_key(col: Column) -> Column:
     A quoted name doubles the quotes inside it; unquoted names are left as they are but for case and blanks.
     """
     t = trimmed(col)
-    inner = F.regexp_replace(F.regexp_extract(t, r"(?s)^'(.*)'$", 1), "''", "'")
-    return F.lower(trimmed(F.when(t.rlike(r"(?s)^'.*'$"), inner).otherwise(t)))
+    quoted = t.startswith("'") & t.endswith("'") & (F.length(t) > 1)
+    inner = trimmed(F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit("''"), F.lit("'")))
+    return F.lower(F.when(quoted, inner).otherwise(t))
