@@ -31,6 +31,8 @@ ALIASES = {a: k for k, v in HEADINGS.items() for a in v}
 PLACEHOLDERS = {"", "-", "--", "–", "—", "?", "??", "n/a", "na", "n.a.", "tbc", "tbd", "none", "null", "pending", "unknown", "nil"}
 YES, NO = {"1", "1.0", "y", "yes", "true", "t", "ja", "j", "oui", "wahr"}, {"0", "0.0", "n", "no", "false", "f", "nein", "non", "falsch"}
 MONTHS = {m: i % 12 + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec jan feb mär apr mai jun jul aug sep okt nov dez".split())}
+#: Reducers of the register shuffle take about so many cells each, whatever the size of the table.
+CELLS_PER_PARTITION = 50_000
 CURRENCY = re.compile(r"(?i)(?:a\$|us\$|[$€£¥₹]|\b(?:aud|usd|eur|euro|gbp|inr|rs)\b\.?)")
 
 
@@ -139,7 +141,7 @@ def slot_registers(cells: DataFrame, partitions: int | None = None) -> DataFrame
     full address belong to no row and are left out; a null value counts as absent.
     """
     rows = cells.filter("workbook_id is not null and `row` is not null and `col` is not null and value is not null")
-    n = partitions or max(2, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    n = partitions or max(2, -(-rows.count() // CELLS_PER_PARTITION))
     flat = rows.select("workbook_id", F.col("row"), F.col("col"), F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-1)), "value").rdd
     pairs = flat.map(lambda r: ((r[0], r[1]), (r[2], r[3], r[4])))
     slots = pairs.combineByKey(lambda c: {c[0]: c[1:]}, _newest, _merged, n)
