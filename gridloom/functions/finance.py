@@ -44,9 +44,9 @@ def fiscal_year(d: Column, end_month: int) -> Column:
     return F.year(d) + F.when(F.month(d) > end_month, 1).otherwise(0)
 
 
-def decade(x: Column) -> Column:
-    """Order of magnitude of a size: 0 for 0, else the digits before the point."""
-    return F.when(x == 0, 0).otherwise((F.floor(F.log10(F.abs(x))) + 1).cast("int"))
+def decade(iso: Column) -> Column:
+    """Decade of an ISO date text, such as 2020s; null where it does not begin with a year."""
+    return F.concat(F.nullif(F.regexp_extract(iso, r"^(\d{3})\d", 1), F.lit("")), F.lit("0s"))
 
 
 def serial_day(d: Column) -> Column:

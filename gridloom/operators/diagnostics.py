@@ -15,21 +15,31 @@ def size_class(n: Column) -> Column:
 
 
 def residual_bucket(residual: Column, scale: Column) -> Column:
-    """How large a residual is beside its scale."""
-    r = F.abs(residual) / F.greatest(F.abs(scale), F.lit(1e-9))
-    return F.when(residual.isNull(), "unknown").when(residual == 0, "zero").when(r <= 1e-9, "noise").when(r <= 1e-6, "tolerance").when(r <= 1e-3, "small").when(r <= 0.05, "medium").otherwise("large")
+    """The largest residual beside the largest value it is made of, as a bucket; null where there is no residual."""
+    rel = F.abs(residual) / scale
+    out = F.when(residual.isNull(), None).when(residual == 0, "0").when(scale.isNull() | (scale == 0), "scale_zero")
+    for most, name in ((1e-9, "<1e-9"), (1e-6, "<1e-6"), (1e-3, "<1e-3"), (1e-1, "<1e-1")):
+        out = out.when(rel < most, name)
+    return out.otherwise(">=1e-1")
 
 
-def reason_codes(text: Column, codes: dict[str, str]) -> Column:
-    """Free-text reasons parted by semicolons to sorted distinct codes; what matches no pattern is ``other``."""
+#: Reason codes with the wordings that give them, in order (fixed values).
+REASONS = [
+    ("periodicity", "periodicity differs"), ("plug", "plug"), ("rejected_by_check", "binding rejected"), ("capped", "capped|stopped after"),
+    ("no_overlap", "no period with a number"), ("no_numbers", "zero|no numbers"), ("derived", "derived"), ("structure_mismatch", "not a sum|not a link"),
+    ("no_candidate", "not found|not among|too few|^no |: no "),
+]
+
+
+def reason_codes(why: Column) -> Column:
+    """The sorted distinct codes of reasons parted by "; "; what no wording fits is ``other``."""
     def code(x: Column) -> Column:
-        out = None
-        for pattern, name in codes.items():
-            hit = F.lower(x).rlike(pattern)
-            out = F.when(hit, name) if out is None else out.when(hit, name)
+        out = F.when(F.lit(False), "other")
+        for name, pattern in REASONS:
+            out = out.when(F.lower(x).rlike(pattern), name)
         return out.otherwise("other")
 
-    return F.array_sort(F.array_distinct(F.transform(F.filter(F.split(text, r"\s*;\s*"), lambda x: x != ""), code)))
+    return F.array_sort(F.array_distinct(F.transform(F.split(F.coalesce(why, F.lit("")), "; "), code)))
 
 
 def scrub_numbers(text: Column) -> Column:
@@ -48,7 +58,7 @@ def scrub_paths(text: Column) -> Column:
 
 def csv_guard(text: Column) -> Column:
     """Text that a spreadsheet would run as a formula gets a quote in front."""
-    return F.when(F.ltrim(text).rlike(r"^[=+\-@\t\r\n]"), F.concat(F.lit("'"), text)).otherwise(text)
+    return F.when(text.rlike(r"^ *[=+\-@\t\r\n]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
 def frequency(df: DataFrame, text: str, pattern: str, item: str = "item") -> DataFrame:

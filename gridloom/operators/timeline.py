@@ -27,12 +27,17 @@ def fill_down(df: DataFrame, keys: list[str], order: list[str], value: Column, o
     return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
 
+#: Names of typical gaps in days (fixed values).
+PERIODICITIES = (("daily", 1), ("weekly", 7), ("monthly", 30), ("quarterly", 91), ("half-yearly", 182), ("annual", 365))
+
+
 def periodicity(gap: Column) -> Column:
-    """Name of a typical gap in days, each band ten per cent wide on both sides."""
-    out = F.when(gap.isNull(), None)
-    for name, days in (("daily", 1), ("weekly", 7), ("monthly", 30.44), ("quarterly", 91.31), ("semi-annual", 182.62), ("annual", 365.25)):
-        out = out.when((gap >= days * 0.9) & (gap <= days * 1.1), name)
-    return out.otherwise(F.concat(gap.cast("int").cast("string"), F.lit("-day")))
+    """Name of a typical gap in days: within a day or a tenth of the named one, ``?`` if there is no gap."""
+    out = F.when(gap.isNull(), "?")
+    for name, days in PERIODICITIES:
+        out = out.when(F.abs(gap - days) <= max(1, days * 0.1), name)
+    text = F.when(gap == F.floor(gap), gap.cast("bigint").cast("string")).otherwise(gap.cast("string"))
+    return out.otherwise(F.concat(F.lit("~"), text, F.lit("-day")))
 
 
 def typical_gap(df: DataFrame, keys: list[str], when: str) -> DataFrame:
@@ -48,8 +53,8 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 
 
 def sign_runs(df: DataFrame, keys: list[str], order: str, value: str, most: int = 40) -> DataFrame:
-    """Run-length code of signs in order, such as ``+x12 0x3``, at most ``most`` runs of it."""
-    sign = F.when(F.col(value) > 0, "+").when(F.col(value) < 0, "-").otherwise("0")
+    """Run-length code of signs in order, such as ``+x12 0x3``, at most ``most`` runs of it; ``_`` stands for no value."""
+    sign = F.when(F.col(value).isNull(), "_").when(F.col(value) > 0, "+").when(F.col(value) < 0, "-").otherwise("0")
     w = Window.partitionBy(*keys).orderBy(order)
     marked = df.select(*keys, order, sign.alias("_s")).withColumn("_new", F.when(F.lag("_s").over(w) == F.col("_s"), 0).otherwise(1))
     numbered = marked.withColumn("_r", F.sum("_new").over(w))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.finance import as_rate, fiscal_year, serial_day, yearfrac
+from gridloom.functions.finance import as_rate, decade, fiscal_year, serial_day, yearfrac
 from gridloom.operators import cashflow, diagnostics, graphs, identities, relational, timeline
 from gridloom.tables import read
 
@@ -82,8 +82,8 @@ def census_by_sheet(t: Tables) -> DataFrame:
 
 @query("""WITH m AS (SELECT DISTINCT c_mktsegment s, CAST(o_orderdate AS DATE) d FROM orders JOIN customer ON o_custkey = c_custkey),
     g AS (SELECT s, date_diff('day', d, lead(d) OVER (PARTITION BY s ORDER BY d)) gap FROM m), q AS (SELECT s, median(gap) gap FROM g GROUP BY 1)
-    SELECT s AS segment, gap, CASE WHEN gap BETWEEN 0.9 AND 1.1 THEN 'daily' WHEN gap BETWEEN 6.3 AND 7.7 THEN 'weekly' WHEN gap BETWEEN 27.396 AND 33.484 THEN 'monthly'
-    WHEN gap BETWEEN 82.179 AND 100.441 THEN 'quarterly' WHEN gap BETWEEN 164.358 AND 200.882 THEN 'semi-annual' WHEN gap BETWEEN 328.725 AND 401.775 THEN 'annual' ELSE CAST(CAST(floor(gap) AS INT) AS VARCHAR) || '-day' END AS name FROM q""")
+    SELECT s AS segment, gap, CASE WHEN gap IS NULL THEN '?' WHEN abs(gap - 1) <= 1 THEN 'daily' WHEN abs(gap - 7) <= 1 THEN 'weekly' WHEN abs(gap - 30) <= 3 THEN 'monthly' WHEN abs(gap - 91) <= 9.1 THEN 'quarterly'
+    WHEN abs(gap - 182) <= 18.2 THEN 'half-yearly' WHEN abs(gap - 365) <= 36.5 THEN 'annual' ELSE '~' || CAST(CAST(gap AS BIGINT) AS VARCHAR) || '-day' END AS name FROM q""")
 def periodicity(t: Tables) -> DataFrame:
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("segment"), F.to_date("o_orderdate").alias("d"))
     return timeline.typical_gap(o, ["segment"], "d").withColumn("name", timeline.periodicity(F.col("gap")))
@@ -729,18 +729,23 @@ def size_class(t: Tables) -> DataFrame:
     return t.line_items.groupBy("workbook_id").agg(F.sum("n_formula").alias("n_formula")).withColumn("size", diagnostics.size_class(F.col("n_formula")))
 
 
-@query("""WITH x AS (SELECT c_custkey, c_acctbal d, abs(c_acctbal) + 1000 * (c_custkey % 1000) s FROM customer) SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN d IS NULL THEN 'unknown' WHEN d = 0 THEN 'zero' WHEN r <= 1e-9 THEN 'noise' WHEN r <= 1e-6 THEN 'tolerance' WHEN r <= 1e-3 THEN 'small' WHEN r <= 0.05 THEN 'medium' ELSE 'large' END bucket
-    FROM (SELECT d, abs(d) / greatest(abs(s), 1e-9) r FROM x)) GROUP BY 1""")
+@query("""WITH x AS (SELECT c_custkey, c_acctbal d, abs(c_acctbal) * (c_custkey % 1000) s FROM customer) SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN d = 0 THEN '0' WHEN s = 0 THEN 'scale_zero' WHEN abs(d) / s < 1e-9 THEN '<1e-9' WHEN abs(d) / s < 1e-6 THEN '<1e-6' WHEN abs(d) / s < 1e-3 THEN '<1e-3'
+    WHEN abs(d) / s < 1e-1 THEN '<1e-1' ELSE '>=1e-1' END bucket FROM x) GROUP BY 1""")
 def residual_bucket(t: Tables) -> DataFrame:
-    s = F.abs("c_acctbal") + 1000 * (F.col("c_custkey") % 1000)
+    s = F.abs("c_acctbal") * (F.col("c_custkey") % 1000)
     return t.customer.groupBy(diagnostics.residual_bucket(F.col("c_acctbal"), s).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH x AS (SELECT o_orderkey, [lower(o_orderpriority), CASE WHEN o_orderstatus = 'F' THEN 'order is final' ELSE 'status ' || lower(o_orderstatus) END] a FROM orders)
-    SELECT o_orderkey, array_to_string(list_sort(list_distinct([CASE WHEN contains(v, 'urgent') THEN 'urgent' WHEN contains(v, 'final') THEN 'final' ELSE 'other' END FOR v IN a])), ',') AS codes FROM x""")
+@query("""WITH x AS (SELECT o_orderkey, ['row not found', CASE o_orderstatus WHEN 'F' THEN 'stopped after 80 rows' WHEN 'O' THEN 'periodicity differs' ELSE lower(o_orderpriority) END] a FROM orders)
+    SELECT o_orderkey, array_to_string(list_sort(list_distinct([CASE WHEN contains(v, 'periodicity differs') THEN 'periodicity' WHEN contains(v, 'stopped after') THEN 'capped' WHEN contains(v, 'not found') THEN 'no_candidate' ELSE 'other' END FOR v IN a])), ',') AS codes FROM x""")
 def reason_codes(t: Tables) -> DataFrame:
-    text = F.concat("o_orderpriority", F.lit("; "), F.when(F.col("o_orderstatus") == "F", "order is final").otherwise(F.concat(F.lit("status "), F.col("o_orderstatus"))))
-    return t.orders.select("o_orderkey", F.array_join(diagnostics.reason_codes(text, {"urgent": "urgent", "final": "final"}), ",").alias("codes"))
+    text = F.concat(F.lit("row not found; "), F.when(F.col("o_orderstatus") == "F", "stopped after 80 rows").when(F.col("o_orderstatus") == "O", "periodicity differs").otherwise(F.col("o_orderpriority")))
+    return t.orders.select("o_orderkey", F.array_join(diagnostics.reason_codes(text), ",").alias("codes"))
+
+
+@query("SELECT left(CAST(o_orderdate AS VARCHAR), 3) || '0s' AS decade, count(*) AS n FROM orders GROUP BY 1")
+def decades(t: Tables) -> DataFrame:
+    return t.orders.groupBy(decade(F.col("o_orderdate").cast("string")).alias("decade")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- extensions over the event stream, no reference parity
