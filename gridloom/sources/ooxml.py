@@ -153,6 +153,11 @@ def load_workbooks(spark: SparkSession, folder: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xls[xm]").load(folder)
     files = files.filter(~F.col("path").rlike(r"/~\$[^/]*$")).withColumn("workbook_id", F.concat(F.lit("W"), F.substring(F.sha2("content", 256), 1, 12)))
+    return parse_files(files.dropDuplicates(["workbook_id"]).select("content", "workbook_id"))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """Records of files given as (content, workbook_id); they leave a task in batches of 50,000."""
     kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "date": pa.date32()}
     fields = [c.replace("`", "").split(" ") for c in RECORD.split(", ")]
     schema = pa.schema([(n, kinds[t]) for n, t in fields])
@@ -171,7 +176,7 @@ def load_workbooks(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append({"kind": "error", "workbook_id": wb.as_py(), "value": f"{type(e).__name__}: {e}"})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.dropDuplicates(["workbook_id"]).select("content", "workbook_id").mapInArrow(run, RECORD)
+    return files.mapInArrow(run, RECORD)
 
 
 def split_records(records: DataFrame) -> dict[str, DataFrame]:
