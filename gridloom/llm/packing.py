@@ -72,8 +72,10 @@ def pack_documents(counts: DataFrame, packs: DataFrame, per_shard: int = ITEMS_P
     at least one token are left out. ``packs`` is the fixed list of container kinds.
     """
     kinds = packs.select(F.col("pack_id").cast("int").alias("pack_id"), F.col("capacity_tokens").cast("int").alias("capacity")).filter("capacity > 0").dropDuplicates(["pack_id"])
+    sizes = [(r.pack_id, r.capacity) for r in kinds.orderBy("pack_id").collect()]
     docs = materialise(counts.filter("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.max("n_tokens"), F.lit(0)).alias("n")))
-    each = docs.crossJoin(F.broadcast(kinds))  # some kinds of container, a fixed small table
+    every = F.array(*[F.struct(F.lit(p).alias("pack_id"), F.lit(c).alias("capacity")) for p, c in sizes]) if sizes else F.array().cast("array<struct<pack_id:int,capacity:int>>")
+    each = docs.select("doc_id", "n", F.explode(every).alias("k")).select("doc_id", "n", "k.*")
     empty = each.filter("n = 0").select("pack_id", "doc_id", F.lit(0).alias("piece_no"), F.lit(0).alias("tokens"), F.lit(None).cast("string").alias("container"))
     full = each.filter("n >= capacity").select("pack_id", "doc_id", "capacity", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / F.col("capacity")).cast("int") - 1)).alias("piece_no"))
     full = full.select("pack_id", "doc_id", "piece_no", F.col("capacity").alias("tokens"), F.concat(F.lit("f"), "doc_id", F.lit("."), "piece_no").alias("container"))
