@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.tables import materialise, sheet_key, trimmed
+from gridloom.tables import materialise, new_folder, sheet_key, trimmed
 
 SEP = " > "
 
@@ -18,18 +18,20 @@ SEP = " > "
 def _levels(start: DataFrame, children: DataFrame) -> DataFrame:
     """Frontier rounds: ``start`` has grp, node, path (array); each round joins the frontier with its children.
 
-    A round's frontier is written to the shared folder, so lineage stays one join deep whatever the depth. Rounds
-    are as many as the deepest tree has levels, and every node enters the frontier once.
+    A round's frontier is a folder of the shared folder, so lineage stays one join deep whatever the depth, and all
+    rounds are read back by one scan. Rounds are as many as the deepest tree has levels; every node enters once.
     """
-    frontier = materialise(start)
-    reached = frontier
+    spark, at, level = start.sparkSession, new_folder(start.sparkSession), 0
+    schema = start.select("grp", "node", "path").schema
     step = children.select("grp", F.col("parent").alias("node"), F.col("node").alias("child"))
+    start.select("grp", "node", "path").write.parquet(f"{at}/level=0")
     while True:
-        grown = frontier.join(step, ["grp", "node"]).select("grp", F.col("child").alias("node"), F.array_append("path", F.col("child")).alias("path"))
-        frontier = materialise(grown)
+        frontier = spark.read.schema(schema).parquet(f"{at}/level={level}")
         if frontier.isEmpty():
-            return reached
-        reached = reached.unionByName(frontier)
+            return spark.read.schema(schema).parquet(*[f"{at}/level={n}" for n in range(max(1, level))])
+        level += 1
+        grown = frontier.join(step, ["grp", "node"]).select("grp", F.col("child").alias("node"), F.array_append("path", F.col("child")).alias("path"))
+        grown.write.parquet(f"{at}/level={level}")
 
 
 def hierarchy(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -37,12 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, not made yet."""
+    return f"{shared_dir(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    at = new_folder(df.sparkSession)
     (df if partitions is None else df.coalesce(partitions)).write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 50_000) -> DataFrame:
