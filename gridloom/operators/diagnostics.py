@@ -79,14 +79,33 @@ def grams(df: DataFrame, keys: list[str], words: Column, sizes: list[int]) -> Da
     return w.select(*keys, F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("gram"))
 
 
+#: Up to so many different first words the positions of candidates are found by a set in the expression itself.
+FIRST_WORDS = 5_000
+
+
 def leak_hits(df: DataFrame, keys: list[str], words: Column, forbidden: DataFrame) -> DataFrame:
-    """Forbidden phrases (column ``phrase``, lower case, at most 12 words) that occur in each text: keys, phrase.
+    """Forbidden phrases (column ``phrase``, lower case) that occur in each text as whole words: keys, phrase.
 
-    Only n-grams of sizes that occur among the phrases are made; longer phrases are found by their first 12 words.
+    Only positions whose word begins a phrase are looked at, and only grams as long as some phrase are joined; phrases
+    of more than 12 words are found by their first 12. A list with very many first words is joined gram by gram.
     """
-    phrases = forbidden.select(F.array_join(F.slice(F.split("phrase", " "), 1, MAX_GRAM), " ").alias("gram"), "phrase").distinct()
+    phrases = forbidden.select(F.array_join(F.slice(F.split("phrase", " "), 1, MAX_GRAM), " ").alias("gram"), "phrase").filter("gram <> ''").distinct()
     sizes = sorted(r[0] for r in phrases.select(F.size(F.split("gram", " "))).distinct().collect())
-    return grams(df, keys, words, sizes).join(phrases, "gram").select(*keys, "phrase").distinct()
+    if not sizes:
+        return df.select(*keys, F.lit(None).cast("string").alias("phrase")).limit(0)
+    first = phrases.select(F.split_part("gram", F.lit(" "), F.lit(1)).alias("w")).distinct()
+    if first.count() > FIRST_WORDS:
+        found = grams(df, keys, words, sizes)
+    else:
+        begins = sorted(r[0] for r in first.collect())
+        w = df.select(*keys, words.alias("_w"))
+        at = F.filter(F.transform("_w", lambda x, i: F.when(x.isin(begins), i + 1)), lambda p: p.isNotNull())
+
+        def here(p: Column) -> Column:
+            return F.array(*[F.when(p + (n - 1) <= F.size("_w"), F.array_join(F.slice("_w", p, F.lit(n)), " ")) for n in sizes])
+
+        found = w.select(*keys, F.explode(F.array_compact(F.array_distinct(F.flatten(F.transform(at, here))))).alias("gram"))
+    return found.join(phrases, "gram").select(*keys, "phrase").distinct()
 
 
 def gate(df: DataFrame, keys: list[str], text: str, hits: DataFrame) -> DataFrame:

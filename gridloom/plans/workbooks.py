@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import dependencies, rowmap, statements, valuation
+from gridloom.operators import dependencies, review, rowmap, statements, valuation
 from gridloom.plans.catalog import Tables, live_cells
 from gridloom.tables import materialise
 
@@ -81,11 +81,38 @@ def valuation_catalogue(t: Tables) -> DataFrame:
     return valuation.catalogue(c, lines, lay, t.defined_names.select("workbook_id", "name", "ref").dropna())
 
 
+def stale_cells(t: Tables) -> DataFrame:
+    return review.stale_cells(_cells(t))
+
+
+def candidate_rates(t: Tables) -> DataFrame:
+    c, lay, lines = _mapped(t)
+    return review.candidate_cells(c, lines, lay, t.defined_names.select("workbook_id", "name", "ref").dropna(), "rate")
+
+
+def classified_rows(t: Tables) -> DataFrame:
+    """Lines with their class; what only a traced valuation can tell is left open."""
+    c, lay, lines = _mapped(t)
+    head = lay.filter("header_row is not null").select("workbook_id", "sheet", F.col("header_row").alias("row"), F.lit(True).alias("is_timeline_row"))
+    dates = review.date_valued(c, lay).withColumn("is_dates", F.lit(True))
+    keys = ["workbook_id", "sheet", "row"]
+    return review.classify(lines.join(head, keys, "left").join(dates, keys, "left")).select(*keys, "label", "class", "subclass", "rule")
+
+
+def table_summaries(t: Tables) -> DataFrame:
+    return review.table_summaries(_cells(t))
+
+
+def anonymised_formulas(t: Tables) -> DataFrame:
+    names = t.defined_names.select("workbook_id", "name").dropna()
+    return review.anonymise(t.cells.select("workbook_id", "formula"), t.sheets.select("workbook_id", "sheet", "sheet_pos"), names)
+
+
 def _query(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: f(Tables(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
-    for f in (layout_detect, row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, identity_results, valuation_catalogue)
+    for f in (layout_detect, row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, identity_results, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
 }
