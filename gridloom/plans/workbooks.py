@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import dependencies, review, rowmap, statements, valuation
+from gridloom.operators import dependencies, review, rowmap, statements, threeway, valuation
 from gridloom.plans.catalog import Tables, live_cells
 from gridloom.tables import materialise
 
@@ -76,6 +76,33 @@ def identity_results(t: Tables) -> DataFrame:
     return statements.identity_results(bound, statements.many_bindings(bound, tt), statements.row_values(c, lay))
 
 
+def _roles(t: Tables) -> DataFrame:
+    c, lay, lines = _mapped(t)
+    kinds = materialise(statements.structure(_terms(c)))
+    return materialise(threeway.role_values(statements.label_bindings(lines, kinds), statements.row_values(c, lay)))
+
+
+def statement_lines(t: Tables) -> DataFrame:
+    return threeway.statements(_roles(t))
+
+
+def statement_checks(t: Tables) -> DataFrame:
+    return threeway.checks(materialise(threeway.statements(_roles(t))))
+
+
+def statement_years(t: Tables) -> DataFrame:
+    return threeway.by_year(threeway.statements(_roles(t)))
+
+
+def statement_modes(t: Tables) -> DataFrame:
+    return threeway.modes(threeway.statements(_roles(t)))
+
+
+def statement_residuals(t: Tables) -> DataFrame:
+    roles = _roles(t)
+    return threeway.residual_components(materialise(threeway.statements(roles)), roles)
+
+
 def valuation_catalogue(t: Tables) -> DataFrame:
     c, lay, lines = _mapped(t)
     return valuation.catalogue(c, lines, lay, t.defined_names.select("workbook_id", "name", "ref").dropna())
@@ -114,5 +141,5 @@ def _query(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], Da
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
-    for f in (layout_detect, row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, identity_results, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
+    for f in (layout_detect, row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, identity_results, statement_lines, statement_checks, statement_years, statement_modes, statement_residuals, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
 }
