@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,34 @@ def tied_rows(values: DataFrame, keys: list[str], row: str, period: str, value:
     return out.withColumn("sign", F.when(F.col("flipped") == first, 1).otherwise(-1)).select(*keys, row, "class_row", "sign", "n_rows")
 
 
+def value_triples(values: DataFrame, keys: list[str], row: str, period: str, value: str, pool: int = 80) -> DataFrame:
+    """Triples a = b + c (signs of b and c free) that hold in every period among each key's rows: keys, a, b, c, signs.
+
+    The pool is a key's ``pool`` largest moving rows, part of the definition: the balance sheet's totals are sought,
+    not every coincidence. Pairs are made inside one task over at most ``pool`` rows and only triples leave it.
+    """
+    sizes = values.groupBy(*keys, row).agg(F.max(F.abs(value)).alias("_s"), (F.max(value) - F.min(value)).alias("_d"), F.count(value).alias("_n")).filter((F.col("_s") > ABS) & (F.col("_d") > ABS))
+    kept = sizes.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_s"), row))).filter(F.col("_k") <= pool).select(*keys, row)
+    rows = values.join(kept, [*keys, row]).filter(F.col(value).isNotNull()).select(*keys, row, period, value)
+    kinds = {f.name: f.dataType.simpleString() for f in values.schema}
+    out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], *[f"{x} {kinds[row]}" for x in "abc"], "sign_b int", "sign_c int", "n_periods int"])
+
+    def find(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index=row, columns=period, values=value, aggfunc="first")
+        full = wide.dropna()
+        v, ids = full.to_numpy(), full.index.to_list()
+        tol = np.maximum(ABS, REL * np.abs(v).max(axis=1)) if len(v) else np.zeros(0)
+        got = []
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids)):
+                for sb, sc in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
+                    near = np.flatnonzero((np.abs(v - (sb * v[i] + sc * v[j])) <= tol[:, None]).all(axis=1))
+                    got += [(*k, ids[a], ids[i], ids[j], sb, sc, v.shape[1]) for a in near if a not in (i, j)]
+        return pd.DataFrame(got, columns=[*keys, "a", "b", "c", "sign_b", "sign_c", "n_periods"])
+
+    return rows.groupBy(*keys).applyInPandas(find, out)
+
+
 def pattern_breaks(df: DataFrame, keys: list[str], order: str, is_formula: Column, least: int = 6) -> DataFrame:
     """The first typed value inside a row of at least ``least`` formulas; one before the first formula is its seed."""
     w = Window.partitionBy(*keys)
