@@ -82,9 +82,11 @@ def plan_shards(loads: DataFrame, keys: Sequence[str], tasks: int) -> ShardPlan:
 
 
 def _placed(df: DataFrame, plan: ShardPlan) -> DataFrame:
-    """Adds ``shard_tasks`` (null for light keys) and the bin's task; ``heavy`` is bounded by ``plan.tasks`` rows."""
-    bins = F.array(*[F.lit(x) for x in plan.bins])
-    out = df.withColumn("_key", key_of(plan.keys)).withColumn("_bin", F.element_at(bins, F.pmod("_key", F.lit(len(plan.bins))).cast("int") + 1))
+    """Adds ``shard_tasks`` (null for light keys) and the bin's task. Both tables joined are bounded by the plan:
+    at most ``tasks`` heavy keys and 16 bins a task."""
+    spark = df.sparkSession
+    bins = spark.createDataFrame([(b, t) for b, t in enumerate(plan.bins)], "_b int, _bin int")
+    out = df.withColumn("_key", key_of(plan.keys)).withColumn("_b", F.pmod("_key", F.lit(len(plan.bins))).cast("int")).join(F.broadcast(bins), "_b").drop("_b")
     return out.join(F.broadcast(plan.heavy), F.col("_key") == F.col("heavy_key"), "left").drop("heavy_key")
 
 
