@@ -7,8 +7,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.tables import materialise
+from gridloom.tables import materialise, new_folder
 
 
 def closure(seeds: DataFrame, edges: DataFrame, key: str = "grp", depth: int | None = None, budget: int | None = None, stop: DataFrame | None = None) -> DataFrame:
@@ -20,24 +21,28 @@ def closure(seeds: DataFrame, edges: DataFrame, key: str = "grp", depth: int | N
     """
     links = materialise(edges.select(key, "src", "dst").filter("src <> dst").distinct())
     weight = links.groupBy(key, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_w")) if budget is not None else None
-    frontier = materialise(seeds.select(key, "node").distinct().withColumn("depth", F.lit(0)))
-    seen, level = frontier, 0
+    spark, at, level = edges.sparkSession, new_folder(edges.sparkSession), 0
+    first = seeds.select(key, "node").distinct()
+    schema = first.schema
+    first.write.parquet(f"{at}/level=0")
+    known = lambda n: spark.read.schema(schema).parquet(*[f"{at}/level={i}" for i in range(n)])
+    step = links.withColumnRenamed("src", "node")
     while depth is None or level < depth:
-        level += 1
-        step = links.withColumnRenamed("src", "node")
-        nxt = frontier.select(key, "node").join(step, [key, "node"]).select(key, F.col("dst").alias("node")).distinct()
-        nxt = nxt.join(seen.select(key, "node"), [key, "node"], "left_anti")
+        frontier, seen = spark.read.schema(schema).parquet(f"{at}/level={level}"), known(level + 1)
+        nxt = frontier.join(step, [key, "node"]).select(key, F.col("dst").alias("node")).distinct()
+        nxt = nxt.join(seen, [key, "node"], "left_anti")
         if stop is not None:
             nxt = nxt.join(stop.select(key, "node"), [key, "node"], "left_anti")
         if budget is not None:
             room = seen.groupBy(key).agg((F.lit(budget) - F.count(F.lit(1))).alias("_room"))
             w = Window.partitionBy(key).orderBy(F.desc(F.coalesce("_w", F.lit(0))), "node")
             nxt = nxt.join(weight, [key, "node"], "left").withColumn("_n", F.row_number().over(w)).join(room, key).filter("_n <= _room").select(key, "node")
-        frontier = materialise(nxt.withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+        nxt.select(key, "node").write.parquet(f"{at}/level={level + 1}")
+        if spark.read.schema(schema).parquet(f"{at}/level={level + 1}").isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        level += 1
+    # one scan of all rounds; the folder of a round is its depth
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("level", T.IntegerType())])).parquet(at).withColumnRenamed("level", "depth")
 
 
 def hidden_by(full: DataFrame, shown: DataFrame, key: str, group: Sequence[str]) -> DataFrame:
