@@ -154,9 +154,9 @@ def label_bindings(lines: DataFrame, kinds: DataFrame) -> DataFrame:
     here = F.coalesce(F.lower("sheet").rlike("(?i)") & F.expr("lower(sheet) rlike pattern"), F.lit(False))
     scored = hit.withColumn("pattern", _block_sheet(F.col("block"))).withColumn("here", here)
     exact = F.length("label")
-    single = scored.filter(~F.col("role").endswith("*") & F.col("here"))
+    single = scored.filter(~F.col("role").endswith("*"))
     return single.groupBy("workbook_id", "role", "block").agg(
-        F.max_by(F.struct("sheet", "row", "label"), F.struct(F.coalesce(F.col("kind").isin("subtotal", "consolidation"), F.lit(False)), -exact, -F.col("row"))).alias("x")
+        F.max_by(F.struct("sheet", "row", "label"), F.struct("here", F.coalesce(F.col("kind").isin("subtotal", "consolidation"), F.lit(False)), -exact, -F.col("row"), "sheet")).alias("x")
     ).select("workbook_id", "role", "block", "x.*", F.lit("label").alias("bound_by"))
 
 

@@ -90,3 +90,12 @@ def test_identities(tables, kw, want):
     assert got["debt_roll"].status == "holds" and got["cf_net"].status == "unbound" and got["pnl_ebitda"].convention == (1 if kw.get("negative", True) else -1)
     if kw.get("broken"):
         assert got["bs_balance"].max_residual == pytest.approx(7.0)
+
+
+def test_labels_bind_on_sheets_of_any_name(spark):
+    lines = spark.createDataFrame(
+        [("w", "Funding", 4, "Total sources"), ("w", "Funding", 9, "Total uses"), ("w", "Works", 5, "Total capex"), ("w", "Alpha", 3, "Revenue"), ("w", "PnL", 8, "Revenue")], "workbook_id string, sheet string, `row` int, label string")
+    kinds = spark.createDataFrame([("w", "Alpha", 3, "subtotal", 2)], "workbook_id string, sheet string, `row` int, kind string, n_terms int")
+    got = {r.role: (r.sheet, r.row) for r in label_bindings(lines, kinds).collect()}
+    assert got["sources"] == ("Funding", 4) and got["uses"] == ("Funding", 9) and got["capex_total"] == ("Works", 5)
+    assert got["revenue"] == ("PnL", 8)  # a sheet named like the block still goes first, even before a total elsewhere
