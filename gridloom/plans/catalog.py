@@ -268,7 +268,7 @@ def closure_budget(t: Tables) -> DataFrame:
 def cone_share(t: Tables) -> DataFrame:
     g = sheet_graph(t)
     every = g.select("grp", F.explode(F.array("src", "dst")).alias("s")).groupBy("grp").agg(F.countDistinct("s").alias("n"))
-    cone = _from_inputs(t, depth=6).groupBy("grp").agg(F.count(F.lit(1)).alias("n_cone"), F.max("depth").alias("max_depth"))
+    cone = _from_inputs(t).groupBy("grp").agg(F.count(F.lit(1)).alias("n_cone"), F.max("depth").alias("max_depth"))
     return cone.join(every, "grp").select("grp", "n_cone", "max_depth", r(F.col("n_cone") / F.col("n"), 6).alias("share"))
 
 
