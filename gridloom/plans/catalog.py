@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.finance import as_rate, decade, fiscal_year, serial_day, yearfrac
 from gridloom.operators import cashflow, diagnostics, graphs, identities, relational, timeline
-from gridloom.tables import read
+from gridloom.tables import read, sheet_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,8 +128,18 @@ def sample_topk(t: Tables) -> DataFrame:
 E1 = "e AS (SELECT DISTINCT edge_id, workbook_id, src_sheet, src_row, dst_sheet, dst_row, lower(trim(kind)) AS kind FROM edges)"
 
 
+def one_spelling(t: Tables, e: DataFrame) -> DataFrame:
+    """Edges with every sheet written as in ``sheets`` (newest delivery), else by its key: names agree whatever their case, outer blanks and quotes."""
+    named = t.sheets.select("workbook_id", "sheet", sheet_key(F.col("sheet")).alias("k"), "loaded_at").filter("workbook_id is not null and sheet is not null")
+    names = named.groupBy("workbook_id", "k").agg(F.max_by("sheet", F.struct("loaded_at", "sheet")).alias("name"))
+    for c in ("src_sheet", "dst_sheet"):
+        e = e.withColumn("k", sheet_key(F.col(c))).join(names, ["workbook_id", "k"], "left").withColumn(c, F.coalesce("name", "k")).drop("k", "name")
+    return e
+
+
 def edges_once(t: Tables) -> DataFrame:
-    return t.edges.select("edge_id", "workbook_id", "src_sheet", "src_row", "dst_sheet", "dst_row", F.lower(F.trim("kind")).alias("kind")).distinct()
+    e = t.edges.select("edge_id", "workbook_id", "src_sheet", "src_row", "dst_sheet", "dst_row", F.lower(F.trim("kind")).alias("kind")).distinct()
+    return one_spelling(t, e).distinct()
 
 
 def _most(t: Tables, node: str, other: str) -> DataFrame:
@@ -235,7 +245,8 @@ G = """g AS (SELECT DISTINCT workbook_id grp, src_sheet src, dst_sheet dst FROM
 
 def sheet_graph(t: Tables) -> DataFrame:
     live = F.coalesce(F.lower(F.trim("kind")), F.lit("")) != "inactive"
-    return t.edges.filter(live & (F.col("src_sheet") != F.col("dst_sheet"))).select(F.col("workbook_id").alias("grp"), F.col("src_sheet").alias("src"), F.col("dst_sheet").alias("dst")).distinct()
+    pairs = one_spelling(t, t.edges.filter(live).select("workbook_id", "src_sheet", "dst_sheet").distinct())
+    return pairs.filter("src_sheet <> dst_sheet").select(F.col("workbook_id").alias("grp"), F.col("src_sheet").alias("src"), F.col("dst_sheet").alias("dst")).distinct()
 
 
 REACH = f"""WITH RECURSIVE {G}, w AS (SELECT DISTINCT grp, src node, 0 d FROM g WHERE src = 'Inputs' UNION SELECT g.grp, g.dst, w.d + 1 FROM w JOIN g ON g.grp = w.grp AND g.src = w.node WHERE w.d < 6)"""
@@ -243,7 +254,7 @@ REACH = f"""WITH RECURSIVE {G}, w AS (SELECT DISTINCT grp, src node, 0 d FROM g
 
 def _from_inputs(t: Tables, **kw: int) -> DataFrame:
     g = sheet_graph(t)
-    return graphs.closure(g.filter("src = 'Inputs'").select("grp", F.col("src").alias("node")), g, **kw)
+    return graphs.closure(g.filter(sheet_key(F.col("src")) == "inputs").select("grp", F.col("src").alias("node")), g, **kw)
 
 
 @query(f"{REACH} SELECT grp, node, min(d) AS depth FROM w GROUP BY 1, 2")

@@ -21,3 +21,13 @@ def test_cone_follows_the_frontier_to_its_end(spark, tmp_path):
     write(spark, tmp_path, "sheets", [("w", c, datetime(2026, 1, 1)) for c in chain], "workbook_id string, sheet string, loaded_at timestamp")
     r = catalog.QUERIES["cone_share"](spark, str(tmp_path)).first()
     assert (r.n_cone, r.max_depth, r.share) == (10, 9, 1.0)
+
+
+def test_spellings_of_a_sheet_are_one_node(spark, tmp_path):
+    write_edges(spark, tmp_path, [("inputs ", "Debt"), ("'INPUTS'", " debt"), ("Debt", "DEBT"), ("debt", "Tax")])
+    write(spark, tmp_path, "sheets", [("w", c, datetime(2026, 1, 1)) for c in ("Inputs", "Debt", "Tax")], "workbook_id string, sheet string, loaded_at timestamp")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r.node, r.size) for r in run("sheet_scc_flags")} == {("Inputs", 1), ("Debt", 1), ("Tax", 1)}
+    assert {(r.node, r.n_in, r.n_out) for r in run("sheet_roles")} == {("Inputs", 0, 1), ("Debt", 1, 1), ("Tax", 1, 0)}
+    assert {(r.src_sheet, r.dst_sheet, r.n_live) for r in run("sheet_flows")} == {("Inputs", "Debt", 2), ("Debt", "Tax", 1)}
+    assert {(r.node, r.depth) for r in run("closure_depth")} == {("Inputs", 0), ("Debt", 1), ("Tax", 2)}
