@@ -611,7 +611,7 @@ def fy_partial(t: Tables) -> DataFrame:
 
 @query("""SELECT workbook_id, sheet, count(*) AS n, round(sum(value_num), 2) AS known, CASE WHEN count(value_num) = count(*) THEN round(sum(value_num), 2) END AS strict FROM cells WHERE sheet = 'Inputs' AND col > 2 GROUP BY 1, 2""")
 def strict_vs_known_sum(t: Tables) -> DataFrame:
-    c = t.cells.filter("sheet = 'Inputs' and col > 2")
+    c = live_cells(t, "value_num")
     v = F.col("value_num")
     return c.groupBy("workbook_id", "sheet").agg(F.count(F.lit(1)).alias("n"), r(relational.sum_known(v), 2).alias("known"), r(relational.sum_strict(v), 2).alias("strict"))
 

@@ -31,3 +31,11 @@ def test_spellings_of_a_sheet_are_one_node(spark, tmp_path):
     assert {(r.node, r.n_in, r.n_out) for r in run("sheet_roles")} == {("Inputs", 0, 1), ("Debt", 1, 1), ("Tax", 1, 0)}
     assert {(r.src_sheet, r.dst_sheet, r.n_live) for r in run("sheet_flows")} == {("Inputs", "Debt", 2), ("Debt", "Tax", 1)}
     assert {(r.node, r.depth) for r in run("closure_depth")} == {("Inputs", 0), ("Debt", 1), ("Tax", 2)}
+
+
+def test_sums_take_the_live_cells_of_every_sheet(spark, tmp_path):
+    old, new = datetime(2026, 1, 1), datetime(2026, 1, 2)
+    rows = [("w", "Inputs", 1, 3, 1.0, old), ("w", "Inputs", 1, 3, 2.0, new), ("w", "Inputs", 1, 4, 5.0, old), ("w", "Debt", 1, 1, 4.0, old), ("w", "Debt", 1, 2, None, old)]
+    write(spark, tmp_path, "cells", rows, "workbook_id string, sheet string, `row` int, col int, value_num double, loaded_at timestamp")
+    got = {r.sheet: (r.n, r.known, r.strict) for r in catalog.QUERIES["strict_vs_known_sum"](spark, str(tmp_path)).collect()}
+    assert got == {"Inputs": (2, 7.0, 7.0), "Debt": (2, 4.0, None)}
