@@ -177,16 +177,21 @@ def identity_results(bound: DataFrame, many: DataFrame, values: DataFrame) -> Da
     """Each identity of each workbook: status holds, fails or unbound, convention, largest residual, periods, kind.
 
     An identity is unbound where a role has no line or no period knows all parts. It is evaluated under both signs
-    of its free roles, and the better convention is kept; it fails if a residual exceeds the tolerance.
+    of its free roles, and the better convention is kept; it fails if a residual exceeds the tolerance. One of single
+    scope is evaluated by period on one sheet, on the rows' totals over two. One of coverage is not_evaluated.
     """
     spark = bound.sparkSession
-    parts = F.broadcast(identity_parts(spark).filter("scope = 'per_period'"))  # 25 identities of a few roles
+    parts = F.broadcast(identity_parts(spark))  # 25 identities of a few roles
     lines = bound.select("workbook_id", "role", "sheet", "row", F.lit(1).alias("own_sign")).unionByName(many.select("workbook_id", "role", "sheet", "row", "own_sign"))
     used = parts.join(lines, "role")
     need = parts.groupBy("identity").agg(F.count(F.lit(1)).alias("n_roles"))
     books = bound.select("workbook_id").distinct()
-    full = used.groupBy("workbook_id", "identity").agg(F.countDistinct("role").alias("n"), F.count(F.lit(1)).alias("n_lines")).join(need, "identity").filter("n = n_roles")
-    rows = used.join(full.select("workbook_id", "identity", "n_lines"), ["workbook_id", "identity"]).join(values, ["workbook_id", "sheet", "row"]).withColumn("coef", F.col("coef") * F.col("own_sign"))
+    full = used.groupBy("workbook_id", "identity").agg(F.countDistinct("role").alias("n"), F.count(F.lit(1)).alias("n_lines"), F.countDistinct("sheet").alias("n_sheets")).join(need, "identity").filter("n = n_roles")
+    rows = used.join(full.select("workbook_id", "identity", "n_lines", "n_sheets"), ["workbook_id", "identity"]).join(values, ["workbook_id", "sheet", "row"]).withColumn("coef", F.col("coef") * F.col("own_sign"))
+    apart = (F.col("scope") == "single") & (F.col("n_sheets") > 1)
+    total = F.when(F.count("value") == F.count(F.lit(1)), F.sum("value")).alias("value")
+    totals = rows.filter(apart).groupBy([c for c in rows.columns if c not in ("period", "value")]).agg(total).withColumn("period", F.lit(None).cast("date"))
+    rows = rows.filter(~apart).unionByName(totals)
     flexed = rows.withColumn("convention", F.explode(F.when(F.col("identity").isin([i.key for i in IDENTITIES.values() if i.flex]), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))))
     flexed = flexed.withColumn("coef", F.col("coef") * F.when(F.col("flex"), F.col("convention")).otherwise(1)).filter("value is not null")
     res = flexed.groupBy("workbook_id", "identity", "convention", "n_lines", "period").agg(F.sum(F.col("coef") * F.col("value")).alias("residual"), F.max(F.abs("value")).alias("scale"), F.count(F.lit(1)).alias("n")).filter("n = n_lines")
@@ -195,7 +200,8 @@ def identity_results(bound: DataFrame, many: DataFrame, values: DataFrame) -> Da
     fixed = F.array(*[F.struct(F.lit(i.key).alias("identity"), F.lit(i.block).alias("block"), F.lit(i.kind).alias("kind")) for i in IDENTITIES.values()])
     every = books.select("workbook_id", F.explode(fixed).alias("i")).select("workbook_id", "i.*")
     out = every.join(best, ["workbook_id", "identity"], "left")
-    status = F.when(F.col("max_residual").isNull(), "unbound").when(F.col("max_residual") <= tolerance(F.col("scale")), "holds").otherwise("fails")
+    coverage = F.col("identity").isin([i.key for i in IDENTITIES.values() if i.scope == "coverage"])
+    status = F.when(coverage, "not_evaluated").when(F.col("max_residual").isNull(), "unbound").when(F.col("max_residual") <= tolerance(F.col("scale")), "holds").otherwise("fails")
     return out.withColumn("status", status).drop("scale")
 
 

@@ -99,3 +99,12 @@ def test_labels_bind_on_sheets_of_any_name(spark):
     got = {r.role: (r.sheet, r.row) for r in label_bindings(lines, kinds).collect()}
     assert got["sources"] == ("Funding", 4) and got["uses"] == ("Funding", 9) and got["capex_total"] == ("Works", 5)
     assert got["revenue"] == ("PnL", 8)  # a sheet named like the block still goes first, even before a total elsewhere
+
+
+@pytest.mark.parametrize(("sheet", "uses", "want"), [("A", [6.0, 4.0], "fails"), ("A", [4.0, 6.0], "holds"), ("B", [6.0, 4.0], "holds"), ("B", [6.0, 5.0], "fails")])
+def test_sources_and_uses_are_evaluated(spark, sheet, uses, want):
+    bound = spark.createDataFrame([("w", "sources", "sources_uses", "A", 4), ("w", "uses", "sources_uses", sheet, 9)], "workbook_id string, role string, block string, sheet string, `row` int")
+    many = spark.createDataFrame([], "workbook_id string, role string, sheet string, `row` int, own_sign int")
+    values = spark.createDataFrame([("w", s, r, d, v) for s, r, vs in (("A", 4, [4.0, 6.0]), (sheet, 9, uses)) for d, v in zip(DAYS, vs)], "workbook_id string, sheet string, `row` int, period date, value double")
+    got = {r.identity: r.status for r in identity_results(bound, many, values).collect()}
+    assert got["su_balance"] == want and got["bs_rollforward"] == "not_evaluated" and got["cf_net"] == "unbound"
