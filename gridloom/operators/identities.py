@@ -68,15 +68,14 @@ def tied_rows(values: DataFrame, keys: list[str], row: str, period: str, value:
     return out.withColumn("sign", F.when(F.col("flipped") == first, 1).otherwise(-1)).select(*keys, row, "class_row", "sign", "n_rows")
 
 
-def value_triples(values: DataFrame, keys: list[str], row: str, period: str, value: str, pool: int = 80) -> DataFrame:
+def value_triples(values: DataFrame, keys: list[str], row: str, period: str, value: str) -> DataFrame:
     """Triples a = b + c (signs of b and c free) that hold in every period among each key's rows: keys, a, b, c, signs.
 
-    The pool is a key's ``pool`` largest moving rows, part of the definition: the balance sheet's totals are sought,
-    not every coincidence. Pairs are made inside one task over at most ``pool`` rows and only triples leave it.
+    All moving rows known in every period of their key take part. A key's pairs are made inside one task, a row at a time;
+    a is looked up by its value in the period that spreads most, then held against the sum in all periods.
     """
-    sizes = values.groupBy(*keys, row).agg(F.max(F.abs(value)).alias("_s"), (F.max(value) - F.min(value)).alias("_d"), F.count(value).alias("_n")).filter((F.col("_s") > ABS) & (F.col("_d") > ABS))
-    kept = sizes.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_s"), row))).filter(F.col("_k") <= pool).select(*keys, row)
-    rows = values.join(kept, [*keys, row]).filter(F.col(value).isNotNull()).select(*keys, row, period, value)
+    sizes = values.groupBy(*keys, row).agg(F.max(F.abs(value)).alias("_s"), (F.max(value) - F.min(value)).alias("_d")).filter((F.col("_s") > ABS) & (F.col("_d") > ABS))
+    rows = values.join(sizes.select(*keys, row), [*keys, row]).filter(F.col(value).isNotNull()).select(*keys, row, period, value)
     kinds = {f.name: f.dataType.simpleString() for f in values.schema}
     out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], *[f"{x} {kinds[row]}" for x in "abc"], "sign_b int", "sign_c int", "n_periods int"])
 
@@ -84,13 +83,24 @@ def value_triples(values: DataFrame, keys: list[str], row: str, period: str, val
         wide = pdf.pivot_table(index=row, columns=period, values=value, aggfunc="first")
         full = wide.dropna()
         v, ids = full.to_numpy(), full.index.to_list()
-        tol = np.maximum(ABS, REL * np.abs(v).max(axis=1)) if len(v) else np.zeros(0)
         got = []
-        for i in range(len(ids)):
-            for j in range(i + 1, len(ids)):
-                for sb, sc in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
-                    near = np.flatnonzero((np.abs(v - (sb * v[i] + sc * v[j])) <= tol[:, None]).all(axis=1))
-                    got += [(*k, ids[a], ids[i], ids[j], sb, sc, v.shape[1]) for a in near if a not in (i, j)]
+        if len(v) > 2:
+            size = np.abs(v).max(axis=1)
+            tol = np.maximum(ABS, REL * size)
+            p = np.ptp(v, axis=0).argmax()
+            order = np.argsort(v[:, p])
+            known = v[order, p]
+        for i in range(len(ids) if len(v) > 2 else 0):
+            j = np.arange(i + 1, len(ids))
+            reach = np.maximum(ABS, 2 * REL * (size[i] + size[j]))  # no less than the tolerance of any a that fits
+            for sb, sc in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
+                s = sb * v[i] + sc * v[j]
+                lo, hi = np.searchsorted(known, s[:, p] - reach), np.searchsorted(known, s[:, p] + reach, "right")
+                n = hi - lo
+                at = np.repeat(np.arange(len(j)), n)
+                a = order[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+                ok = (np.abs(v[a] - s[at]) <= tol[a][:, None]).all(axis=1) & (a != i) & (a != j[at])
+                got += [(*k, ids[x], ids[i], ids[y], sb, sc, v.shape[1]) for x, y in zip(a[ok], j[at[ok]])]
         return pd.DataFrame(got, columns=[*keys, "a", "b", "c", "sign_b", "sign_c", "n_periods"])
 
     return rows.groupBy(*keys).applyInPandas(find, out)

@@ -479,7 +479,7 @@ def value_tie(t: Tables) -> DataFrame:
 @query(f"""WITH {NATION_MONTH}, s AS (SELECT reg, nat, p, CAST(v AS DECIMAL(18,2)) v FROM nm), x AS (SELECT a.reg, a.p, sum(a.v) total, max(CASE WHEN a.k = 1 THEN a.v END) va, sum(CASE WHEN a.k > 1 THEN a.v END) vb FROM (SELECT *, dense_rank() OVER (PARTITION BY reg ORDER BY nat) k FROM s) a GROUP BY 1, 2)
     SELECT reg, count(*) AS n_periods, count(*) FILTER (total = coalesce(va, 0) + coalesce(vb, 0)) AS n_equal FROM x GROUP BY 1""")
 def balance_triples(t: Tables) -> DataFrame:
-    """Assets = liabilities + equity over every region: the total, its first nation and all others."""
+    """Assets = liabilities + equity over every region: the total, its first nation and all others; holds by construction, the search is workbooks.value_triples."""
     k = F.dense_rank().over(Window.partitionBy("reg").orderBy("nat"))
     s = nation_month(t).withColumn("v", F.col("v").cast("decimal(18,2)")).withColumn("k", k)
     x = s.groupBy("reg", "p").agg(F.sum("v").alias("total"), F.sum(F.when(F.col("k") == 1, F.col("v"))).alias("a"), F.sum(F.when(F.col("k") > 1, F.col("v"))).alias("b"))

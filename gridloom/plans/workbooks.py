@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import dependencies, review, rowmap, statements, threeway, valuation
+from gridloom.operators import dependencies, identities, review, rowmap, statements, threeway, valuation
 from gridloom.plans.catalog import Tables, live_cells
 from gridloom.tables import materialise
 
@@ -76,6 +76,12 @@ def identity_results(t: Tables) -> DataFrame:
     return statements.identity_results(bound, statements.many_bindings(bound, tt), statements.row_values(c, lay))
 
 
+def value_triples(t: Tables) -> DataFrame:
+    """Rows a = b + c of every sheet with a timeline."""
+    c, lay, _ = _mapped(t)
+    return identities.value_triples(statements.row_values(c, lay), ["workbook_id", "sheet"], "row", "period", "value")
+
+
 def _roles(t: Tables) -> DataFrame:
     c, lay, lines = _mapped(t)
     kinds = materialise(statements.structure(_terms(c)))
@@ -141,5 +147,5 @@ def _query(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], Da
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
-    for f in (layout_detect, row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, identity_results, statement_lines, statement_checks, statement_years, statement_modes, statement_residuals, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
+    for f in (layout_detect, row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, identity_results, value_triples, statement_lines, statement_checks, statement_years, statement_modes, statement_residuals, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
 }

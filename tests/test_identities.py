@@ -68,3 +68,12 @@ def test_llm_is_optional(n):
 
     code = "import sys; sys.modules['gridloom.llm'] = None; import __spark_entry__ as e; assert 'p2_found' in e.queries() and 'p1_found' not in e.queries() and e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests", 1)[0]).returncode == 0
+
+
+def test_small_rows_take_part_in_triples(spark):
+    from gridloom.plans.workbooks import QUERIES
+
+    large = {i: [1e6 + 7919 * i * i * (i + 1), 1e6 + 104729 * i**3, 2e6 + 31 * i**4] for i in range(1, 91)}
+    v = series(spark, large | {91: [10.0, 12, 15], 92: [4.0, 5, 6], 93: [6.0, 7, 9]})
+    assert (91, 92, 93, 1, 1) in {(r.a, r.b, r.c, r.sign_b, r.sign_c) for r in value_triples(v, ["k"], "r", "p", "v").collect()}
+    assert "value_triples" in QUERIES
