@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whichever file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
 def new_folder(spark: SparkSession) -> str:
     """A path of its own in the shared folder, not made yet."""
     return f"{shared_dir(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
