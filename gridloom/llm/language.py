@@ -7,6 +7,8 @@ without quotations, figures, formulas and other things that say nothing about th
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.tables import trimmed
+from gridloom.tables import path_exists, shared_dir, trimmed
 
 LANGS = ["da", "de", "en", "es", "fr", "it", "nl", "pl", "pt", "sv"]
 #: How labels name the languages: two- and three-letter codes, English and own names; regions are cut off before.
@@ -69,13 +71,22 @@ def sentences(text: str) -> list[tuple[int, str]]:
     for part in _BREAK.split(_QUOTED.sub(" ", _LINE_END.sub("\n", unicodedata.normalize("NFC", text)))):
         words = _WORD.findall(part) if part else []
         if len(words) >= WORDS:
-            small = sum(w[0].islower() for w in words)
             said = " ".join(words)
-            if len(said) >= LETTERS and (small >= 3 or said.isupper() and len(words) >= 6):
+            if len(said) >= LETTERS and (_small(words) >= 3 or said.isupper() and len(words) >= 6):
                 out.append((len(said), said.lower()))
     return out
 
 
+def _small(words: list[str], enough: int = 3) -> int:
+    """How many words begin with a small letter, counted no further than ``enough``."""
+    n = 0
+    for w in words:
+        n += w[0].islower()
+        if n == enough:
+            break
+    return n
+
+
 def plain_letters(said: str) -> str:
     """Without accents, as typed on a keyboard that has none."""
     return "".join(c for c in unicodedata.normalize("NFD", said) if not unicodedata.combining(c)).replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("ł", "l")
@@ -97,6 +108,7 @@ class ByteNet:
         rng = np.random.default_rng(seed)
         self.p = {f"w{w}": rng.normal(0, 0.25 / np.sqrt(w), (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS}
         self.p |= {f"b{w}": np.zeros(FILTERS, np.float32) for w in WIDTHS}
+        self._pairs: dict[str, np.ndarray] | None = None
         self.p |= {"out": rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(LANGS))).astype(np.float32), "bias": np.zeros(len(LANGS), np.float32)}
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, list]:
@@ -115,12 +127,53 @@ class ByteNet:
         e = np.exp(s - s.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True), [h, back]
 
-    def predict(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
+    def pair_tables(self) -> dict[str, np.ndarray]:
+        """What two neighbouring bytes add to each filter, so that a filter of four bytes is two gathers."""
+        two = lambda a, b: (a[:, None] + b[None]).reshape(-1, FILTERS)
+        w2, w3, w4 = (self.p[f"w{w}"] for w in (2, 3, 4))
+        return {"w2": two(*w2), "w3": two(*w3[:2]), "w3c": w3[2], "w4": two(*w4[:2]), "w4c": two(*w4[2:])}
+
+    def predict(self, x: np.ndarray, batch: int = 64) -> np.ndarray:
+        """Probabilities of each window: the numbers of :meth:`forward` without what only learning needs.
+
+        Windows are taken by length, and beyond four bytes of padding there is nothing new for a maximum to see.
+        """
         if not len(x):
             return np.zeros((0, len(LANGS)), np.float32)
-        return np.concatenate([self.forward(x[i : i + batch])[0] for i in range(0, len(x), batch)])
+        if self._pairs is None:
+            self._pairs = self.pair_tables()
+        t, out = self._pairs, np.empty((len(x), len(LANGS)), np.float32)
+        size = np.minimum(x.shape[1] - (x[:, ::-1] != 0).argmax(1) + 4, x.shape[1])
+        order = np.argsort(size, kind="stable")
+        take = lambda k, i: np.take(t[k], i, axis=0, mode="clip")
+        for i in range(0, len(x), batch):
+            at = order[i : i + batch]
+            b = x[at, : size[at[-1]]].T.astype(np.intp)  # places first: the maximum then runs over whole rows of memory
+            pair = b[:-1] * 256 + b[1:]
+            z3, z4 = take("w3", pair[:-1]), take("w4", pair[:-2])
+            z3 += take("w3c", b[2:])
+            z4 += take("w4c", pair[2:])
+            tops = [z.max(0) + self.p[f"b{w}"] for w, z in ((2, take("w2", pair)), (3, z3), (4, z4))]
+            s = np.maximum(np.concatenate(tops, 1), 0) @ self.p["out"] + self.p["bias"]
+            e = np.exp(s - s.max(1, keepdims=True))
+            out[at] = e / e.sum(1, keepdims=True)
+        return out
+
+    def dumps(self) -> bytes:
+        """The weights as bytes, without pickling."""
+        buf = io.BytesIO()
+        np.savez(buf, **self.p)
+        return buf.getvalue()
+
+    @classmethod
+    def loads(cls, raw: bytes) -> ByteNet:
+        net = cls()
+        with np.load(io.BytesIO(raw)) as f:
+            net.p = {k: f[k] for k in f.files}
+        return net
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 4e-3, batch: int = 64, seed: int = 11) -> None:
+        self._pairs = None
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(a) for k, a in self.p.items()}
@@ -208,8 +261,20 @@ def train(sample: Iterable[tuple[str, str]], epochs: int = 4) -> ByteNet:
 
 
 def fit_on(docs: DataFrame, per_lang: int = SAMPLE_TEXTS) -> ByteNet:
-    """Train on the bounded labelled sample of ``docs``; the sample alone comes to the driver."""
-    return train([(r.code, r.text) for r in labelled_sample(docs, per_lang).toLocalIterator()])
+    """Train on the bounded labelled sample of ``docs``; the sample alone comes to the driver.
+
+    The weights are kept in the shared folder under a digest of the sample, so queries of a session over the same texts
+    train once.
+    """
+    spark = docs.sparkSession
+    sample = [(r.code, r.text) for r in labelled_sample(docs, per_lang).toLocalIterator()]
+    digest = hashlib.sha256(repr((WINDOW, WIDTHS, FILTERS, SAMPLE_WINDOWS, sorted(SEEDS.items()), sample)).encode()).hexdigest()[:32]
+    at = f"{shared_dir(spark).rstrip('/')}/gridloom-net-{digest}"
+    if path_exists(spark, f"{at}/_SUCCESS"):
+        return ByteNet.loads(bytes(spark.read.parquet(at).first()[0]))
+    net = train(sample)
+    spark.createDataFrame([(bytearray(net.dumps()),)], "weights binary").coalesce(1).write.mode("overwrite").parquet(at)
+    return net
 
 
 def _settle(langs: list[int], probs: np.ndarray) -> list[int]:
