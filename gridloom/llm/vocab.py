@@ -1,15 +1,18 @@
 """Freely typed labels to the entries of a canonical list, with what names no entry reported.
 
-An automaton over all canonical names and aliases finds mentions inside a label, the longest of overlapping ones
+An automaton over all canonical names and wordings finds mentions inside a label, the longest of overlapping ones
 winning. A label that says no more than one mention is that entry; what else a label says makes it another
-quantity. Labels without such a mention go to a similarity of token sets, which also bears misspellings.
+quantity. Labels without such a mention go to similarities of token sets: of the words as they are written, which
+bears misspellings and short forms, then of what the words mean by the general :mod:`~gridloom.llm.lexicon`, which bears
+other wordings and languages. No list of labels is kept; further wordings may be given as a parameter.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -17,65 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.lexicon import CARRIERS, Lexicon
+from gridloom.operators.skew import balanced_join
 from gridloom.operators.units import UnitIndex, edit_cost, grams, known_spellings
+from gridloom.tables import materialise
 
-#: Further wordings of entries, as typed in German, French, Spanish and in plain words; parted by ` | `.
-ALIASES = {
-    "toll_income": "Mauteinnahmen | recettes de péage | ingresos por peaje | takings from motorists",
-    "water_sales": "Trinkwassererlöse | ventes d'eau potable | ventas de agua | income from drinking water customers",
-    "energy_sales": "Stromerlöse | ventes d'électricité | ventas de electricidad | proceeds from selling power",
-    "connection_fees": "Anschlussgebühren | frais de raccordement | derechos de conexión | charge for joining the network",
-    "lease_income": "Mieteinnahmen | loyers perçus | ingresos por alquiler | money from tenants",
-    "grant_income": "Zuschüsse der öffentlichen Hand | subventions reçues | subvenciones recibidas | support paid by the state",
-    "staff_cost": "Personalaufwand | charges de personnel | gastos de personal | what we pay our people",
-    "maintenance_cost": "Instandhaltungsaufwand | entretien courant | mantenimiento ordinario | keeping the plant in working order",
-    "energy_purchase": "Strombezugskosten | achats d'électricité | compras de electricidad | cost of electricity we buy",
-    "chemicals_cost": "Chemikalienaufwand | produits chimiques de traitement | productos químicos | chlorine, lime and other additives",
-    "insurance_cost": "Versicherungsprämien | primes d'assurance | primas de seguro | yearly cost of our policies",
-    "land_levy": "Grundsteuer | taxe foncière | impuesto sobre bienes inmuebles",
-    "wear_charge": "Abschreibungen | dotations aux amortissements | amortizaciones | spreading of asset cost over its life | depn",
-    "loan_interest": "Zinsaufwand | charges d'intérêts | gastos por intereses | what lenders charge us",
-    "company_tax": "Körperschaftsteuer | impôt sur les sociétés | impuesto de sociedades",
-    "net_result": "Jahresüberschuss | résultat net | resultado neto | bottom line",
-    "operating_result": "Betriebsergebnis | résultat d'exploitation | resultado de explotación",
-    "client_balances": "Forderungen aus Lieferungen | créances clients | cuentas por cobrar | unpaid invoices owed to us",
-    "vendor_balances": "Verbindlichkeiten aus Lieferungen | dettes fournisseurs | cuentas por pagar | bills we have not paid yet",
-    "stores": "Vorräte | stocks et pièces | existencias",
-    "bank_balance": "Kassenbestand | trésorerie disponible | saldo bancario",
-    "network_plant": "Netzanlagen | immobilisations du réseau | instalaciones de red",
-    "concession_right": "Konzessionsrecht | droit de concession | derecho de concesión",
-    "senior_loan": "vorrangiges Bankdarlehen | prêt bancaire senior | préstamo senior | still owed to the banks",
-    "owner_loan": "Gesellschafterdarlehen | prêt d'actionnaire | préstamo de accionistas",
-    "deferred_tax": "latente Steuern | impôts différés | impuestos diferidos",
-    "kept_surplus": "Gewinnrücklagen | report à nouveau | reservas acumuladas",
-    "paid_in_capital": "eingezahltes Kapital | capital libéré | capital desembolsado",
-    "growth_works": "Erweiterungsinvestitionen | travaux d'extension | obras de ampliación",
-    "renewal_works": "Ersatzinvestitionen | travaux de renouvellement | obras de renovación | swapping out worn assets",
-    "loan_drawdown": "Darlehensauszahlung | tirages sur emprunt | disposición del préstamo",
-    "loan_repayment": "Darlehenstilgung | remboursement d'emprunt | amortización del préstamo",
-    "owner_payout": "Ausschüttung an Gesellschafter | dividendes versés | dividendos pagados",
-    "debt_reserve": "Schuldendienstreserve | réserve du service de la dette | reserva del servicio de la deuda",
-    "water_volume": "abgegebene Wassermenge | volume d'eau livré | agua suministrada",
-    "sewage_volume": "behandelte Abwassermenge | eaux usées traitées | aguas residuales tratadas",
-    "power_generated": "erzeugte Strommenge | électricité produite | electricidad generada",
-    "power_used": "Eigenstromverbrauch | consommation électrique du site | consumo eléctrico propio",
-    "mains_length": "Länge des Rohrnetzes | longueur des conduites | longitud de la red",
-    "sludge_mass": "abgefahrener Klärschlamm | boues évacuées | lodos retirados",
-    "carbon_emitted": "Treibhausgasausstoß | émissions de carbone | emisiones de carbono",
-    "water_tariff": "Wassertarif | prix de l'eau | tarifa del agua",
-    "inflation": "Teuerungsrate | taux d'inflation | tasa de inflación",
-    "hurdle_rate": "Diskontierungssatz | taux d'actualisation | tasa de descuento",
-    "loan_margin": "Kreditmarge | marge de crédit | margen del préstamo",
-    "network_losses": "Netzverluste | pertes en réseau | pérdidas de red",
-    "concession_term": "Restlaufzeit der Konzession | durée de la concession | plazo de la concesión",
-    "loan_tenor": "Darlehenslaufzeit | durée du prêt | plazo del préstamo",
-}
-#: Short forms of words that hands use in labels.
-SHORT = {
-    "water": "wtr", "network": "ntwk", "electricity": "elec", "charges": "chgs", "maintenance": "maint", "insurance": "insur", "premiums": "prem",
-    "income": "inc", "interest": "int", "purchases": "purch", "receivables": "recv", "payables": "payb", "repayment": "repmt", "outstanding": "o/s",
-    "accumulated": "accum", "balance": "bal", "volume": "vol", "operating": "op", "depreciation": "depn",
-}
 #: Words that dress a label and change nothing in what it names.
 DRESS = set("total less of which memo note see calc calculated nominal real terms base case in pa p a incl excl thereof davon dont summe gesamt".split())
 _HEAD = re.compile(r"^(?:\s*(?:\d+(?:\.\d+)*[.)]?\s+|[a-z]\)\s*|[•*\-–·>]+\s*|(?:total|less|of which|davon|dont)\b\s*:?\s*))+")
@@ -83,6 +32,10 @@ _TAIL = re.compile(r"(?:\s*[*:]+|\s*[(\[](?:see note|calc|nominal|real)[)\]]|,?\
 _UNIT = [re.compile(p) for p in (r"^(.*?\S)\s*[(\[]([^()\[\]]+(?:\([^()]*\))?)[)\]]$", r"^(.*[^,\s])\s+in\s+(\S.*)$", r"^(.*\S)\s*,\s+(\S.*)$")]
 #: Edits allowed per letter of the longer text, the score that is enough, and the share of n-grams a candidate must have.
 ALLOWED, ENOUGH, LIKE = 0.25, 0.75, 0.2
+#: Shares of a label's and of a wording's meaning that must be met; how many cores a task keeps at most in its memory.
+ALL_OF, HALF, MOST_KEPT = 0.95, 0.5, 200_000
+#: So many mapped labels (some 10 MB) may be broadcast.
+FEW_LABELS = 200_000
 
 
 def folded(text: str) -> str:
@@ -97,18 +50,51 @@ def tokens(t: str) -> list[str]:
     return [w for w in re.split(r"[^\w/]+", t.replace("'", " ")) if w]
 
 
+def abbreviates(short: str, word: str) -> bool:
+    """Whether ``short`` is a short form of ``word``: its letters stand in it in order, the first one first."""
+    letters = short.replace("/", "")
+    if not 2 <= len(letters) < len(word) or letters[0] != word[0]:
+        return False
+    at = iter(word)
+    return all(c in at for c in letters)
+
+
 class Canon:
-    """The canonical list with its aliases: automaton, token sets and an index of character n-grams."""
+    """The canonical list: automaton, token sets, an index of character n-grams and what each entry means.
+
+    ``vocab`` rows are (role_id, name, wordings parted by ``|``, description); the description takes part in meaning only.
+    ``aliases`` may give further wordings by name. At most one entry is given to a label, 0 where two fit equally well.
+    """
 
-    def __init__(self, vocab: list[tuple[int, str, str]], aliases: dict[str, str], unit_codes: Iterable[str]) -> None:
+    def __init__(self, vocab: list[tuple], aliases: dict[str, str], unit_codes: Iterable[str]) -> None:
         self.units = UnitIndex(known_spellings(unit_codes))
         self.entries: dict[str, tuple[int, list[str]]] = {}
-        for role_id, name, words in vocab:
-            for phrase in [name.replace("_", " "), *(words or "").split("|"), *aliases.get(name, "").split("|")]:
-                full = tokens(folded(phrase))
-                for ws in [full, [SHORT.get(w, w) for w in full], *[[*full[:i], SHORT[w], *full[i + 1 :]] for i, w in enumerate(full) if w in SHORT]]:
-                    if ws:
-                        self.entries.setdefault("".join(ws), (role_id, ws))
+        self.lexicon = Lexicon()
+        self.meanings: list[tuple[int, list[frozenset[str]]]] = []
+        for role_id, name, words, *what in vocab:
+            phrases = [name.replace("_", " "), *(words or "").split("|"), *aliases.get(name, "").split("|")]
+            for phrase in phrases:
+                ws = tokens(folded(phrase))
+                if ws:
+                    self.entries.setdefault("".join(ws), (role_id, ws))
+            for phrase in [*phrases, *[w for w in what if w]]:
+                t = folded(phrase)
+                if said := [cs - {"OTHER"} for cs in self.lexicon.said(t, tokens(t)) if cs != {"OTHER"}]:
+                    self.meanings.append((role_id, said))
+        self.profiles: dict[int, set[str]] = defaultdict(set)
+        for role_id, said in self.meanings:
+            self.profiles[role_id].update(*said)
+        n = Counter(c for p in self.profiles.values() for c in p)
+        self.rare = {c: math.log((1 + len(self.profiles)) / k) for c, k in n.items()}
+        self.rarest = math.log(1 + len(self.profiles))
+        self.weights: dict[frozenset[str], float] = {}
+        self.about: dict[str, set[int]] = defaultdict(set)
+        for role_id, profile in self.profiles.items():
+            for concept in profile:
+                self.about[concept].add(role_id)
+        self.wordings: dict[int, list[tuple[list[frozenset[str]], float]]] = defaultdict(list)
+        for role_id, said in self.meanings:
+            self.wordings[role_id].append((said, sum(map(self.weight, said))))
         self.keys = list(self.entries)
         self.machine = ahocorasick.Automaton()
         for k in self.keys:
@@ -122,6 +108,11 @@ class Canon:
             self.sizes.append(len(own))
             for g in own:
                 self.post[g].append(i)
+        self.by_start: dict[tuple, list[tuple[int, list[str]]]] = defaultdict(list)
+        for role_id, full in self.entries.values():
+            ws = [w for w in full if w not in DRESS] or full
+            self.by_start[tuple(sorted(w[0] for w in ws))].append((role_id, ws))
+        self.cores: dict[str, tuple[int, str, float]] = {}
 
     def core(self, label: str) -> str:
         """The label without numbering, dress and unit."""
@@ -158,8 +149,16 @@ class Canon:
         return sorted(out)
 
     def find(self, label: str | None) -> tuple[int, str, float]:
-        """(role id or 0, how it was found, score) of a label."""
-        words = [w for w in tokens(self.core(label or ""))]
+        """(role id or 0, how it was found, score) of a label; labels with the same core are looked at once."""
+        core = self.core(label or "")
+        if core not in self.cores:
+            if len(self.cores) > MOST_KEPT:
+                self.cores.clear()
+            self.cores[core] = self.find_core(core)
+        return self.cores[core]
+
+    def find_core(self, core: str) -> tuple[int, str, float]:
+        words = tokens(core)
         if not words:
             return 0, "none", 0.0
         found = self.mentions(words)
@@ -169,7 +168,62 @@ class Canon:
             rest = [w for i, w in enumerate(words) if i not in covered and w not in DRESS]
             if len(roles) == 1 and not rest:
                 return roles.pop(), "mention", 1.0
-        return self.similar(words)
+        short = self.shortened([w for w in words if w not in DRESS])
+        if short:
+            return short, "short", 1.0
+        if all(map(self.lexicon.spelt, words)) and (meaning := self.meant(core, words)):  # no misspelling to look for
+            return meaning
+        got = self.similar(words)
+        return got if got[0] else self.meant(core, words) or got
+
+    def weight(self, concepts: frozenset[str]) -> float:
+        """What a word weighs: the more, the fewer entries its rarest concept belongs to."""
+        if concepts not in self.weights:
+            self.weights[concepts] = max(self.rare.get(c, self.rarest) for c in concepts)
+        return self.weights[concepts]
+
+    def shortened(self, words: list[str]) -> int:
+        """The one entry whose words the label gives, some as short forms; 0 if there is none or more than one."""
+        roles = set()
+        for role_id, ws in self.by_start.get(tuple(sorted(w[0] for w in words)), ()):
+            left = list(ws)
+            for w in words:
+                at = next((x for x in left if x == w), None) or next((x for x in left if abbreviates(w, x)), None)
+                if at is None:
+                    break
+                left.remove(at)
+            else:
+                roles.add(role_id)
+        return roles.pop() if len(roles) == 1 else 0
+
+    def meant(self, core: str, words: list[str]) -> tuple[int, str, float] | None:
+        """By what the words mean: every word must belong to what an entry is about, and say at least half of one of its wordings.
+
+        Words weigh by how few entries they belong to. The entry of which most is said wins; of equals none.
+        """
+        said = self.lexicon.said(core, [w for w in words if w not in DRESS or w in self.lexicon.joining])
+        if not said:
+            return None
+        roles = [set().union(*(self.about[c] for c in cs if c in self.about)) for cs in said]
+        if not all(r or cs & CARRIERS for r, cs in zip(roles, said)):  # a word that belongs to no entry
+            return None
+        weight = self.weight
+        every = set().union(*said)
+        fits = set()
+        for role_id in set().union(*roles):
+            met = sum(weight(cs) for cs, r in zip(said, roles) if role_id in r)
+            missed = sum(weight(cs) for cs, r in zip(said, roles) if role_id not in r and not cs & CARRIERS)
+            if met >= ALL_OF * (met + missed):
+                fits.add(role_id)
+        best: dict[int, float] = {}
+        for role_id in fits:
+            for wording, whole in self.wordings[role_id]:
+                part = sum(weight(cs & every) for cs in wording if cs & every) / whole
+                best[role_id] = max(best.get(role_id, 0.0), part)
+        top = sorted(best.items(), key=lambda x: -x[1])[:2]
+        if not top or top[0][1] < HALF or len(top) > 1 and top[1][1] >= top[0][1] - 1e-9:
+            return None
+        return top[0][0], "meaning", top[0][1]
 
     def similar(self, words: list[str]) -> tuple[int, str, float]:
         said = [w for w in words if w not in DRESS] or words
@@ -218,34 +272,42 @@ class Canon:
                 missing += len(w)
                 if (room - missing) / room < need:
                     return whole
-        return max(whole, common / room)
+        # a word of the label that stands for none of the entry makes it another quantity
+        return max(whole, common / room if sum(map(len, left)) < 4 else 0.0)
 
 
-def map_labels(labels: DataFrame, vocab: DataFrame, unit_refs: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
+def map_labels(labels: DataFrame, vocab: DataFrame, unit_refs: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Distinct ``label`` values with role_id (0 for none), how and score; null and blank labels are left out.
 
-    ``vocab`` (role_id, role_name, vocab) is the fixed canonical list and comes to the driver whole, as do the unit
-    codes. Labels are looked at once each, however many rows bear them.
+    ``vocab`` (role_id, role_name, vocab, and what where there is such a column) is the fixed canonical list and comes to
+    the driver whole, as do the unit codes. Labels are looked at once each, however many rows bear them.
     """
-    canon = [(r.role_id, r.role_name, r.vocab) for r in vocab.select("role_id", "role_name", "vocab").dropna(subset=["role_id", "role_name"]).orderBy("role_id").collect()]
+    cols = [c for c in ("role_id", "role_name", "vocab", "what") if c in vocab.columns]
+    canon = [tuple(r) for r in vocab.select(*cols).dropna(subset=["role_id", "role_name"]).orderBy("role_id").collect()]
     codes = sorted(r[0] for r in unit_refs.select("unit_code").dropna().distinct().collect())
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = Canon(canon, aliases, codes)
+        machine = Canon(canon, aliases or {}, codes)
         for pdf in batches:
             found = [machine.find(x) for x in pdf.label]
             yield pd.DataFrame({"label": pdf.label, "role_id": [f[0] for f in found], "how": [f[1] for f in found], "score": [f[2] for f in found]})
 
-    tasks = 2 * labels.sparkSession.sparkContext.defaultParallelism  # small in bytes, long in work: not left to coalescing
-    one = labels.select("label").filter(F.col("label").rlike(r"[^\s\p{Z}]")).distinct().repartition(tasks)
+    tasks = labels.sparkSession.sparkContext.defaultParallelism  # small in bytes, long in work: not left to coalescing
+    one = labels.select("label").filter(F.col("label").rlike(r"[^\s\p{Z}]")).distinct().repartition(tasks, "label")
     return one.mapInPandas(run, "label string, role_id int, how string, score double")
 
 
-def map_lines(lines: DataFrame, vocab: DataFrame, unit_refs: DataFrame) -> DataFrame:
+def map_lines(lines: DataFrame, vocab: DataFrame, unit_refs: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """workbook_id, sheet, row, role_id of every line whose label is neither null nor blank; distinct rows.
 
-    Distinct labels are mapped first and joined back, so a label that a third of the rows bear is mapped once;
-    the join's hot labels are left to adaptive execution. Of copies of a line that differ each gives its row.
+    Distinct labels are mapped first and joined back: broadcast where they were counted to be few, else by the skew
+    operator, which cuts a label that a third of the rows bear into shards. Of copies of a line that differ each gives
+    its row.
     """
     rows = lines.select("workbook_id", "sheet", "row", "label").filter(F.col("label").rlike(r"[^\s\p{Z}]")).distinct()
-    return rows.join(map_labels(lines, vocab, unit_refs).select("label", "role_id"), "label").select("workbook_id", "sheet", "row", "role_id").distinct()
+    mapped = materialise(map_labels(lines, vocab, unit_refs, aliases).select("label", "role_id"))
+    if mapped.count() <= FEW_LABELS:
+        out = rows.join(F.broadcast(mapped), "label")
+    else:
+        out = balanced_join(rows, mapped, ["label"], ["workbook_id", "sheet", "row"])
+    return out.select("workbook_id", "sheet", "row", "role_id").distinct()

@@ -2,6 +2,7 @@
 
 import os
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from gridloom.llm.language import LANGS, SEEDS, label_code, language_segments, sentences, train, windows, wrong_labels
 from gridloom.llm.packing import pack_documents, pack_summary, sum_of_squares
 from gridloom.llm.tokens import VOCABULARIES, class_table, encode, encode_texts, merger, piece_offsets, scan_states, slices, NEXT
-from gridloom.llm.vocab import ALIASES, Canon, map_labels, map_lines
+from gridloom.llm import vocab as vocab_module
+from gridloom.llm.vocab import Canon, abbreviates, map_labels, map_lines
+from heldout_labels import NAMED, NOTHING
 
+TABLES = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, ids string"
 needs_files = pytest.mark.skipif(not os.path.exists(f"{VOCABULARIES}/byte_bpe_50k.tiktoken"), reason="no vocabularies here")
 
@@ -28,7 +32,7 @@ UNITS = ["ccy", "ccy_k", "ccy_m", "km", "m", "pct"]
     ("pipe nwtk length, km", 5), ("longueur des conduites - base case", 5), ("depn", 7), ("insurance renewal date", 0), ("company tax file check", 0), ("toll plaza count", 0), ("period end", 0), ("12.5", 0), ("???", 0), ("x" * 5000, 0),
 ])
 def test_label(label, role):
-    assert Canon(VOCAB, ALIASES, UNITS).find(label)[0] == role
+    assert Canon(VOCAB, {}, UNITS).find(label)[0] == role
 
 
 def test_longest_mention_wins():
@@ -37,6 +41,37 @@ def test_longest_mention_wins():
     assert canon.find("water tariff")[0] == 2 and canon.find(None)[0] == 0 and Canon([], {}, []).find("water")[0] == 0
 
 
+def test_short_forms():
+    assert abbreviates("o/s", "outstanding") and abbreviates("ntwk", "network") and not abbreviates("w", "water") and not abbreviates("twr", "water") and not abbreviates("water", "water")
+    assert Canon(VOCAB, {}, UNITS).find("insr prem")[0] == 4
+
+
+def test_further_wordings_are_a_parameter():
+    assert Canon(VOCAB, {}, []).find("gate money")[0] == 0 and Canon(VOCAB, {"toll_income": "gate money"}, []).find("gate money")[0] == 1
+
+
+@pytest.mark.skipif(not os.path.exists(TABLES), reason="no tables here")
+def test_wordings_that_stand_in_no_list(spark):
+    """Recall and false hits on wordings that neither the tables nor the lexicon hold."""
+    rows = spark.read.parquet(f"{TABLES}/role_vocab.parquet").collect()
+    canon = Canon([(r.role_id, r.role_name, r.vocab, r.what) for r in rows], {}, UNITS)
+    name = {r.role_id: r.role_name for r in rows}
+    want = [(w, role) for role, ws in NAMED.items() for w in ws]
+    got = [name.get(canon.find(w)[0]) == role for w, role in want]
+    assert sum(got) >= 0.95 * len(want)
+    assert sum(canon.find(w)[0] > 0 for w in NOTHING) <= 0.02 * len(NOTHING)
+
+
+def test_hot_labels_are_joined_in_shards(spark, monkeypatch):
+    """The way beyond the bound of the broadcast gives the same rows."""
+    vocab = spark.createDataFrame([(i, n, v) for i, n, v in VOCAB], "role_id int, role_name string, vocab string")
+    units = spark.createDataFrame([(u,) for u in UNITS], "unit_code string")
+    lines = spark.createDataFrame([("w", "S", i, "toll income" if i % 3 else f"depreciation {i} km") for i in range(300)], "workbook_id string, sheet string, `row` int, label string")
+    few = sorted(map(tuple, map_lines(lines, vocab, units).collect()))
+    monkeypatch.setattr(vocab_module, "FEW_LABELS", 0)
+    assert sorted(map(tuple, map_lines(lines, vocab, units).collect())) == few and len(few) == 300
+
+
 def test_map_lines(spark):
     schema = "workbook_id string, sheet string, `row` int, label string, role_id int"
     lines = [("w", "S", 1, "Toll income", 9), ("w", "S", 1, "Toll income", 9), ("w", "S", 2, None, 9), ("w", "S", 3, "   ", 9), ("w", "S", 4, "scenario switch", 9), (None, None, None, "toll receipts", None)]
