@@ -16,35 +16,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.tables import BLANK, broadcast_if_small, materialise, sheet_key, trimmed
+from gridloom.tables import BLANK, BLANKS, broadcast_if_small, materialise, sheet_key, trimmed
 
-#: Known spellings per unit code, in the folded form of :func:`fold`; money is spelled by rule in :func:`money_spellings`.
+#: Known spellings per unit code, in the folded form of :func:`fold`: marks, and names in one form each; plurals, other
+#: endings and slips of names are the edit distance's. Money is spelled by rule in :func:`money_spellings`.
 SPELLINGS = {
     "l": "l|litre|liter|litres|liters",
-    "kl": "kl|kilolitre|kiloliter|kilolitres|kiloliters|000 l|thousand litres",
-    "m3": "m3|cu m|cbm|cubic metre|cubic meter|cubic metres|cubic meters|kubikmeter|metres cubes",
-    "ml": "ml|megalitre|mega-litre|megalitres|megaliters|mega-litres|million litres",
-    "gl": "gl|gigalitre|gigalitres|gigaliters|giga-litres|000 ml|thousand ml|thousand megalitres",
-    "acre_ft": "acre ft|acre-ft|ac-ft|ac ft|af|acre feet|acre-feet|acre foot",
+    "kl": "kl|kilolitre|000 l|thousand litres",
+    "m3": "m3|cu m|cbm|cubic metre|kubikmeter|metres cubes",
+    "ml": "ml|megalitre|million litres",
+    "gl": "gl|gigalitre|000 ml|thousand ml|thousand megalitres",
+    "acre_ft": "acre ft|ac ft|ac-ft|af|acre feet|acre foot",
     "mgal_us": "us mgal|mgal us|mgal (us)|million us gal|million us gallons|million gallons us",
-    "kwh": "kwh|kw.h|kilowatt hour|kilowatt hours|kilowatt-hours|kilowattstunden",
-    "mwh": "mwh|mw.h|megawatt hour|megawatt hours|megawatt-hours|megawattstunden",
-    "gwh": "gwh|gw.h|gigawatt hour|gigawatt hours|gigawatt-hours|gigawattstunden",
-    "gj": "gj|gigajoule|gigajoules",
+    "kwh": "kwh|kw.h|kilowatt hour|kilowattstunden",
+    "mwh": "mwh|mw.h|megawatt hour|megawattstunden",
+    "gwh": "gwh|gw.h|gigawatt hour|gigawattstunden",
+    "gj": "gj|gigajoule",
     "mmbtu": "mmbtu|million btu|mm btu",
     "m": "m|metre|meter|metres|meters|running metres|lin. m|lin m|lfm|linear metres",
-    "km": "km|kilometre|kilometer|kilometres|kilometers",
+    "km": "km|kilometre",
     "mi": "mi|mile|miles|statute miles",
-    "kg": "kg|kilogram|kilograms|kilogramm|kilogrammes|kgs",
-    "t": "t|tonne|tonnes|tonnen|metric ton|metric tons|metric tonnes",
-    "kt": "kt|kilotonne|kilotonnes|000 t|thousand tonnes|000 tonnes|thousand t",
-    "lb": "lb|lbs|pound (weight)|pounds (weight)|pounds weight",
-    "short_ton": "short ton|short tons|us ton|us tons",
+    "kg": "kg|kilogram|kilogramme|kgs",
+    "t": "t|tonne|tonnes|tonnen|metric ton|metric tonnes",
+    "kt": "kt|kilotonne|000 t|thousand tonnes|000 tonnes|thousand t",
+    "lb": "lb|lbs|pound (weight)|pounds weight",
+    "short_ton": "short ton|us ton|us tons",
     "frac": "fraction|decimal|share of 1|frac|anteil",
-    "pct": "%|percent|per cent|pct|prozent|pour cent|percentage",
-    "bps": "bps|bp|b.p.|basis point|basis points|basispunkte",
+    "pct": "%|percent|pct|prozent|pour cent|percentage",
+    "bps": "bps|bp|b.p.|basis point|basispunkte",
     "year": "y|yr|yrs|year|years|jahr|jahre|ans|annees",
-    "quarter": "q|qtr|qtrs|quarter|quarters|quartale|trimestres",
+    "quarter": "q|qtr|qtrs|quarter|quartale|trimestres",
     "month": "mo|mos|mth|mths|month|months|monat|monate|mois",
 }
 CURRENCIES = ["$", "a$", "us$", "€", "£", "₹", "aud", "usd", "eur", "euro", "euros", "gbp", "inr", "rs", "rs.", "dollar", "dollars", "rupees"]
@@ -60,7 +61,7 @@ PRICES = {"ccy_per_kl": ("money", ["kl", "m3", "cu m", "cbm", "kilolitre", "cubi
 CENTS = ["c", "ct", "cent", "cents", "¢"]
 #: What stands in a units column in place of a unit; the next text is then looked at.
 PLACEHOLDERS = ["", "-", "--", "tbc", "tbd", "n/a", "na", "?", "n.a."]
-#: Spellings shorter than this must agree letter by letter, as one edit makes another unit of them.
+#: Spellings shorter than this must agree letter by letter, as one edit makes another unit of them; the most edits a letter.
 FUZZY_FROM, FUZZY_MOST = 6, 0.17
 
 
@@ -107,28 +108,55 @@ def grams(t: str, n: int = 3) -> set[str]:
     return {t[i : i + n] for i in range(len(t) - n + 1)}
 
 
+def _weights(t: str) -> tuple[list[float], list[float]]:
+    """What a letter costs to exchange, and to drop or add where it stands."""
+    w = [0.3 if c in " -.,_" else 3.0 if c.isdigit() else 1.0 for c in t]
+    return w, [0.6 if i and t[i - 1] == c else x for i, (c, x) in enumerate(zip(t, w))]
+
+
 def edit_cost(a: str, b: str, most: float) -> float:
     """Weighted edit distance with neighbouring letters exchanged; ``most`` ends it early.
 
     Blanks, hyphens and dots cost 0.3, doubled letters and exchanges 0.6, any other edit 1; digits cost 3.
     """
-    def w(c: str) -> float:
-        return 0.3 if c in " -.,_" else 3.0 if c.isdigit() else 1.0
-
+    if a == b:
+        return 0.0
+    wa, da = _weights(a)
+    wb, db = _weights(b)
     before: list[float] = []
     row = [0.0]
-    for c in b:
-        row.append(row[-1] + w(c))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [row[0] + w(x)]
-        for j, y in enumerate(b, 1):
-            best = before[j - 1] + (0 if x == y else max(w(x), w(y)))
-            best = min(best, before[j] + (0.6 if i > 1 and a[i - 2] == x else w(x)), row[j - 1] + (0.6 if j > 1 and b[j - 2] == y else w(y)))
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and x != y:
-                best = min(best, older[j - 2] + 0.6)
+    for x in wb:
+        row.append(row[-1] + x)
+    last = ""
+    for i, x in enumerate(a):
+        older, before = before, row
+        cost, drop = wa[i], da[i]
+        left = before[0] + cost
+        row = [left]
+        least = left
+        prev = ""
+        for j, y in enumerate(b):
+            if x == y:
+                best = before[j]
+            else:
+                k = wb[j]
+                best = before[j] + (cost if cost > k else k)
+                if prev == x and last == y and older[j - 1] + 0.6 < best:
+                    best = older[j - 1] + 0.6
+            up = before[j + 1] + drop
+            if up < best:
+                best = up
+            left += db[j]
+            if left < best:
+                best = left
             row.append(best)
-        if min(row) > most:
+            left = best
+            if best < least:
+                least = best
+            prev = y
+        if least > most:
             return most + 1
+        last = x
     return row[-1]
 
 
@@ -149,7 +177,7 @@ class UnitIndex:
         t = fold(text)
         if t in self.spellings:
             return self.spellings[t]
-        if len(t) < FUZZY_FROM or len(t) > 40:
+        if len(t) < FUZZY_FROM:
             return None
         shared: dict[int, int] = defaultdict(int)
         own = grams(t)
@@ -193,70 +221,94 @@ PLAIN = r"^\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?\s*$"
 AROUND = rf"(?s)^([^\d(\-−–+.]*)(\(?\s*{_NUM}\s*-?\)?)(\D.*)?$"
 
 
-def figure(value: Column) -> Column:
-    """The number of a text as double, in the notations of accounts; null where there is none."""
-    n = F.regexp_replace(value, rf"{BLANK}|['’]", "")
-    neg = n.rlike(r"^\(.*\)$") | n.rlike(r"^[-−–]") | n.rlike(r"-$")
-    n = F.regexp_replace(n, r"[()+\-−–](?![0-9]+$)|^[-−–+]", "")
-    both = n.rlike(r"\..*,") | n.rlike(r",.*\.")
-    dec_comma = n.rlike(r"^[^,]*\..*,[^.]*$")
-    one_comma = n.rlike(r"^[0-9]*,[0-9]*$") & ~n.rlike(r"^[1-9][0-9]{0,2},[0-9]{3}$")
-    out = (
-        F.when(both & dec_comma, F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(both, F.replace(n, F.lit(","), F.lit("")))
-        .when(one_comma, F.replace(n, F.lit(","), F.lit(".")))
-        .when(n.contains(","), F.replace(n, F.lit(","), F.lit("")))
-        .when(n.rlike(r"\..*\."), F.replace(n, F.lit("."), F.lit("")))
-        .otherwise(n)
+#: Stands between the parts of a value once they are told apart; in a cell it counts as a blank.
+_CUT = "\x01"
+
+
+def _parted(df: DataFrame, value: str) -> DataFrame:
+    """Adds ``_plain`` (a bare number), ``_figure`` and ``_rest``: the figure of any other value and what stands around it.
+
+    Each step is a column of its own, as composed expressions would be evaluated once for every mention of them.
+    """
+    out = df.withColumn("_plain", F.col(value).rlike(PLAIN))
+    held = ~F.col("_plain") & F.col(value).rlike(r"\d") & ~F.col(value).rlike(r"^\s*#|^\s*\d{4}-\d\d-\d\d")
+    out = out.withColumn("_p", F.when(held, F.split(F.regexp_replace(F.translate(value, _CUT, " "), AROUND, f"$1{_CUT}$2{_CUT}$3"), _CUT)))
+    out = out.withColumn("_p", F.when(F.size("_p") == 3, F.col("_p")))
+    return out.withColumn("_figure", F.col("_p")[1]).withColumn("_rest", F.nullif(trimmed(F.concat(F.col("_p")[0], F.col("_p")[2])), F.lit(""))).drop("_p")
+
+
+def _held(col: Column) -> Column:
+    """The column, with a condition on the partition's number that is always true: it keeps later filters above the steps
+    the column is made in. Pushed below they would hold all of them, each written out once for every mention."""
+    return F.when(F.spark_partition_id() >= 0, col)
+
+
+def cell_units(df: DataFrame, value: str, unit: str) -> DataFrame:
+    """Adds the text around the figure of ``value`` as ``unit``; null where nothing but a number stands there."""
+    return _parted(df, value).withColumn(unit, _held(F.col("_rest"))).drop("_plain", "_figure", "_rest")
+
+
+def cell_figures(df: DataFrame, value: str, number: str, unit: str) -> DataFrame:
+    """Adds ``number``, the figure of ``value`` in the notations of accounts, and ``unit``, the text around it."""
+    out = _parted(df, value).withColumnRenamed("_rest", unit)
+    out = out.withColumn("_n", F.translate("_figure", BLANKS + "'’", ""))
+    first = F.substring("_n", 1, 1)
+    out = out.withColumn("_neg", first.isin("-", "−", "–") | F.endswith("_n", F.lit("-")) | (first == "(") & F.endswith("_n", F.lit(")")))
+    # signs and brackets go, but for the sign of an exponent
+    out = out.withColumn("_n", F.regexp_replace("_n", r"[()+\-−–](?![0-9]+$)|^[-−–+]", ""))
+    out = out.withColumn("_dot", F.instr("_n", F.lit("."))).withColumn("_comma", F.instr("_n", F.lit(",")))
+    mirror = F.reverse("_n")
+    comma_last = (F.col("_dot") < F.col("_comma")) & (F.instr(mirror, F.lit(",")) < F.instr(mirror, F.lit(".")))
+    both, swap = (F.col("_dot") > 0) & (F.col("_comma") > 0), F.translate("_n", ",.", ".")
+    one_comma = F.col("_n").rlike(r"^[0-9]*,[0-9]*$") & ~F.col("_n").rlike(r"^[1-9][0-9]{0,2},[0-9]{3}$")
+    text = (
+        F.when(both, F.when(comma_last, swap).otherwise(F.translate("_n", ",", ""))).when(F.col("_comma") > 0, F.when(one_comma, swap).otherwise(F.translate("_n", ",", "")))
+        .when(F.col("_n").rlike(r"\..*\."), F.translate("_n", ".", "")).otherwise(F.col("_n"))
     )
-    x = out.try_cast("double")
-    return F.when(neg, -F.abs(x)).otherwise(x)
+    out = out.withColumn("_x", text.try_cast("double"))
+    got = F.when(F.col("_plain"), F.col(value).try_cast("double")).otherwise(F.when(F.col("_neg"), -F.abs("_x")).otherwise(F.col("_x")))
+    return out.withColumn(number, _held(got)).drop("_plain", "_figure", "_n", "_neg", "_dot", "_comma", "_x")
 
 
-def cell_parts(value: Column) -> tuple[Column, Column]:
-    """(number, unit text) of a cell's value; the unit text is null where nothing but a number stands there."""
-    plain, none = value.rlike(PLAIN), value.rlike(r"^\s*#|^\s*\d{4}-\d\d-\d\d") | ~value.rlike(r"\d")
-    rest = trimmed(F.concat(F.regexp_extract(value, AROUND, 1), F.regexp_extract(value, AROUND, 3)))
-    text = F.when(~plain & ~none & (rest != ""), rest)
-    number = F.when(plain, value.try_cast("double")).when(~none, figure(F.regexp_extract(value, AROUND, 2)))
-    return number, text
+def flat_text(text: Column) -> Column:
+    """The text with every kind of blank as a blank and none outside; what :func:`text_candidates` reads."""
+    return F.btrim(F.translate(text, BLANKS, " " * len(BLANKS)))
 
 
-def text_candidates(text: Column) -> list[Column]:
+def text_candidates(flat: Column) -> list[Column]:
     """Where a label or section may hold a unit, last place first: outer brackets at the end, after " in ", a comma, a dash."""
-    t = trimmed(F.regexp_replace(text, BLANK, " "))
     found = [r"[(\[]([^()\[\]]+(?:\([^()]*\))?)[)\]]$", r"^.*[^,]\s(?:in|IN|In)\s+(\S.*)$", r"^.*\S,\s+(\S[^,]*)$", r"^.*\s[-–]\s+(\S.*)$", r"^.*[(\[]([^()\[\]]+)[)\]].*$"]
-    return [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in found]
+    return [F.regexp_extract(flat, p, 1) for p in found]
 
 
 def line_units(lines: DataFrame, alias: DataFrame, small: int) -> DataFrame:
     """The unit written for each line: in its units, else its label, else its section; one row per line.
 
-    A units text that is no placeholder and no known unit ends the search: the line has no unit of the list.
-    Copies of a line that differ are settled by the newest loaded copy.
+    A units text that is no placeholder and no known unit ends the search: the line has no unit of the list. Copies of a
+    line that differ are settled by the newest loaded copy. Every place that may hold a unit is a row with its rank, so the
+    dictionary is joined once; the rows of a line stay in its partition, and its least rank with a unit wins.
     """
     keys = ["workbook_id", "k", "row"]
     one = lines.filter("workbook_id is not null and sheet is not null and `row` is not null").groupBy("workbook_id", sheet_key(F.col("sheet")).alias("k"), "row").agg(
         F.max_by(F.struct("sheet", "units", "label", "section"), F.struct("loaded_at", "units", "label", "section")).alias("x")
     )
-    units = trimmed(F.col("x.units"))
-    cands = [F.when(units.isNull() | F.lower(units).isin(PLACEHOLDERS), None).otherwise(units), *text_candidates(F.col("x.label")), *text_candidates(F.col("x.section"))]
-    out = one.select(*keys, F.col("x.sheet").alias("sheet"), *[c.alias(f"s{i}") for i, c in enumerate(cands)])
-    for i in range(len(cands)):
-        a = alias.select(F.col("spelling").alias(f"s{i}"), F.struct("unit_code", "common_code", "factor").alias(f"u{i}"))
-        out = out.join(broadcast_if_small(a, small), f"s{i}", "left")
-    unit = F.when(F.col("s0").isNotNull(), F.col("u0")).otherwise(F.coalesce(*[F.col(f"u{i}") for i in range(1, len(cands))]))
-    return out.select(*keys, "sheet", unit.alias("unit"))
+    one = one.select(*keys, F.col("x.sheet").alias("sheet"), trimmed(F.col("x.units")).alias("units"), flat_text(F.col("x.label")).alias("label"), flat_text(F.col("x.section")).alias("section"))
+    stated = F.col("units").isNotNull() & ~F.lower("units").isin(PLACEHOLDERS)
+    places = F.when(stated, F.array("units")).otherwise(F.array(*text_candidates(F.col("label")), *text_candidates(F.col("section"))))
+    each = one.select(*keys, "sheet", F.posexplode_outer(F.array_remove(places, "")).alias("rank", "spelling"))
+    a = alias.select("spelling", F.struct("unit_code", "common_code", "factor").alias("unit"))
+    met = each.join(broadcast_if_small(a, small), "spelling", "left")
+    best = F.min(F.when(F.col("unit").isNotNull(), F.struct("rank", "unit")))
+    return met.groupBy(*keys).agg(F.first("sheet").alias("sheet"), best.alias("b")).select(*keys, "sheet", F.col("b.unit").alias("unit"))
 
 
 def spellings_of(cells: DataFrame, lines: DataFrame) -> DataFrame:
     """Distinct texts that may be units, gathered with map-side combination."""
     units = lines.select(trimmed(F.col("units")).alias("spelling"))
-    texts = lines.select("label", "section").distinct()
-    cands = [*text_candidates(F.col("label")), *text_candidates(F.col("section"))]
-    around = texts.select(F.explode(F.array(*cands)).alias("spelling"))
-    inside = cells.select(cell_parts(F.col("value"))[1].alias("spelling"))
-    return units.unionByName(around).unionByName(inside).filter(F.col("spelling").rlike(r"^.{0,39}[\p{L}\p{Sc}%]") & (F.length("spelling") <= 40)).distinct()
+    texts = lines.select(F.explode(F.array("label", "section")).alias("t")).distinct().select(flat_text(F.col("t")).alias("t"))
+    around = texts.select(F.explode(F.array(*text_candidates(F.col("t")))).alias("spelling"))
+    inside = cell_units(cells.select("value"), "value", "spelling").select("spelling")
+    return units.unionByName(around).unionByName(inside).filter(F.col("spelling").rlike(r"[\p{L}\p{Sc}%]")).distinct()
 
 
 def common_quantities(cells: DataFrame, lines: DataFrame, sheets: DataFrame, unit_refs: DataFrame) -> DataFrame:
@@ -267,7 +319,7 @@ def common_quantities(cells: DataFrame, lines: DataFrame, sheets: DataFrame, uni
     Of copies of a cell the newest holds, of equally new ones the greater value. Rows without a full address, lines
     without a unit of the list, dates, errors and texts without a number give nothing, empty tables give no rows.
     """
-    alias = materialise(alias_dictionary(spellings_of(cells, lines), unit_refs), 1)
+    alias = materialise(alias_dictionary(spellings_of(cells, lines), unit_refs))
     n_alias = alias.count()
     unit = line_units(lines, alias, n_alias)
     right = sheets.filter("workbook_id is not null and sheet is not null").groupBy("workbook_id", sheet_key(F.col("sheet")).alias("k")).agg(
@@ -281,8 +333,7 @@ def common_quantities(cells: DataFrame, lines: DataFrame, sheets: DataFrame, uni
     flat = flat.select(lead, "*").repartition(*keys)
     newest = flat.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "col").orderBy(F.desc("loaded_at"), F.desc("value")))).filter("n = 1")
     newest = newest.join(unit.select(lead, "*").repartition(*keys), keys).filter(F.col("col") > F.coalesce("units_col", F.lit(0)))
-    number, text = cell_parts(F.col("value"))
-    got = newest.withColumn("number", number).withColumn("cell_unit", text)
+    got = cell_figures(newest, "value", "number", "cell_unit")
     own = alias.select(F.col("spelling").alias("cell_unit"), F.struct("unit_code", "common_code", "factor").alias("own"))
     got = got.join(broadcast_if_small(own, n_alias), "cell_unit", "left")
     got = got.withColumn("u", F.when(F.col("cell_unit").isNotNull(), F.col("own")).otherwise(F.col("unit"))).filter("number is not null and u is not null")
@@ -290,6 +341,6 @@ def common_quantities(cells: DataFrame, lines: DataFrame, sheets: DataFrame, uni
 
 
 def converted(cells: DataFrame, lines: DataFrame, sheets: DataFrame, unit_refs: DataFrame) -> DataFrame:
-    """The quantities recorded in another than the common unit, in millionths of the common unit."""
+    """The quantities recorded in another than the common unit, in millionths of the common unit; one row a cell."""
     q = common_quantities(cells, lines, sheets, unit_refs).filter("unit_code <> common_code")
-    return q.select("workbook_id", "sheet", "row", "col", F.round(F.col("common_value") * 1_000_000).cast("long").alias("common_micro")).distinct()
+    return q.select("workbook_id", "sheet", "row", "col", F.round(F.col("common_value") * 1_000_000).cast("long").alias("common_micro"))
