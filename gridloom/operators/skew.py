@@ -1,8 +1,9 @@
 """Per-key results when a few keys hold most rows: fragment and replicate by estimated load.
 
-Keys are bin-packed to tasks by their row counts. A key larger than one task's share is cut into shards in
-proportion to its load; the matching side is copied to exactly those shards. Light keys go through a bounded
-number of hash bins, so the plan held by the driver is bounded by the number of tasks, not by the data.
+Keys are bin-packed to tasks by load. A key larger than one task's share is cut into shards in proportion to its
+load; the matching side is copied to exactly those shards. Light keys go through a bounded number of hash bins, so
+the plan held by the driver is bounded by the number of tasks, not by the data. Where whole rows move (joins,
+cogroups) they go to the very task the packing chose.
 """
 
 from __future__ import annotations
@@ -52,32 +53,34 @@ def pack_bins(loads: list[tuple[int, int]], tasks: int, start: list[int]) -> lis
     return place
 
 
-def plan_shards(loads: DataFrame, keys: Sequence[str], tasks: int) -> ShardPlan:
+def plan_shards(rows: DataFrame, keys: Sequence[str], tasks: int) -> ShardPlan:
     """Cut keys above one task's share into shards and bin-pack everything else.
 
-    ``loads`` has the key columns and ``load``. A key gets ``ceil(load / share)`` shards where ``share`` is
-    total / tasks, so at most ``tasks`` keys are heavy and only those are brought to the driver.
+    Only the loads of ``16 * tasks`` hash bins are counted over all rows; keys are counted one by one just inside the
+    bins that hold more than a task's share. A key gets ``ceil(load / share)`` shards where ``share`` is total / tasks, so
+    at most ``tasks`` keys are heavy and only those are brought to the driver. Both passes combine on the map side.
     """
     keys = list(keys)
     n_bins = tasks * BINS_PER_TASK
-    total = loads.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
+    keyed = rows.select(key_of(keys).alias("k")).withColumn("b", F.pmod("k", F.lit(n_bins)).cast("int"))
+    load = {r["b"]: r["load"] for r in key_loads(keyed, ["b"]).collect()}
+    total = sum(load.values())
     share = max(1, -(-total // tasks))
-    rows = loads.filter(F.col("load") > share).select(key_of(keys).alias("k"), "load").orderBy("k").collect()
+    full = sorted(b for b, n in load.items() if n > share)
+    heavy_rows = []
+    if full:
+        heavy_rows = key_loads(keyed.filter(F.col("b").isin(full)), ["k", "b"]).filter(F.col("load") > share).orderBy("k").collect()
     filled, shards, at = [0] * tasks, {}, 0
-    for r in rows:
+    for r in heavy_rows:
         n = -(-r["load"] // share)
         shards[r["k"]] = [(at + i) % tasks for i in range(n)]
         for t in shards[r["k"]]:
             filled[t] += r["load"] // n
         at += n
-    light = (
-        loads.filter(F.col("load") <= share)
-        .groupBy(F.pmod(key_of(keys), F.lit(n_bins)).alias("b")).agg(F.sum("load").alias("load")).collect()
-    )
-    placed = pack_bins([(r["b"], r["load"]) for r in light], tasks, filled)
+        load[r["b"]] -= r["load"]
+    placed = pack_bins(sorted(load.items()), tasks, filled)
     placed += [i % tasks for i in range(len(placed), n_bins)]
-    spark = loads.sparkSession
-    heavy = spark.createDataFrame([(k, s) for k, s in shards.items()], "heavy_key long, shard_tasks array<int>")
+    heavy = rows.sparkSession.createDataFrame(list(shards.items()), "heavy_key long, shard_tasks array<int>")
     return ShardPlan(keys, tasks, total, heavy, len(shards), placed, shards)
 
 
@@ -112,6 +115,11 @@ def replicate(df: DataFrame, plan: ShardPlan) -> DataFrame:
     return out.withColumn("task", task).drop("_key", "_bin", "shard_tasks")
 
 
+def at_task(df: DataFrame, plan: ShardPlan) -> DataFrame:
+    """Every row in the partition its ``task`` names, so that the packing decides where work is done."""
+    return df.repartitionById(plan.tasks, "task")
+
+
 def default_tasks(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -119,12 +127,13 @@ def default_tasks(df: DataFrame) -> int:
 def balanced_counts(df: DataFrame, keys: Sequence[str], spread: Sequence[str], tasks: int | None = None) -> DataFrame:
     """Rows per key with ``share`` of all rows, made shard by shard.
 
+    Counts are combined before they move, one number a key and map task, so the shards' numbers and no rows travel.
     Nulls form a key of their own. An empty input gives an empty result. Columns besides ``keys`` and ``spread``
     are ignored. Result: keys, n_rows long, n_shards int, share double.
     """
     keys = list(keys)
     rows = df.select(*dict.fromkeys([*keys, *spread]))
-    plan = plan_shards(key_loads(rows, keys), keys, tasks or default_tasks(df))
+    plan = plan_shards(rows, keys, tasks or default_tasks(df))
     part = fragment(rows, plan, spread).groupBy("task", "shard", *keys).agg(F.count(F.lit(1)).alias("n"))
     whole = part.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("n_shards"))
     return whole.withColumn("share", F.col("n_rows") / F.lit(float(max(1, plan.total))))
@@ -140,8 +149,8 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread
         raise ValueError("how must be inner or left: a right row is copied to several shards")
     keys = list(keys)
     n = tasks or default_tasks(left)
-    plan = plan_shards(key_loads(left, keys), keys, n)
-    a = fragment(left, plan, spread)
+    plan = plan_shards(left, keys, n)
+    a = at_task(fragment(left, plan, spread), plan)
     right = right.select(*[F.col(c).alias(c if c in keys or c not in left.columns else f"{c}_r") for c in right.columns])
-    b = replicate(right.dropna(subset=keys), plan)
+    b = at_task(replicate(right.dropna(subset=keys), plan), plan)
     return a.join(b, ["task", "shard", *keys], how).drop("task", "shard")

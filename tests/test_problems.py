@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.refs import ref_rows
 from gridloom.operators.hierarchy import hierarchy, sheet_hierarchy
+from gridloom.operators import orphans
 from gridloom.operators.orphans import orphan_references
-from gridloom.operators.skew import balanced_counts, balanced_join, pack_bins, plan_shards, key_loads
+from gridloom.operators.skew import at_task, balanced_counts, balanced_join, fragment, pack_bins, plan_shards, replicate
 from gridloom.operators.units import UnitIndex, converted, edit_cost, known_spellings
-from gridloom.operators.widen import cents, day, flag, months, number, widen_register
+from gridloom.operators.widen import Headings, cents, day, flag, months, number, widen_register
 from gridloom.tables import sheet_key
 
 T0 = datetime(2025, 1, 1)
@@ -39,7 +40,7 @@ def test_sheet_key(spark):
 
 def test_unit_spellings():
     ix = UnitIndex(known_spellings([c for c, *_ in REFS]))
-    for text, code in {"$'000": "ccy_k", "A$ (000s)": "ccy_k", "in Mio. EUR": "ccy_m", "mn $": "ccy_m", "₹ crore": "ccy_crore", " ML p.a. ": "ml", "[per cent]": "pct", "share of 1": "frac", "mega-litrs": "ml", "kilometrs": "km",
+    for text, code in {"kilo-metres": "km", "kilometrse": "km", "megaliter": "ml", "mega litres": "ml", "kilolitr": "kl", "x " * 5000: None, "m" * 41 + " kilometres": None, "$'000": "ccy_k", "A$ (000s)": "ccy_k", "in Mio. EUR": "ccy_m", "mn $": "ccy_m", "₹ crore": "ccy_crore", " ML p.a. ": "ml", "[per cent]": "pct", "share of 1": "frac", "mega-litrs": "ml", "kilometrs": "km",
                        "FTE": None, "x": None, "": None, "score": None, "mths": "month", "single Euro": "ccy"}.items():
         assert ix.find(text) == code, text
     assert edit_cost("ab", "ba", 9) == pytest.approx(0.6) and edit_cost("a b", "ab", 9) == pytest.approx(0.3) and edit_cost("abc", "xyz", 1) > 1
@@ -112,6 +113,18 @@ def test_orphans_against_brute_force(spark):
     assert {r[3] for r in rows(empty)} == {"missing"}
 
 
+def test_spans_over_several_ranges(spark, monkeypatch):
+    """Spans are probed as intervals: over the ends of ranges, with holes, deleted and late rows in them."""
+    monkeypatch.setattr(orphans, "ROWS_AT_ONCE", 7)
+    late, gone = T0 + timedelta(days=50), T0 + timedelta(days=5)
+    there = [("w", "S", r, None, None, None, T0, None, "x") for r in range(4000, 9000) if r != 4500]
+    lines = [*there, ("w", "L", 10, None, None, None, late, None, "x"), ("w", "L", 11, None, None, None, T0, gone, "x"), ("w", "L", 12, None, None, None, T0, None, "x")]
+    refs = ["S!$A$4501:$A$8999", "S!$A$4090:$A$4100", "S!$A$4400:$A$4600", "S!$A$8999:$A$9000", "L!$A$10:$A$12", "L!$A$10", "L!$A$11:$A$12", "L!$A$12:$C$12", "S!$A$4096:$A$4096,L!$A$10"]
+    names = [(i, "w", "n", r, None, T0 + timedelta(days=9), "") for i, r in enumerate(refs)]
+    got = orphan_references(spark.createDataFrame(lines, LINE), spark.createDataFrame([], EDGE), spark.createDataFrame(names, NAME))
+    assert sorted((r.ref_id, r.reason) for r in got.collect()) == [(2, "missing"), (3, "missing"), (4, "deleted"), (5, "late"), (6, "deleted"), (8, "late")]
+
+
 # ------------------------------------------------------------------ hierarchies
 
 
@@ -123,6 +136,9 @@ def test_hierarchy_against_brute_force(spark):
         nodes += [(g, n) for n in names] + [(g, names[0]), (g, None)]
         links += [(g, n, rng.choice(names)) for n in names if rng.random() < 0.85]
     nodes += [("d", f"d{i}") for i in range(6)]
+    chain = [f"e{i:02d}" for i in range(30)]  # deeper than a round goes down, and a loop longer than that with a tail
+    nodes += [("e", x) for x in chain] + [("f", x) for x in chain]
+    links += [("e", b, a) for a, b in zip(chain, chain[1:])] + [("f", b, a) for a, b in zip(chain[:20], chain[1:20])] + [("f", chain[0], chain[11])]
     links += [("d", "d1", "d3"), ("d", "d3", "d2"), ("d", "d2", "d1"), ("d", "d0", "d1"), ("d", "d4", "d0")]
     links += [links[0], ("a", "a01", "nowhere"), ("z", "a01", "a02"), (None, "a", "b")]
     parent = {}
@@ -165,8 +181,10 @@ def test_balanced(spark):
     for k, *_ in data:
         want[k] = want.get(k, 0) + 1
     assert got == want
-    plan = plan_shards(key_loads(df, ["key"]), ["key"], 8)
+    plan = plan_shards(df, ["key"], 8)
     assert plan.heavy_keys == 1 and [len(v) for v in plan.shards.values()] == [6]
+    for side in (fragment(df, plan, ["id"]), replicate(df, plan)):  # the packing decides where rows are
+        assert at_task(side, plan).filter(F.spark_partition_id() != F.col("task")).count() == 0
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("none", 4), (None, 5)], "key string, id int")
     plain = df.join(right.withColumnRenamed("id", "id_r"), "key", "left")
     assert sorted(map(str, balanced_join(df, right, ["key"], ["id"], "left", 8).select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
@@ -185,10 +203,27 @@ def test_encoders():
     assert [flag(x) for x in ("Yes ", "0", "nein", "TRUE", "?", None)] == ["true", "false", "false", "true", "", ""]
 
 
+ATTRS = [("site", "text", "where it stands"), ("asset_code", "text", "code of the asset"), ("asset_class", "text", "kind of asset"), ("cost", "number", "what it cost"), ("insured", "number", "value insured"),
+         ("in_service", "date", "first day of use"), ("life_months", "integer", "useful life in months"), ("active", "boolean", "in use or not"), ("active", "boolean", "in use or not"), (None, "text", None), ("odd", "blob", "?")]
+
+
+@pytest.mark.parametrize(("heading", "attr"), [
+    ("Anlagennummer", "asset_code"), ("Kategorie", "asset_class"), ("Lieu", "site"), ("Prix d'achat", "cost"), ("Kaufpreis", "cost"), ("Valeur assurée", "insured"), ("Versicherungssumme", "insured"), ("Start date:", "in_service"), ("Nutzungsbeginn", "in_service"),
+    ("Lifetime in months", "life_months"), ("Vida útil (meses)", "life_months"), ("still_in_use ?", "active"), ("Operational", "active"), ("Standort der Anlage", "site"),
+    ("Remark", None), ("Insured by", None), ("Audit date", None), ("Warranty months", None), ("Book value", None), ("No", None), ("no", None), ("Code 7", None), ("", None), (None, None), ("x " * 5000, None),
+])
+def test_headings(heading, attr):
+    assert Headings([(a, m) for a, t, m in ATTRS if a and t != "blob"]).find(heading) == attr
+
+
 def test_widen(spark):
     c = lambda r, k, v, t=0, w="w": (w, "Asset_Register", r, k, v, T0 + timedelta(days=t), "x")
     cells = [c(1, 1, "Register"), c(3, 1, "Asset code:"), c(3, 2, " COST"), c(3, 3, "Remark"), c(3, 4, "Aktiv"), c(4, 1, "AB-1 "), c(4, 2, "old"), c(4, 2, "12.5", 2), c(4, 2, "older", 1), c(4, 4, "ja"), c(5, 1, "Total"), c(5, 2, "99"),
              c(6, 1, "Asset code"), c(6, 2, "Cost"), c(6, 4, "Aktiv"), c(7, 1, " 100001"), c(7, 2, "n/a"), c(7, 3, "note"), c(7, 4, None), c(8, 2, "5"), c(4, 1, "AB-1 "), c(2, 1, "AB-9"), c(4, 1, "Z-1", 0, "v"), (None, "Asset_Register", 4, 1, "Q-1", T0, ""), ("w", "Other", 4, 1, "Q-1", T0, "")]
-    got = rows(widen_register(spark.createDataFrame(cells, CELL)))
+    attrs = spark.createDataFrame(ATTRS, "attr string, dtype string, meaning string")
+    order = ["workbook_id", "row", "asset_code", "asset_class", "site", "cost_cents", "insured_cents", "in_service", "life_months", "active"]
+    got = rows(widen_register(spark.createDataFrame(cells, CELL), attrs).select(*order))
     assert got == [("w", 4, "AB-1", "", "", 1250, -1, "", -1, "true"), ("w", 7, "100001", "", "", -1, -1, "", -1, "")]
-    assert widen_register(spark.createDataFrame([], CELL)).count() == 0
+    assert widen_register(spark.createDataFrame([], CELL), attrs).count() == 0
+    fewer = widen_register(spark.createDataFrame(cells, CELL), attrs.filter("attr in ('asset_code', 'cost')"))
+    assert fewer.columns == ["workbook_id", "row", "asset_code", "cost_cents"] and rows(fewer) == [("w", 4, "AB-1", 1250), ("w", 7, "100001", -1)]
