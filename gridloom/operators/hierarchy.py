@@ -1,7 +1,7 @@
 """Parent-child links of unknown depth to full hierarchies: path, depth, root, descendants and cycles.
 
-Level-wise frontier joins start at the roots and extend path and depth by one level a round, for all trees at
-once. A node no round reaches lies on or below a cycle; pointer doubling finds the cycle and its smallest name in
+Level-wise frontier joins start at the roots and extend paths and depths, for all trees at once; a round joins its
+frontier with the links of the next levels, several at a time. A node no round reaches lies on or below a cycle; pointer doubling finds the cycle and its smallest name in
 a logarithmic number of rounds, and a second set of frontiers starts from the cycles' nodes.
 """
 
@@ -15,23 +15,40 @@ from gridloom.tables import materialise, new_folder, sheet_key, trimmed
 SEP = " > "
 
 
+#: Levels a round goes down; a power of two. The links of so many levels are made once, by doubling.
+STRIDE = 8
+
+
+def _strides(children: DataFrame) -> DataFrame:
+    """Links over one to ``STRIDE`` levels: grp, node, child, hop, mid (the nodes below ``node`` down to the child)."""
+    links = children.select("grp", F.col("parent").alias("node"), F.col("node").alias("child"), F.lit(1).alias("hop"), F.array("node").alias("mid"))
+    reach = 1
+    while reach < STRIDE:
+        links = materialise(links)
+        below = links.select("grp", F.col("node").alias("child"), F.col("child").alias("to"), F.col("hop").alias("more"), F.col("mid").alias("then"))
+        longer = links.filter(F.col("hop") == reach).join(below, ["grp", "child"])
+        links = links.unionByName(longer.select("grp", "node", F.col("to").alias("child"), (F.col("hop") + F.col("more")).alias("hop"), F.concat("mid", "then").alias("mid")))
+        reach *= 2
+    return materialise(links)
+
+
 def _levels(start: DataFrame, children: DataFrame) -> DataFrame:
-    """Frontier rounds: ``start`` has grp, node, path (array); each round joins the frontier with its children.
+    """Frontier rounds: ``start`` has grp, node, path (array); a round joins the frontier with the links of the next levels.
 
-    A round's frontier is a folder of the shared folder, so lineage stays one join deep whatever the depth, and all
-    rounds are read back by one scan. Rounds are as many as the deepest tree has levels; every node enters once.
+    A round is a folder of the shared folder, so lineage stays one join deep whatever the depth, and all rounds are
+    read back by one scan. Every node enters once; only nodes of a round's last level are the next frontier.
     """
-    spark, at, level = start.sparkSession, new_folder(start.sparkSession), 0
-    schema = start.select("grp", "node", "path").schema
-    step = children.select("grp", F.col("parent").alias("node"), F.col("node").alias("child"))
-    start.select("grp", "node", "path").write.parquet(f"{at}/level=0")
+    spark, at, n = start.sparkSession, new_folder(start.sparkSession), 0
+    step = _strides(children)
+    first = start.select("grp", "node", "path", F.lit(STRIDE).alias("hop"))
+    first.write.parquet(f"{at}/round=0")
     while True:
-        frontier = spark.read.schema(schema).parquet(f"{at}/level={level}")
+        met = spark.read.schema(first.schema).parquet(f"{at}/round={n}")
+        frontier = met.filter(F.col("hop") == STRIDE).select("grp", "node", "path")
         if frontier.isEmpty():
-            return spark.read.schema(schema).parquet(*[f"{at}/level={n}" for n in range(max(1, level))])
-        level += 1
-        grown = frontier.join(step, ["grp", "node"]).select("grp", F.col("child").alias("node"), F.array_append("path", F.col("child")).alias("path"))
-        grown.write.parquet(f"{at}/level={level}")
+            return spark.read.schema(first.schema).parquet(*[f"{at}/round={i}" for i in range(n + 1)]).select("grp", "node", "path")
+        n += 1
+        frontier.join(step, ["grp", "node"]).select("grp", F.col("child").alias("node"), F.concat("path", "mid").alias("path"), "hop").write.parquet(f"{at}/round={n}")
 
 
 def hierarchy(nodes: DataFrame, links: DataFrame) -> DataFrame:
