@@ -61,7 +61,8 @@ def p5_sheet_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return widen_register(read(spark, d, "cells"))
+    wide = widen_register(read(spark, d, "cells"), read(spark, d, "register_attrs"))
+    return wide.select("workbook_id", "row", "asset_code", "asset_class", "site", "cost_cents", "insured_cents", "in_service", "life_months", "active")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
