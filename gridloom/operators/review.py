@@ -36,6 +36,8 @@ DISCOUNTING = [
 ]
 DEBT_FUNDING = r"drawdown|fund(ed|ing)?|facility|repay|refinanc"
 CASHFLOW = r"cash ?flow|fcf|ebitda|ebit\b|distribution|dividend|capex|capital expenditure|tax paid|working capital|revenue|opex|operating cost"
+# Cash-flow words and what they are called in full.
+FULL_WORDS = {"capex": "capital expenditure", "fcf": "free cash flow", "cashflow": "cash flow", "opex": "operating cost"}
 TIMELINE = r"\b(?:period|date|year|quarter|month|flag|counter)s?\b|days in"
 ASSUMPTIONS = [
     (r"wacc|discount|cost of (equity|debt|capital)|\bbeta\b|premium|gearing|risk", "discount rate"), (r"valuation date", "valuation date"), (r"terminal|perpetuity|exit multiple", "terminal growth"),
@@ -125,7 +127,7 @@ def classify(rows: DataFrame) -> DataFrame:
         discounting = discounting.when(said(p) & (n >= least), got("discounting label", "discounting", sub))
     flow = said(CASHFLOW) & ~is_typed & yes("in_cf_lineage")
     word = F.lower(F.regexp_extract(label, f"(?i)({CASHFLOW})", 1))
-    named = F.when(word == "capex", "capital expenditure").when(word == "fcf", "free cash flow").when(word == "cashflow", "cash flow").when(word == "opex", "operating cost").otherwise(word)
+    named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FULL_WORDS.items() for x in kv]), word), word)
     rules = [
         F.when(F.col("role").isNotNull(), got("role", F.split_part("role", F.lit("/"), F.lit(1)), F.split_part("role", F.lit("/"), F.lit(2)))),
         F.when(F.col("bridge_term").isNotNull(), got("bridge", "bridge", F.coalesce(F.nullif(first_of(F.concat(label, F.lit(" "), F.col("bridge_term")), BRIDGE, ""), F.lit("")), F.when(is_typed, "bridge input").otherwise("bridge calculation")))),
