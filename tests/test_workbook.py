@@ -80,3 +80,22 @@ def test_reader_details():
     by = {(c["sheet"], c["addr"]): c for c in cells}
     assert by["Inputs", "D7"]["value"] == "1" and by["Inputs", "D7"]["value_kind"] == "bool"
     assert by["Inputs", "E7"]["value"] == "#DIV/0!" and by["Inputs", "D2"]["value_date"] == date(2025, 6, 30)
+
+
+def test_edges_whose_targets_depend_on_values(spark, tmp_path):
+    """OFFSET, conditional sums, INDEX with MATCH, CHOOSE and whole rows get their targets from saved values of any sheet."""
+    days = [(2, 4 + i, None, date(2025 + i, 6, 30)) for i in range(4)]
+    label = lambda r, t: (r, 1, None, t)
+    data = [*days, *[label(r, f"item {k}") for r, k in ((5, "x"), (6, "y"), (7, "x"), (8, "z"))], *[(r, 2, None, k) for r, k in ((5, "x"), (6, "y"), (7, "x"), (8, "z"))], *[(r, 4 + i, None, float(r + i)) for r in range(5, 9) for i in range(4)]]
+    use = [*days, label(4, "shift"), (4, 4, None, 2.0), label(5, "key"), (5, 4, None, "y"), label(6, "moved"), (6, 4, "=OFFSET(Data!D5,D4,0)", 7.0), label(7, "sum"), (7, 4, '=SUMIFS(Data!D5:D8,Data!B5:B8,"x")', 12.0),
+           label(8, "found"), (8, 4, "=INDEX(Data!D5:D8,MATCH(D5,Data!B5:B8,0))", 6.0), label(9, "choice"), (9, 4, "=CHOOSE(pick,Data!D5,Data!D8)", 8.0), label(10, "rows"), (10, 4, "=SUM(Data!5:6)", 1.0), label(11, "odd"), (11, 4, "=SUM((", 1.0)]
+    (tmp_path / "m.xlsx").write_bytes(write_workbook({"Data": data, "Use": use}, {"pick": "step", "step": "Use!$D$4"}))
+    t = split_records(load_workbooks(spark, str(tmp_path)))
+    layouts = detect_layout(t["cells"])
+    lines = line_items(t["cells"], layouts)
+    got = {(r.src_row, r.dst_sheet, r.dst_row): r.kind for r in dependency_edges(t["cells"], layouts, lines, t["names"]).filter("src_sheet = 'Use'").collect()}
+    assert {k[1:]: v for k, v in got.items() if k[0] == 6} == {("Data", 7): "offset", ("Use", 4): "direct"}
+    assert {k[2]: v for k, v in got.items() if k[0] == 7} == {5: "active", 6: "inactive", 7: "active", 8: "inactive"}
+    assert {k[1:]: v for k, v in got.items() if k[0] == 8} == {("Data", 5): "inactive", ("Data", 6): "active", ("Data", 7): "inactive", ("Data", 8): "inactive", ("Use", 5): "direct"}
+    assert {k[1:]: v for k, v in got.items() if k[0] == 9} == {("Data", 5): "inactive", ("Data", 8): "direct", ("Use", 4): "direct"}
+    assert {k[1:]: v for k, v in got.items() if k[0] == 10} == {("Data", 5): "direct", ("Data", 6): "direct"} and not any(k[0] == 11 for k in got)
