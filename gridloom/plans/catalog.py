@@ -58,6 +58,16 @@ def live_cells(t: Tables, *cols: str) -> DataFrame:
     return t.cells.select(*keys, *cols, "loaded_at").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "loaded_at")
 
 
+LINE_ORDER = ["loaded_at", "deleted_at", "label", "section", "units", "n_formula", "n_const"]
+LIVE_LINES = f"""lines AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id, sheet, row ORDER BY {", ".join(f"{c} DESC NULLS LAST" for c in LINE_ORDER)}) rn FROM line_items) WHERE rn = 1 AND deleted_at IS NULL)"""
+
+
+def live_lines(t: Tables) -> DataFrame:
+    """The newest copy of every line that is not deleted; of equally new ones a deletion holds, then the greater texts."""
+    w = Window.partitionBy("workbook_id", "sheet", "row").orderBy(*[F.desc_nulls_last(c) for c in LINE_ORDER])
+    return t.line_items.withColumn("_n", F.row_number().over(w)).filter("_n = 1 and deleted_at is null").drop("_n")
+
+
 @query("""SELECT c_nationkey AS nation, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS col, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
 def cells_from_orders(t: Tables) -> DataFrame:
@@ -73,11 +83,12 @@ def line_item_map(t: Tables) -> DataFrame:
         F.count("formula").alias("n_formula"), F.count_if(F.col("formula").isNull()).alias("n_const"), F.countDistinct("value").alias("n_values"), F.min_by("value", "col").alias("first_value"))
 
 
-@query("""SELECT sheet, count(*) AS n_cells, count(*) FILTER (formula IS NOT NULL) AS n_formula, count(*) FILTER (value_kind = 'date') AS n_date, count(*) FILTER (value_kind = 'num') AS n_num,
-    count(*) FILTER (value_kind = 'text') AS n_text, count(*) FILTER (value_kind = 'error') AS n_error, max(row) AS max_row, max(col) AS max_col FROM cells GROUP BY 1""")
+@query(f"""WITH {LIVE_CELLS} SELECT sheet, count(*) AS n_cells, count(*) FILTER (formula IS NOT NULL) AS n_formula, count(*) FILTER (value_kind = 'date') AS n_date, count(*) FILTER (value_kind = 'num') AS n_num,
+    count(*) FILTER (value_kind = 'text') AS n_text, count(*) FILTER (value_kind = 'error') AS n_error, max(row) AS max_row, max(col) AS max_col FROM live GROUP BY 1""")
 def census_by_sheet(t: Tables) -> DataFrame:
+    """What the live cells of each sheet name hold."""
     k = {k: F.count_if(F.coalesce(F.col("value_kind") == k, F.lit(False))).alias(f"n_{k}") for k in ("date", "num", "text", "error")}
-    return t.cells.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_cells"), F.count("formula").alias("n_formula"), *k.values(), F.max("row").alias("max_row"), F.max("col").alias("max_col"))
+    return live_cells(t, "formula", "value_kind").groupBy("sheet").agg(F.count(F.lit(1)).alias("n_cells"), F.count("formula").alias("n_formula"), *k.values(), F.max("row").alias("max_row"), F.max("col").alias("max_col"))
 
 
 @query("""WITH m AS (SELECT DISTINCT c_mktsegment s, CAST(o_orderdate AS DATE) d FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -125,7 +136,17 @@ def sample_topk(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- edges
 
-E1 = "e AS (SELECT DISTINCT edge_id, workbook_id, src_sheet, src_row, dst_sheet, dst_row, lower(trim(kind)) AS kind FROM edges)"
+def sql_key(c: str) -> str:
+    """The compared form of a sheet name, as :func:`sheet_key` makes it."""
+    plain = f"trim({c})"
+    return f"lower(trim(CASE WHEN {plain} LIKE chr(39) || '%' || chr(39) AND length({plain}) > 1 THEN replace({plain}[2:-2], repeat(chr(39), 2), chr(39)) ELSE {plain} END))"
+
+
+#: Edges with every sheet written as in sheets (newest delivery), else by its key.
+E_ALL = f"""sn AS (SELECT w, k, name FROM (SELECT workbook_id w, {sql_key('sheet')} k, sheet AS name, row_number() OVER (PARTITION BY workbook_id, {sql_key('sheet')} ORDER BY loaded_at DESC NULLS LAST, sheet DESC) n FROM sheets WHERE workbook_id IS NOT NULL AND sheet IS NOT NULL) WHERE n = 1),
+    e0 AS (SELECT DISTINCT x.edge_id, x.workbook_id, coalesce(a.name, {sql_key('x.src_sheet')}) src_sheet, x.src_row, coalesce(b.name, {sql_key('x.dst_sheet')}) dst_sheet, x.dst_row, lower(trim(x.kind)) AS kind
+        FROM edges x LEFT JOIN sn a ON a.w = x.workbook_id AND a.k = {sql_key('x.src_sheet')} LEFT JOIN sn b ON b.w = x.workbook_id AND b.k = {sql_key('x.dst_sheet')})"""
+E1 = f"{E_ALL}, e AS (SELECT * FROM e0)"
 
 
 def one_spelling(t: Tables, e: DataFrame) -> DataFrame:
@@ -240,7 +261,7 @@ def portfolio_union(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- graphs over sheets
 
-G = """g AS (SELECT DISTINCT workbook_id grp, src_sheet src, dst_sheet dst FROM edges WHERE src_sheet <> dst_sheet AND lower(trim(coalesce(kind, ''))) <> 'inactive')"""
+G = f"""{E_ALL}, g AS (SELECT DISTINCT workbook_id grp, src_sheet src, dst_sheet dst FROM e0 WHERE src_sheet <> dst_sheet AND coalesce(kind, '') <> 'inactive')"""
 
 
 def sheet_graph(t: Tables) -> DataFrame:
@@ -249,7 +270,14 @@ def sheet_graph(t: Tables) -> DataFrame:
     return pairs.filter("src_sheet <> dst_sheet").select(F.col("workbook_id").alias("grp"), F.col("src_sheet").alias("src"), F.col("dst_sheet").alias("dst")).distinct()
 
 
-REACH = f"""WITH RECURSIVE {G}, w AS (SELECT DISTINCT grp, src node, 0 d FROM g WHERE src = 'Inputs' UNION SELECT g.grp, g.dst, w.d + 1 FROM w JOIN g ON g.grp = w.grp AND g.src = w.node WHERE w.d < 6)"""
+def reach(depth: int) -> str:
+    """Sheets reached from those called Inputs, level by level."""
+    return f"""WITH RECURSIVE {G}, w AS (SELECT DISTINCT grp, src node, 0 d FROM g WHERE {sql_key('src')} = 'inputs' UNION SELECT g.grp, g.dst, w.d + 1 FROM w JOIN g ON g.grp = w.grp AND g.src = w.node WHERE w.d < {depth})"""
+
+
+REACH = reach(6)
+#: A workbook has 70 sheets at most, so no shortest way is longer.
+CONE = reach(70)
 
 
 def _from_inputs(t: Tables, **kw: int) -> DataFrame:
@@ -274,7 +302,7 @@ def closure_budget(t: Tables) -> DataFrame:
     return _from_inputs(t, depth=6, budget=4)
 
 
-@query(f"""{REACH}, a AS (SELECT grp, count(DISTINCT s) n FROM (SELECT grp, src s FROM g UNION ALL SELECT grp, dst FROM g) GROUP BY 1)
+@query(f"""{CONE}, a AS (SELECT grp, count(DISTINCT s) n FROM (SELECT grp, src s FROM g UNION ALL SELECT grp, dst FROM g) GROUP BY 1)
     SELECT w.grp, count(DISTINCT node) AS n_cone, max(d_) AS max_depth, round(count(DISTINCT node) / max(a.n), 6) AS share FROM (SELECT grp, node, min(d) d_ FROM w GROUP BY 1, 2) w JOIN a ON a.grp = w.grp GROUP BY 1""")
 def cone_share(t: Tables) -> DataFrame:
     g = sheet_graph(t)
@@ -497,18 +525,18 @@ def subtotal_detect(t: Tables) -> DataFrame:
     return out.select("workbook_id", "src_sheet", "first_row", "n_rows", F.size("terms").alias("n_terms"))
 
 
-@query(f"""WITH {LIVE_CELLS}, f AS (SELECT *, count(formula) OVER w n, min(CASE WHEN formula IS NOT NULL THEN col END) OVER w a FROM live WHERE value_kind = 'num' AND sheet <> 'Asset_Register' WINDOW w AS (PARTITION BY workbook_id, sheet, row))
+@query(f"""WITH {LIVE_CELLS}, f AS (SELECT *, count(formula) OVER w n, min(CASE WHEN formula IS NOT NULL THEN col END) OVER w a FROM live WHERE value_kind = 'num' WINDOW w AS (PARTITION BY workbook_id, sheet, row))
     SELECT workbook_id, sheet, row, min(col) AS col, count(*) AS n_breaks FROM f WHERE formula IS NULL AND n >= 6 AND col > a GROUP BY 1, 2, 3""")
 def pattern_breaks(t: Tables) -> DataFrame:
-    c = live_cells(t, "formula", "value_kind").filter("value_kind = 'num' and sheet <> 'Asset_Register'")
+    c = live_cells(t, "formula", "value_kind").filter("value_kind = 'num'")
     return identities.pattern_breaks(c, ["workbook_id", "sheet", "row"], "col", F.col("formula").isNotNull())
 
 
-@query(f"""WITH {LIVE_CELLS}, n AS (SELECT workbook_id, sheet, row, col, value_num v, max(col) OVER (PARTITION BY workbook_id, sheet, row) m FROM live WHERE value_kind = 'num' AND sheet <> 'Asset_Register'),
+@query(f"""WITH {LIVE_CELLS}, n AS (SELECT workbook_id, sheet, row, col, value_num v, max(col) OVER (PARTITION BY workbook_id, sheet, row) m FROM live WHERE value_kind = 'num'),
     x AS (SELECT workbook_id, sheet, row, max(CASE WHEN col = m THEN v END) last, sum(CASE WHEN col < m THEN v END) s, count(*) k FROM n GROUP BY 1, 2, 3)
     SELECT workbook_id, sheet, count(*) AS n_rows, count(*) FILTER (abs(last - s) <= 1e-6 * greatest(abs(last), 1)) AS n_sum FROM x WHERE k > 2 GROUP BY 1, 2""")
 def total_column(t: Tables) -> DataFrame:
-    c = live_cells(t, "value_kind", "value_num").filter("value_kind = 'num' and sheet <> 'Asset_Register'")
+    c = live_cells(t, "value_kind", "value_num").filter("value_kind = 'num'")
     keys = ["workbook_id", "sheet", "row"]
     m = c.withColumn("m", F.max("col").over(Window.partitionBy(*keys)))
     x = m.groupBy(*keys).agg(F.max(F.when(F.col("col") == F.col("m"), F.col("value_num"))).alias("last"), F.sum(F.when(F.col("col") < F.col("m"), F.col("value_num"))).alias("s"), F.count(F.lit(1)).alias("k")).filter("k > 2")
@@ -525,11 +553,11 @@ def sign_runs(t: Tables) -> DataFrame:
     return timeline.sign_runs(d, ["nat"], "p", "d")
 
 
-ROWS = f"""{LIVE_CELLS}, s AS (SELECT workbook_id, sheet, row, max(abs(value_num)) scale, max(value_num) - min(value_num) spread FROM live WHERE value_kind = 'num' AND sheet <> 'Asset_Register' GROUP BY 1, 2, 3)"""
+ROWS = f"""{LIVE_CELLS}, s AS (SELECT workbook_id, sheet, row, max(abs(value_num)) scale, max(value_num) - min(value_num) spread FROM live WHERE value_kind = 'num' GROUP BY 1, 2, 3)"""
 
 
 def _scales(t: Tables) -> DataFrame:
-    c = live_cells(t, "value_kind", "value_num").filter("value_kind = 'num' and sheet <> 'Asset_Register'")
+    c = live_cells(t, "value_kind", "value_num").filter("value_kind = 'num'")
     return identities.row_scale(c, ["workbook_id", "sheet", "row"], "value_num")
 
 
@@ -609,11 +637,11 @@ def fy_partial(t: Tables) -> DataFrame:
     return _fy(t).select("nat", "fy", "n_periods", "partial")
 
 
-@query("""SELECT workbook_id, sheet, count(*) AS n, round(sum(value_num), 2) AS known, CASE WHEN count(value_num) = count(*) THEN round(sum(value_num), 2) END AS strict FROM cells WHERE sheet = 'Inputs' AND col > 2 GROUP BY 1, 2""")
+@query(f"""WITH {LIVE_CELLS} SELECT workbook_id, sheet, count(*) AS n, sum(CAST(floor(value_num * 1000) AS BIGINT)) / 1000 AS known, CASE WHEN count(value_num) = count(*) THEN sum(CAST(floor(value_num * 1000) AS BIGINT)) / 1000 END AS strict FROM live GROUP BY 1, 2""")
 def strict_vs_known_sum(t: Tables) -> DataFrame:
     c = live_cells(t, "value_num")
-    v = F.col("value_num")
-    return c.groupBy("workbook_id", "sheet").agg(F.count(F.lit(1)).alias("n"), r(relational.sum_known(v), 2).alias("known"), r(relational.sum_strict(v), 2).alias("strict"))
+    v = F.floor(F.col("value_num") * 1000)  # whole thousandths: sums do not depend on their order
+    return c.groupBy("workbook_id", "sheet").agg(F.count(F.lit(1)).alias("n"), (relational.sum_known(v) / 1000).alias("known"), (relational.sum_strict(v) / 1000).alias("strict"))
 
 
 @query(f"""WITH {LINES}, x AS (SELECT p, revenue + opex cfo, revenue - tax npat, revenue * 2 + opex + tax total FROM m)
@@ -678,9 +706,9 @@ def runs_histogram(t: Tables) -> DataFrame:
     return timeline.runs(f, ["workbook_id", "sheet", "row"], F.col("col")).groupBy(F.col("n").alias("run_length")).agg(F.count(F.lit(1)).alias("n_runs"))
 
 
-@query(r"""WITH c AS (SELECT row_number() OVER () i, formula FROM cells WHERE formula IS NOT NULL), x AS (SELECT i, unnest(regexp_extract_all(formula, '([A-Z][A-Z0-9.]+)\(', 1)) item FROM c) SELECT item, count(*) AS n_uses, count(DISTINCT i) AS n_texts FROM x GROUP BY 1""")
+@query(rf"""WITH {LIVE_CELLS}, c AS (SELECT row_number() OVER () i, formula FROM live WHERE formula IS NOT NULL), x AS (SELECT i, unnest(regexp_extract_all(formula, '([A-Z][A-Z0-9.]+)\(', 1)) item FROM c) SELECT item, count(*) AS n_uses, count(DISTINCT i) AS n_texts FROM x GROUP BY 1""")
 def function_frequency(t: Tables) -> DataFrame:
-    return diagnostics.frequency(t.cells.filter("formula is not null"), "formula", r"([A-Z][A-Z0-9.]+)\(")
+    return diagnostics.frequency(live_cells(t, "formula").filter("formula is not null"), "formula", r"([A-Z][A-Z0-9.]+)\(")
 
 
 @query("SELECT sha256(text) AS fingerprint, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -735,9 +763,9 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"), F.max(k).alias("most"))
 
 
-@query("SELECT workbook_id, sum(n_formula)::BIGINT AS n_formula, CASE WHEN sum(n_formula) < 5000 THEN 'small' WHEN sum(n_formula) < 100000 THEN 'medium' ELSE 'large' END AS size FROM line_items GROUP BY 1")
+@query(f"WITH {LIVE_LINES} SELECT workbook_id, sum(n_formula)::BIGINT AS n_formula, CASE WHEN sum(n_formula) < 5000 THEN 'small' WHEN sum(n_formula) < 100000 THEN 'medium' ELSE 'large' END AS size FROM lines GROUP BY 1")
 def size_class(t: Tables) -> DataFrame:
-    return t.line_items.groupBy("workbook_id").agg(F.sum("n_formula").alias("n_formula")).withColumn("size", diagnostics.size_class(F.col("n_formula")))
+    return live_lines(t).groupBy("workbook_id").agg(F.sum("n_formula").alias("n_formula")).withColumn("size", diagnostics.size_class(F.col("n_formula")))
 
 
 @query("""WITH x AS (SELECT c_custkey, c_acctbal d, abs(c_acctbal) * (c_custkey % 1000) s FROM customer) SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN d = 0 THEN '0' WHEN s = 0 THEN 'scale_zero' WHEN abs(d) / s < 1e-9 THEN '<1e-9' WHEN abs(d) / s < 1e-6 THEN '<1e-6' WHEN abs(d) / s < 1e-3 THEN '<1e-3'
