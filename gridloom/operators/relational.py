@@ -60,6 +60,14 @@ def criterion(value: Column, crit: str) -> Column:
     return {"=": hit, "<>": ~hit}.get(op, F.lit(False))
 
 
+def choose(index: Column, *branches: Column) -> Column:
+    """The branch a whole number from 1 points at, as CHOOSE does; null beyond them."""
+    out = F.when(F.lit(False), branches[0])
+    for k, branch in enumerate(branches, 1):
+        out = out.when(F.floor(index) == k, branch)
+    return out
+
+
 def loosely_equal(a: Column, b: Column) -> Column:
     """Texts agree trimmed and without case, numbers within a billionth; a number never equals a text."""
     x, y = a.try_cast("double"), b.try_cast("double")

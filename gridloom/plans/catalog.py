@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.finance import as_rate, decade, fiscal_year, serial_day, yearfrac
-from gridloom.operators import cashflow, diagnostics, graphs, identities, relational, timeline
-from gridloom.tables import read, sheet_key
+from gridloom.functions.ontology import ROLES, named_roles
+from gridloom.operators import cashflow, diagnostics, graphs, identities, relational, review, rowmap, threeway, timeline
+from gridloom.tables import materialise, read, sheet_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +69,35 @@ def live_lines(t: Tables) -> DataFrame:
     return t.line_items.withColumn("_n", F.row_number().over(w)).filter("_n = 1 and deleted_at is null").drop("_n")
 
 
+TYPED_COLUMNS = ["addr", "formula", "value", "value_kind", "value_num", "value_text", "value_date"]
+
+
+def typed_cells(t: Tables) -> DataFrame:
+    """Newest copies with the type a value shows where the loader gave none, once computed: the layout reads them several times."""
+    c = live_cells(t, *TYPED_COLUMNS)
+    guess = F.when(F.col("value_kind").isNotNull(), F.col("value_kind")).when(F.col("value").startswith("#"), "error").when(F.col("value").try_cast("double").isNotNull(), "num").when(F.col("value").rlike(r"^\d{4}-\d\d-\d\d$"), "date").otherwise("text")
+    c = c.withColumn("value_kind", guess).withColumn("value_num", F.coalesce("value_num", F.when(F.col("value_kind") == "num", F.col("value").try_cast("double"))))
+    return materialise(c.withColumn("value_date", F.coalesce("value_date", F.when(F.col("value_kind") == "date", F.to_date(F.substring("value", 1, 10))))))
+
+
+#: Typed cells and the layout of every sheet, said again in SQL.
+LAYOUT = f"""{LIVE_CELLS}, kinds AS (SELECT workbook_id, sheet, row, col, formula, value, value_num, value_date, coalesce(value_kind, CASE WHEN starts_with(value, '#') THEN 'error' WHEN TRY_CAST(value AS DOUBLE) IS NOT NULL THEN 'num' WHEN regexp_full_match(value, '[0-9]{{4}}-[0-9][0-9]-[0-9][0-9]') THEN 'date' ELSE 'text' END) kind FROM live),
+    dated AS (SELECT workbook_id, sheet, row, col, coalesce(value_date, TRY_CAST(left(value, 10) AS DATE)) d FROM kinds WHERE kind = 'date'),
+    header AS (SELECT workbook_id, sheet, row FROM (SELECT workbook_id, sheet, row, row_number() OVER (PARTITION BY workbook_id, sheet ORDER BY count(*) DESC, row) k FROM dated GROUP BY 1, 2, 3 HAVING count(*) >= 4) WHERE k = 1),
+    head AS (SELECT d.*, d.col - row_number() OVER (PARTITION BY d.workbook_id, d.sheet ORDER BY d.col) i FROM dated d JOIN header USING (workbook_id, sheet, row)),
+    spans AS (SELECT workbook_id, sheet, row, i, count(*) periods, min(col) tl_first, max(col) tl_last, min(d) period_start, max(d) period_end FROM head GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4),
+    line AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id, sheet ORDER BY periods DESC, tl_first) k FROM spans) WHERE k = 1),
+    gaps AS (SELECT workbook_id, sheet, median(g) gap FROM (SELECT h.workbook_id, h.sheet, date_diff('day', lag(d) OVER (PARTITION BY h.workbook_id, h.sheet ORDER BY h.col), d) g FROM head h JOIN line l ON l.workbook_id = h.workbook_id AND l.sheet = h.sheet AND l.i = h.i) WHERE g IS NOT NULL GROUP BY 1, 2),
+    used AS (SELECT workbook_id, sheet, min(col) first_used FROM kinds WHERE value IS NOT NULL OR formula IS NOT NULL GROUP BY 1, 2),
+    texts AS (SELECT workbook_id, sheet, col, count(*) n, avg(length(trim(value))) len, count(DISTINCT trim(value)) kinds FROM kinds WHERE kind IN ('text', 'error') AND trim(value) <> '' GROUP BY 1, 2, 3),
+    cand AS (SELECT x.* FROM texts x JOIN used u ON u.workbook_id = x.workbook_id AND u.sheet = x.sheet LEFT JOIN line l ON l.workbook_id = x.workbook_id AND l.sheet = x.sheet WHERE x.col <= coalesce(l.tl_first - 1, u.first_used + 7)),
+    label AS (SELECT workbook_id, sheet, col label_col, n n_labels FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id, sheet ORDER BY n * least(len, 20.0) DESC, col) k FROM cand) WHERE k = 1),
+    unit AS (SELECT workbook_id, sheet, col units_col FROM (SELECT c.*, row_number() OVER (PARTITION BY c.workbook_id, c.sheet ORDER BY c.n DESC, c.col) k FROM cand c JOIN label b ON b.workbook_id = c.workbook_id AND b.sheet = c.sheet WHERE c.col > b.label_col AND c.n >= 0.2 * b.n_labels AND c.len <= 12 AND c.kinds <= 0.6 * c.n) WHERE k = 1),
+    layout AS (SELECT u.workbook_id, u.sheet, l.row header_row, l.periods, l.tl_first, l.tl_last, l.period_start, l.period_end, CASE WHEN gap IS NULL THEN NULL WHEN abs(gap - 1) <= 1 THEN 'daily' WHEN abs(gap - 7) <= 1 THEN 'weekly' WHEN abs(gap - 30) <= 3 THEN 'monthly' WHEN abs(gap - 91) <= 9.1 THEN 'quarterly'
+        WHEN abs(gap - 182) <= 18.2 THEN 'half-yearly' WHEN abs(gap - 365) <= 36.5 THEN 'annual' ELSE '~' || CAST(CAST(gap AS BIGINT) AS VARCHAR) || '-day' END periodicity, b.label_col, x.units_col
+        FROM used u LEFT JOIN line l ON l.workbook_id = u.workbook_id AND l.sheet = u.sheet LEFT JOIN gaps g ON g.workbook_id = u.workbook_id AND g.sheet = u.sheet LEFT JOIN label b ON b.workbook_id = u.workbook_id AND b.sheet = u.sheet LEFT JOIN unit x ON x.workbook_id = u.workbook_id AND x.sheet = u.sheet)"""
+
+
 @query("""SELECT c_nationkey AS nation, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS col, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
 def cells_from_orders(t: Tables) -> DataFrame:
@@ -75,12 +105,17 @@ def cells_from_orders(t: Tables) -> DataFrame:
     return o.groupBy(F.col("c_nationkey").alias("nation"), (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("long").alias("col")).agg(F.sum(money("o_totalprice")).cast("double").alias("value"))
 
 
-@query(f"""WITH {LIVE_CELLS} SELECT workbook_id, sheet, row, count(*) FILTER (formula IS NOT NULL) AS n_formula, count(*) FILTER (formula IS NULL) AS n_const,
-    count(DISTINCT value) AS n_values, arg_min(value, col) AS first_value FROM live GROUP BY 1, 2, 3""")
+@query(f"""WITH {LAYOUT}, d AS (SELECT k.*, coalesce(k.col < l.label_col OR k.col = l.label_col AND k.kind <> 'num', false) in_label, coalesce(k.col = l.units_col AND k.kind <> 'num', false) in_units FROM kinds k LEFT JOIN layout l ON l.workbook_id = k.workbook_id AND l.sheet = k.sheet)
+    SELECT workbook_id, sheet, row, CAST(count(*) FILTER (formula IS NOT NULL) AS INTEGER) AS n_formula, CAST(count(*) FILTER (formula IS NULL) AS INTEGER) AS n_const FROM d WHERE NOT in_label AND NOT in_units GROUP BY 1, 2, 3""")
 def line_item_map(t: Tables) -> DataFrame:
-    c = live_cells(t, "formula", "value")
-    return c.groupBy("workbook_id", "sheet", "row").agg(
-        F.count("formula").alias("n_formula"), F.count_if(F.col("formula").isNull()).alias("n_const"), F.countDistinct("value").alias("n_values"), F.min_by("value", "col").alias("first_value"))
+    """Lines of every sheet with their formulas and constants right of labels and units."""
+    c = typed_cells(t)
+    return rowmap.line_items(c, materialise(rowmap.detect_layout(c))).select("workbook_id", "sheet", "row", "n_formula", "n_const")
+
+
+@query(f"WITH {LAYOUT} SELECT workbook_id, sheet, header_row, tl_first, tl_last, periods, period_start, period_end, periodicity, label_col, units_col FROM layout")
+def layout_detect(t: Tables) -> DataFrame:
+    return rowmap.detect_layout(typed_cells(t))
 
 
 @query(f"""WITH {LIVE_CELLS} SELECT sheet, count(*) AS n_cells, count(*) FILTER (formula IS NOT NULL) AS n_formula, count(*) FILTER (value_kind = 'date') AS n_date, count(*) FILTER (value_kind = 'num') AS n_num,
@@ -107,11 +142,9 @@ def timeline_runs(t: Tables) -> DataFrame:
     return timeline.longest_run(t.events, ["user_id"], F.unix_date(F.to_date("ts")))
 
 
-@query(f"""WITH {LIVE_CELLS}, d AS (SELECT workbook_id, sheet, row, count(*) n, min(col) a FROM live WHERE value_kind = 'date' GROUP BY 1, 2, 3 HAVING count(*) >= 4)
-    SELECT workbook_id, sheet, row AS header_row, n AS n_dates, a AS first_col FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id, sheet ORDER BY n DESC, row) k FROM d) WHERE k = 1""")
+@query(f"WITH {LAYOUT} SELECT workbook_id, sheet, header_row, tl_first AS first_col, periods AS n_dates FROM layout WHERE header_row IS NOT NULL")
 def layout_header_row(t: Tables) -> DataFrame:
-    d = live_cells(t, "value_kind").filter("value_kind = 'date'").groupBy("workbook_id", "sheet", "row").agg(F.count(F.lit(1)).alias("n_dates"), F.min("col").alias("first_col")).filter("n_dates >= 4")
-    return timeline.top_k(d, ["workbook_id", "sheet"], [F.desc("n_dates"), F.col("row")], 1).select("workbook_id", "sheet", F.col("row").alias("header_row"), "n_dates", "first_col")
+    return rowmap.detect_layout(typed_cells(t)).filter("header_row is not null").select("workbook_id", "sheet", "header_row", F.col("tl_first").alias("first_col"), F.col("periods").alias("n_dates"))
 
 
 @query("""WITH one AS (SELECT workbook_id, sheet, row, max(section) section FROM line_items GROUP BY 1, 2, 3)
@@ -229,12 +262,8 @@ def index_match(t: Tables) -> DataFrame:
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN o_orderstatus WHEN 2 THEN o_orderpriority WHEN 3 THEN CAST(o_custkey AS VARCHAR) END AS chosen FROM orders""")
 def choose_branch(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey") % 4
     args = [F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey").cast("string")]
-    out = F.lit(None).cast("string")
-    for i, a in reversed(list(enumerate(args, 1))):
-        out = F.when(k == i, a).otherwise(out)
-    return t.orders.select("o_orderkey", out.alias("chosen"))
+    return t.orders.select("o_orderkey", relational.choose(F.col("o_orderkey") % 4, *args).alias("chosen"))
 
 
 MONTH = "o_orderdate >= '1997-03-01' and o_orderdate < '1997-04-01'"
@@ -431,7 +460,8 @@ def convention_search(t: Tables) -> DataFrame:
     return cashflow.read_back(_factors(t, "mid"), ["segment"], "period_end", "factor", vd()).withColumn("rate", F.round("rate", 9))
 
 
-@query("SELECT DISTINCT c_mktsegment AS segment, CAST(0.08 AS DOUBLE) AS rate FROM customer")
+@query(f"""WITH {FLOWS}, f AS ({_sql_factors('end')}), y AS (SELECT segment, factor, yf FROM f JOIN {sql_yearfrac('(SELECT DISTINCT period_end FROM flows)', 'period_end', SQL_VD, 'period_end')} z ON z.period_end = f.period_end WHERE factor > 0 AND yf > 0)
+    SELECT segment, round(avg(power(factor, -1 / yf) - 1), 9) AS rate FROM y GROUP BY 1""")
 def rate_backsolve(t: Tables) -> DataFrame:
     return cashflow.read_back(_factors(t, "end"), ["segment"], "period_end", "factor", vd()).select("segment", F.round("rate", 9).alias("rate"))
 
@@ -462,13 +492,15 @@ def _region_parts(t: Tables, scale: Column) -> DataFrame:
     return nm.select("reg", "p", F.explode(F.array(F.struct(F.lit(1.0).alias("coef"), F.col("v").alias("v"), F.lit(False).alias("flex")), F.struct(F.lit(-1.0).alias("coef"), (F.col("v") * scale).alias("v"), F.lit(True).alias("flex")))).alias("x")).select("reg", "p", "x.*")
 
 
-@query(f"""WITH {NATION_MONTH} SELECT reg, 0.0::DOUBLE AS max_residual, count(DISTINCT p) AS n_periods, 'holds' AS status FROM nm GROUP BY 1""")
+@query(f"""WITH {NATION_MONTH} , s AS (SELECT reg, p, CAST(sum(CAST(v AS DECIMAL(28,2))) AS DOUBLE) parts FROM nm GROUP BY 1, 2), w AS (SELECT n_regionkey reg, last_day(o_orderdate) p, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) whole FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)
+    SELECT reg, max(abs(parts - whole)) AS max_residual, count(*) AS n_periods, CASE WHEN max(abs(parts - whole)) <= greatest(1e-6, 1e-6 * max(abs(whole))) THEN 'holds' ELSE 'fails' END AS status FROM s JOIN w USING (reg, p) GROUP BY 1""")
 def identity_segments_sum(t: Tables) -> DataFrame:
     res = identities.residuals(_region_parts(t, F.lit(1.0)), ["reg"], "p", "coef", "v", 2)
     return identities.verdict(res, ["reg"], "p").select("reg", "max_residual", "n_periods", "status")
 
 
-@query(f"""WITH {NATION_MONTH} SELECT reg, CAST(-1 AS INTEGER) AS convention, 0.0::DOUBLE AS max_residual, count(DISTINCT p) AS n_periods FROM nm GROUP BY 1""")
+@query(f"""WITH {NATION_MONTH} , s AS (SELECT reg, p, CAST(sum(CAST(v AS DECIMAL(28,2))) AS DOUBLE) v FROM nm GROUP BY 1, 2), x AS (SELECT reg, c, max(abs(v - c * -v)) m, count(*) n FROM s, (VALUES (1), (-1)) q(c) GROUP BY 1, 2)
+    SELECT reg, CAST(arg_min(c, m) AS INTEGER) AS convention, min(m) AS max_residual, any_value(n) AS n_periods FROM x GROUP BY 1""")
 def identity_sign_flex(t: Tables) -> DataFrame:
     """The total is kept with the other sign; the convention that makes the identity hold is found."""
     return identities.best_signs(_region_parts(t, F.lit(-1.0)), ["reg"], "p", "coef", "v", "flex", 2)
@@ -504,15 +536,19 @@ def value_tie(t: Tables) -> DataFrame:
     return identities.tied_rows(rows, [], "row", "p", "v")
 
 
-@query(f"""WITH {NATION_MONTH}, s AS (SELECT reg, nat, p, CAST(v AS DECIMAL(18,2)) v FROM nm), x AS (SELECT a.reg, a.p, sum(a.v) total, max(CASE WHEN a.k = 1 THEN a.v END) va, sum(CASE WHEN a.k > 1 THEN a.v END) vb FROM (SELECT *, dense_rank() OVER (PARTITION BY reg ORDER BY nat) k FROM s) a GROUP BY 1, 2)
-    SELECT reg, count(*) AS n_periods, count(*) FILTER (total = coalesce(va, 0) + coalesce(vb, 0)) AS n_equal FROM x GROUP BY 1""")
+TRIPLES = f"""{NATION_MONTH}, s AS (SELECT reg, nat, p, CAST(v AS DECIMAL(18,2)) v FROM nm), k AS (SELECT *, dense_rank() OVER (PARTITION BY reg ORDER BY nat) k FROM s),
+    z AS (SELECT reg, CAST(nat AS INTEGER) r, p, CAST(v AS DOUBLE) v FROM s UNION ALL SELECT reg, CAST(1000 + reg AS INTEGER), p, CAST(sum(v) AS DOUBLE) FROM k WHERE k <= 2 GROUP BY reg, p),
+    n AS (SELECT reg, count(DISTINCT p) np FROM z GROUP BY 1), full_ AS (SELECT z.* FROM z JOIN n USING (reg) WHERE (z.reg, r) IN (SELECT (z.reg, r) FROM z JOIN n USING (reg) GROUP BY z.reg, r HAVING count(*) = max(np)))"""
+
+
+@query(f"""WITH {TRIPLES}, signs AS (SELECT * FROM (VALUES (1), (-1)) x(sb), (VALUES (1), (-1)) y(sc)), tol AS (SELECT reg, r, greatest(1e-6, 1e-6 * max(abs(v))) e FROM full_ GROUP BY 1, 2),
+    t AS (SELECT a.reg, a.r a, b.r b, c.r c, sb, sc, count(*) n, bool_and(abs(a.v - (sb * b.v + sc * c.v)) <= e) ok FROM full_ a JOIN tol ON tol.reg = a.reg AND tol.r = a.r JOIN full_ b ON b.reg = a.reg AND b.p = a.p AND b.r <> a.r JOIN full_ c ON c.reg = a.reg AND c.p = a.p AND c.r <> a.r AND c.r > b.r, signs GROUP BY ALL)
+    SELECT reg, a, b, c, CAST(sb AS INTEGER) AS sign_b, CAST(sc AS INTEGER) AS sign_c, CAST(n AS INTEGER) AS n_periods FROM t WHERE ok""")
 def balance_triples(t: Tables) -> DataFrame:
-    """Assets = liabilities + equity over every region: the total, its first nation and all others; holds by construction, the search is workbooks.value_triples."""
-    k = F.dense_rank().over(Window.partitionBy("reg").orderBy("nat"))
-    s = nation_month(t).withColumn("v", F.col("v").cast("decimal(18,2)")).withColumn("k", k)
-    x = s.groupBy("reg", "p").agg(F.sum("v").alias("total"), F.sum(F.when(F.col("k") == 1, F.col("v"))).alias("a"), F.sum(F.when(F.col("k") > 1, F.col("v"))).alias("b"))
-    zero = F.lit(0).cast("decimal(18,2)")
-    return x.groupBy("reg").agg(F.count(F.lit(1)).alias("n_periods"), F.count_if(F.col("total") == F.coalesce("a", zero) + F.coalesce("b", zero)).alias("n_equal"))
+    """Rows a = b + c among the nations of a region and a total of its first two, in whichever signs hold."""
+    s = nation_month(t).select("reg", F.col("nat").cast("int").alias("r"), "p", "v").withColumn("k", F.dense_rank().over(Window.partitionBy("reg").orderBy("r")))
+    total = s.filter("k <= 2").groupBy("reg", "p").agg(F.sum(F.col("v").cast("decimal(18,2)")).cast("double").alias("v")).select("reg", (F.lit(1000) + F.col("reg")).cast("int").alias("r"), "p", "v")
+    return identities.value_triples(s.select("reg", "r", "p", "v").unionByName(total), ["reg"], "r", "p", "v").select("reg", "a", "b", "c", "sign_b", "sign_c", "n_periods")
 
 
 @query(f"""WITH {E1}, s AS (SELECT workbook_id, src_sheet, src_row, list_sort(list(DISTINCT dst_row)) terms FROM e WHERE src_sheet = dst_sheet AND kind = 'direct' GROUP BY 1, 2, 3)
@@ -583,9 +619,17 @@ def _month_lines(t: Tables) -> DataFrame:
 
 @query(f"""WITH {LINES} SELECT p, CAST(revenue AS DOUBLE) AS revenue, CAST(opex AS DOUBLE) AS opex, CAST(revenue + opex AS DOUBLE) AS ebitda, CAST(-tax AS DOUBLE) AS tax, CAST(revenue + opex - tax AS DOUBLE) AS npat FROM m""")
 def pnl_chain(t: Tables) -> DataFrame:
-    m = _month_lines(t)
-    d = lambda c: c.cast("double")
-    return m.select("p", d(F.col("revenue")).alias("revenue"), d(F.col("opex")).alias("opex"), d(F.col("revenue") + F.col("opex")).alias("ebitda"), d(-F.col("tax")).alias("tax"), d(F.col("revenue") + F.col("opex") - F.col("tax")).alias("npat"))
+    """The statements of one model of all months: costs come out negative, what is not given is derived."""
+    given = {"revenue": F.col("revenue"), "opex": -F.col("opex"), "depreciation": F.lit(0.0), "interest": F.lit(0.0), "tax": F.col("tax")}
+    lines = threeway.statements(as_roles(_month_lines(t).withColumn("workbook_id", F.lit("all")).withColumnRenamed("p", "period"), given))
+    wide = lines.filter("statement = 'pnl'").groupBy("period").pivot("line", ["revenue", "opex", "ebitda", "tax", "npat"]).agg(F.max("value"))
+    exact = lambda c: F.col(c).cast("decimal(24,4)").cast("double").alias(c)  # noqa: E731  sums of four decimals
+    return wide.select(F.col("period").alias("p"), *[exact(c) for c in ("revenue", "opex", "ebitda", "tax", "npat")])
+
+
+def as_roles(df: DataFrame, given: dict[str, Column]) -> DataFrame:
+    """Rows of workbook_id and period with a column a role, those not ``given`` unknown."""
+    return df.select("workbook_id", "period", *[given.get(k, F.lit(None)).cast("double").alias(k) for k in threeway.ROLES])
 
 
 DELTA = f"""{NATION_MONTH}, d AS (SELECT nat, p, CAST(v AS DECIMAL(18,2)) - lag(CAST(v AS DECIMAL(18,2))) OVER (PARTITION BY nat ORDER BY p) d FROM nm)"""
@@ -593,19 +637,23 @@ DELTA = f"""{NATION_MONTH}, d AS (SELECT nat, p, CAST(v AS DECIMAL(18,2)) - lag(
 
 @query(f"""WITH {DELTA} SELECT nat, CAST(sum(greatest(d, 0)) AS DOUBLE) AS inflow, CAST(sum(least(d, 0)) AS DOUBLE) AS outflow, CAST(sum(d) AS DOUBLE) AS net FROM d WHERE d IS NOT NULL GROUP BY 1""")
 def cash_flow_lines(t: Tables) -> DataFrame:
-    """Movements split by sign into what comes in and what goes out."""
-    v = F.col("v").cast("decimal(18,2)")
-    zero = F.lit(0).cast("decimal(18,2)")
-    d = nation_month(t).withColumn("d", v - F.lag(v).over(Window.partitionBy("nat").orderBy("p"))).filter("d is not null")
-    return d.groupBy("nat").agg(F.sum(F.greatest("d", zero)).cast("double").alias("inflow"), F.sum(F.least("d", zero)).cast("double").alias("outflow"), F.sum("d").cast("double").alias("net"))
+    """Debt that follows the orders of a nation: its drawdowns and repayments in the cash-flow statement."""
+    roles = as_roles(nation_month(t).select(F.col("nat").alias("workbook_id"), F.col("p").alias("period"), "v"), {"bs_debt": F.col("v")})
+    moved = threeway.statements(roles).filter("statement = 'cf' and line in ('draw', 'rep') and value is not null").withColumn("value", F.col("value").cast("decimal(18,2)"))
+    of = lambda line: F.sum(F.when(F.col("line") == line, F.col("value"))).cast("double")
+    return moved.groupBy(F.col("workbook_id").alias("nat")).agg(of("draw").alias("inflow"), of("rep").alias("outflow"), F.sum("value").cast("double").alias("net"))
 
 
 @query("""SELECT c_nationkey AS nation, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(coalesce(sum(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN CAST(c_acctbal AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS known,
     CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) - coalesce(sum(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN CAST(c_acctbal AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS other FROM customer GROUP BY 1""")
 def balance_plug(t: Tables) -> DataFrame:
-    known = F.coalesce(F.sum(F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), money("c_acctbal"))), F.lit(0).cast("decimal(18,2)"))
-    total = F.sum(money("c_acctbal"))
-    return t.customer.groupBy(F.col("c_nationkey").alias("nation")).agg(total.cast("double").alias("total"), known.cast("double").alias("known"), (total - known).cast("double").alias("other"))
+    """Total assets against the two parts that are known: the statement's other assets are what is left."""
+    part = lambda *names: F.coalesce(F.sum(F.when(F.col("c_mktsegment").isin(*names), money("c_acctbal"))), F.lit(0).cast("decimal(18,2)"))
+    sums = t.customer.groupBy(F.col("c_nationkey").alias("workbook_id")).agg(F.sum(money("c_acctbal")).alias("assets"), part("BUILDING").alias("cash"), part("MACHINERY").alias("fixed")).withColumn("period", vd())
+    lines = threeway.statements(as_roles(sums, {"assets": F.col("assets"), "bs_cash": F.col("cash"), "bs_fixed_assets": F.col("fixed")}))
+    w = lines.filter("statement = 'bs'").groupBy("workbook_id").pivot("line", ["ta", "cash", "fa", "other_assets"]).agg(F.max("value"))
+    cents = lambda c: c.cast("decimal(18,2)").cast("double")
+    return w.select(F.col("workbook_id").alias("nation"), cents(F.col("ta")).alias("total"), cents(F.col("cash") + F.col("fa")).alias("known"), cents(F.col("other_assets")).alias("other"))
 
 
 FY = f"""{NATION_MONTH}, y AS (SELECT nat, p, CAST(v AS DECIMAL(18,2)) v, CASE WHEN nat % 5 = 0 AND month(p) = 3 THEN NULL ELSE CAST(v AS DECIMAL(18,2)) END w, year(p) + CASE WHEN month(p) > 6 THEN 1 ELSE 0 END fy FROM nm)"""
@@ -665,27 +713,46 @@ def mode_classify(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- classification, vocabularies, diagnostics
 
-#: First match wins; the classes of a line by what its label says.
-CLASSES = [("timeline", r"period|date|flag|index|counter|escalat"), ("discounting", r"discount|hurdle|required return"), ("terminal", r"terminal|licence time|concession term"), ("cashflow", r"dividend|drawdown|repay|payout|spend|works"), ("assumption", r"tariff|inflation|margin|spread|losses|tenor")]
+def _sql_first(table: list, c: str, default: str) -> str:
+    """The first subclass of a table of patterns that a label shows."""
+    cases = " ".join(f"WHEN regexp_matches({c}, '(?i){p}') THEN '{n}'" if p else f"WHEN true THEN '{n}'" for p, n, *_ in table)
+    return f"CASE {cases} ELSE '{default}' END"
 
 
-def _sql_class() -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower(label), '{p}') THEN '{c}'" for c, p in CLASSES) + " WHEN n_const > 0 AND n_const >= 3 * n_formula THEN 'assumption' ELSE 'calculation' END"
+#: What the label alone tells of the twelve rules, in their order.
+RULES_SQL = f"""CASE WHEN regexp_matches(l, '(?i){review.TERMINAL}') AND regexp_matches(l, '(?i)\\bdate\\b') THEN 'timeline/terminal date'
+    WHEN regexp_matches(l, '(?i){review.TERMINAL}') THEN 'terminal/' || {_sql_first(review.TERMINAL_SUB, 'l', 'terminal value')}
+    {" ".join(f"WHEN regexp_matches(l, '(?i){p}') AND n >= {least} THEN 'discounting/{sub}'" for p, sub, least in review.DISCOUNTING)}
+    WHEN regexp_matches(l, '(?i){review.TIMELINE}') AND n >= 3 THEN 'timeline/' || lower(regexp_extract(l, '(?i)({review.TIMELINE})', 1))
+    WHEN n_const > 0 AND n_const >= 3 * n_formula THEN 'assumption/' || {_sql_first(review.ASSUMPTIONS, 'l', 'other')} ELSE 'calculation/' || {_sql_first(review.CALCULATIONS, 'l', 'calculation')} END"""
 
 
-@query(f"SELECT class, count(*) AS n FROM (SELECT {_sql_class()} AS class FROM line_items) GROUP BY 1")
+@query(f"WITH {LIVE_LINES}, x AS (SELECT coalesce(label, '') l, n_formula + n_const n, n_formula, n_const FROM lines) SELECT class, count(*) AS n FROM (SELECT {RULES_SQL} AS class FROM x) GROUP BY 1")
 def classify_rows(t: Tables) -> DataFrame:
-    rules = [F.when(F.lower("label").rlike(p), F.lit(c)) for c, p in CLASSES]
-    typed = F.when((F.col("n_const") > 0) & (F.col("n_const") >= 3 * F.col("n_formula")), "assumption")
-    return t.line_items.select(F.coalesce(*rules, typed, F.lit("calculation")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""WITH v AS (SELECT role_id, trim(unnest(string_split(vocab, ' | '))) w FROM role_vocab), l AS (SELECT lower(trim(label, ' ')) w, count(*) n FROM line_items WHERE label IS NOT NULL GROUP BY 1)
-    SELECT role_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_wordings FROM v JOIN l USING (w) GROUP BY 1""")
+    """Live lines by class and subclass, as far as labels and counts tell."""
+    got = review.classify(live_lines(t).select("label", "n_formula", "n_const"))
+    return got.groupBy(F.concat_ws("/", "class", "subclass").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sql_says(pattern: str) -> str:
+    """A role's pattern without look-ahead, which SQL has not: what must not follow is a condition of its own."""
+    if "(?!" not in pattern:
+        return f"regexp_matches(l, '{pattern.replace(chr(39), chr(39) * 2)}')"
+    parts = []
+    for alt in pattern.split("|^"):
+        alt = alt if alt.startswith("^") else "^" + alt
+        head, _, tail = alt.partition("(?!")
+        rest = tail.split("|", 1)
+        not_after = rest[0].rstrip(")")
+        parts.append(f"(regexp_matches(l, '{head}') AND NOT regexp_matches(l, '{head}{not_after}'))" if tail else f"regexp_matches(l, '{alt.replace(chr(39), chr(39) * 2)}')")
+    return "(" + " OR ".join(parts) + ")"
+
+
+@query(f"WITH {LIVE_LINES}, x AS (SELECT lower(trim(label)) l FROM lines WHERE label IS NOT NULL) " + " UNION ALL ".join(f"SELECT '{k}' AS role, count(*) AS n_lines FROM x WHERE {_sql_says(v.vocab)} HAVING count(*) > 0" for k, v in ROLES.items()))
 def vocab_hits(t: Tables) -> DataFrame:
-    v = t.role_vocab.select("role_id", F.explode(F.split("vocab", r" \| ")).alias("w")).withColumn("w", F.trim("w"))
-    lines = t.line_items.filter("label is not null").groupBy(F.lower(F.trim("label")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return lines.join(F.broadcast(v), "w").groupBy("role_id").agg(F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_wordings"))  # the list is fixed
+    """How many live lines' labels show the wordings of each role."""
+    said = live_lines(t).filter("label is not null").select(F.explode(named_roles(F.col("label"))).alias("role"))
+    return said.groupBy("role").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 SHAPE = r"\$?[A-Z]{1,3}\$?[0-9]+"

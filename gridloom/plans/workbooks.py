@@ -8,18 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import dependencies, identities, review, rowmap, statements, threeway, valuation
-from gridloom.plans.catalog import Tables, live_cells
+from gridloom.plans.catalog import Tables, live_cells, typed_cells
 from gridloom.tables import materialise
 
-COLUMNS = ["addr", "formula", "value", "value_kind", "value_num", "value_text", "value_date"]
-
-
 def _cells(t: Tables) -> DataFrame:
-    """Newest copies, once computed: the operators below read them several times."""
-    c = live_cells(t, *COLUMNS)
-    guess = F.when(F.col("value_kind").isNotNull(), F.col("value_kind")).when(F.col("value").startswith("#"), "error").when(F.col("value").try_cast("double").isNotNull(), "num").when(F.col("value").rlike(r"^\d{4}-\d\d-\d\d$"), "date").otherwise("text")
-    c = c.withColumn("value_kind", guess).withColumn("value_num", F.coalesce("value_num", F.when(F.col("value_kind") == "num", F.col("value").try_cast("double"))))
-    return materialise(c.withColumn("value_date", F.coalesce("value_date", F.when(F.col("value_kind") == "date", F.to_date(F.substring("value", 1, 10))))))
+    return typed_cells(t)
 
 
 def _mapped(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -28,10 +21,6 @@ def _mapped(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return c, lay, materialise(rowmap.line_items(c, lay))
 
 
-def layout_detect(t: Tables) -> DataFrame:
-    return rowmap.detect_layout(_cells(t))
-
-
 def row_map(t: Tables) -> DataFrame:
     return _mapped(t)[2]
 
@@ -147,5 +136,5 @@ def _query(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], Da
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
-    for f in (layout_detect, row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, identity_results, value_triples, statement_lines, statement_checks, statement_years, statement_modes, statement_residuals, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
+    for f in (row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, identity_results, value_triples, statement_lines, statement_checks, statement_years, statement_modes, statement_residuals, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
 }
