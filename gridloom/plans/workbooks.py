@@ -1,4 +1,5 @@
-"""Workbook-level operators over the stored cells; formulas cannot be read in SQL, so these have no oracle but tests."""
+"""Workbook-level operators over the stored cells. SQL reads no formula in general; where it can be told what the formulas
+of the tables say, it says the same, the others are tested on written workbooks."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import dependencies, identities, review, rowmap, statements, threeway, valuation
-from gridloom.plans.catalog import Tables, live_cells, typed_cells
+from gridloom.plans.catalog import LAYOUT, LIVE_CELLS, Tables, live_cells, typed_cells
 from gridloom.tables import materialise
 
 def _cells(t: Tables) -> DataFrame:
@@ -138,3 +139,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
     for f in (row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, identity_results, value_triples, statement_lines, statement_checks, statement_years, statement_modes, statement_residuals, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
 }
+
+_REF = r"\$?[A-Z]{1,3}\$?[0-9]+"
+_COL = "CASE WHEN length({0}) = 1 THEN ascii({0}) - 64 ELSE (ascii({0}[1]) - 64) * 26 + ascii({0}[2]) - 64 END"
+
+
+def _relative(ref: str) -> str:
+    """SQL for one reference without dollar signs as seen from ``row`` and ``col``."""
+    letters, number = f"regexp_extract({ref}, '([A-Z]+)', 1)", f"CAST(regexp_extract({ref}, '([0-9]+)', 1) AS INTEGER)"
+    part = lambda k, there, here: f"CASE WHEN {there} = {here} THEN '{k}' ELSE '{k}[' || ({there} - {here}) || ']' END"
+    return f"({part('R', number, 'row')} || {part('C', _COL.format(letters), 'col')})"
+
+
+#: Formulas of live cells with their relative form, families and dominant formulas.
+FAMILIES = rf"""{LIVE_CELLS}, f AS (SELECT workbook_id, sheet, row, col, addr, formula, array_to_string(list_transform(list_zip(string_split(regexp_replace(formula, '{_REF}', chr(1), 'g'), chr(1)), regexp_extract_all(formula, '{_REF}')), lambda z: z[1] || coalesce({_relative('z[2]')}, '')), '') r1c1 FROM live WHERE formula IS NOT NULL),
+    fam AS (SELECT workbook_id, sheet, row, r1c1, count(*) n_cells, arg_min(addr, col) first_addr, arg_max(addr, col) last_addr, min(col) c FROM f GROUP BY 1, 2, 3, 4),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY workbook_id, sheet, row ORDER BY n_cells DESC, c) AS INTEGER) rank FROM fam),
+    top AS (SELECT f.* FROM f JOIN ranked r ON r.rank = 1 AND r.workbook_id = f.workbook_id AND r.sheet = f.sheet AND r.row = f.row AND r.first_addr = f.addr)"""
+#: What formulas read: rows of the own sheet by single references and ranges of one column.
+_SPAN = r"^=SUM\(([A-Z]+)([0-9]+):([A-Z]+)([0-9]+)\)$"
+_PAIR = r"^=([A-Z]+)([0-9]+)\*([A-Z]+)([0-9]+)$"
+
+#: A name's reference to rows of one sheet, in A1 notation.
+_NAMED = r"^(?:''((?:[^'']|'''')+)''|([^''!\[\]]+))!\$?[A-Za-z]{1,3}\$?([0-9]+)(?::\$?[A-Za-z]{1,3}\$?([0-9]+))?$"
+
+
+def _num(pattern: str, k: int) -> str:
+    return f"CAST(nullif(regexp_extract(formula, '{pattern}', {k}), '') AS INTEGER)"
+
+
+ORACLES: dict[str, str] = {
+    "formula_families": f"WITH {FAMILIES} SELECT workbook_id, sheet, row, r1c1, n_cells, first_addr, last_addr, rank FROM ranked",
+    "row_structure": f"""WITH {FAMILIES}, s AS (SELECT *, least({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) a, greatest({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) b, {_COL.format(f"regexp_extract(formula, '{_SPAN}', 1)")} - col d FROM top WHERE regexp_matches(formula, '{_SPAN}') AND regexp_extract(formula, '{_SPAN}', 1) = regexp_extract(formula, '{_SPAN}', 3))
+        SELECT workbook_id, sheet, row, CAST(b - a + 1 AS BIGINT) AS n_terms, CASE WHEN a = b AND d = -1 THEN 'previous' WHEN a = b AND d = 0 THEN 'link' WHEN d = 0 AND b > a THEN 'subtotal' ELSE 'linear' END AS kind FROM s WHERE b - a <= 300""",
+    "dependency_edges": rf"""WITH {LAYOUT}, c AS (SELECT k.*, coalesce(k.col < l.label_col OR k.col = l.label_col AND k.kind <> 'num' OR k.col = l.units_col AND k.kind <> 'num', false) named FROM kinds k LEFT JOIN layout l ON l.workbook_id = k.workbook_id AND l.sheet = k.sheet),
+        data AS (SELECT DISTINCT workbook_id, sheet, row FROM c WHERE NOT named), f AS (SELECT DISTINCT workbook_id, sheet, row, formula FROM c WHERE NOT named AND formula IS NOT NULL),
+        n AS (SELECT workbook_id w, lower(name) k, regexp_replace(max(ref), '^=', '') ref FROM defined_names WHERE name IS NOT NULL AND ref IS NOT NULL AND workbook_id IS NOT NULL GROUP BY 1, 2),
+        m AS (SELECT w, k, CASE WHEN regexp_extract(ref, '{_NAMED}', 1) <> '' THEN replace(regexp_extract(ref, '{_NAMED}', 1), repeat(chr(39), 2), chr(39)) ELSE regexp_extract(ref, '{_NAMED}', 2) END s, CAST(regexp_extract(ref, '{_NAMED}', 3) AS INTEGER) a, CAST(coalesce(nullif(regexp_extract(ref, '{_NAMED}', 4), ''), regexp_extract(ref, '{_NAMED}', 3)) AS INTEGER) b FROM n WHERE regexp_matches(ref, '{_NAMED}') AND NOT contains(ref, '[')),
+        q AS (SELECT f.workbook_id, f.sheet, f.row, m.s t_sheet, unnest(range(least(a, b), least(greatest(a, b), least(a, b) + 300) + 1)) t FROM f JOIN m ON m.w = f.workbook_id AND m.k = lower(regexp_extract(formula, '(?:>|\+)([A-Za-z]+)', 1))),
+        r AS (SELECT workbook_id, sheet, row, unnest(CASE WHEN regexp_matches(formula, '{_SPAN}') THEN range(least({_num(_SPAN, 2)}, {_num(_SPAN, 4)}), least(greatest({_num(_SPAN, 2)}, {_num(_SPAN, 4)}), least({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) + 300) + 1) ELSE list_transform(regexp_extract_all(formula, '[A-Z]{{1,3}}([0-9]+)', 1), lambda x: CAST(x AS INTEGER)) END) t FROM f),
+        u AS (SELECT workbook_id, sheet, row, sheet AS t_sheet, t FROM r UNION ALL SELECT * FROM q)
+        SELECT DISTINCT u.workbook_id, u.sheet AS src_sheet, u.row AS src_row, u.t_sheet AS dst_sheet, CAST(u.t AS INTEGER) AS dst_row, 'direct' AS kind FROM u JOIN data d ON d.workbook_id = u.workbook_id AND d.sheet = u.t_sheet AND d.row = u.t WHERE NOT (u.t = u.row AND u.t_sheet = u.sheet)""",
+    "anonymised_formulas": r"""WITH n AS (SELECT workbook_id w, lower(name) k, 'NAME' || row_number() OVER (PARTITION BY workbook_id ORDER BY lower(name)) t FROM (SELECT DISTINCT workbook_id, lower(name) name FROM defined_names WHERE workbook_id IS NOT NULL AND name IS NOT NULL)),
+        x AS (SELECT DISTINCT workbook_id, formula, regexp_extract(formula, '(?:>|\+)([A-Z][a-z]+)', 1) word FROM cells WHERE formula IS NOT NULL AND workbook_id IS NOT NULL)
+        SELECT x.workbook_id, formula, CASE WHEN word = '' THEN formula ELSE replace(formula, word, coalesce(n.t, 'NAME')) END AS shown FROM x LEFT JOIN n ON n.w = x.workbook_id AND n.k = lower(word)""".replace("\\\\", "\\"),
+}

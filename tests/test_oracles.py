@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from gridloom.plans import catalog, portfolio, problems  # noqa: F401  portfolio adds to the catalogue
+from gridloom.plans import catalog, portfolio, problems, workbooks  # noqa: F401  portfolio adds to the catalogue
 
 DATA = os.environ.get("GRIDLOOM_TESTDATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-QUERIES, ORACLES = problems.QUERIES | catalog.QUERIES, problems.ORACLES | catalog.ORACLES
+QUERIES, ORACLES = problems.QUERIES | catalog.QUERIES | workbooks.QUERIES, problems.ORACLES | catalog.ORACLES | workbooks.ORACLES
 
 
 @pytest.fixture(scope="module")
