@@ -87,9 +87,11 @@ def leak_hits(df: DataFrame, keys: list[str], words: Column, forbidden: DataFram
     """Forbidden phrases (column ``phrase``, lower case) that occur in each text as whole words: keys, phrase.
 
     Only positions whose word begins a phrase are looked at, and only grams as long as some phrase are joined; phrases
-    of more than 12 words are found by their first 12. A list with very many first words is joined gram by gram.
+    of more than 12 words are looked for by their first 12 and then held against the text as a whole. A list with very
+    many first words is joined gram by gram, with the same result.
     """
     phrases = forbidden.select(F.array_join(F.slice(F.split("phrase", " "), 1, MAX_GRAM), " ").alias("gram"), "phrase").filter("gram <> ''").distinct()
+    long = F.size(F.split("phrase", " ")) > MAX_GRAM
     sizes = sorted(r[0] for r in phrases.select(F.size(F.split("gram", " "))).distinct().collect())
     if not sizes:
         return df.select(*keys, F.lit(None).cast("string").alias("phrase")).limit(0)
@@ -105,7 +107,11 @@ def leak_hits(df: DataFrame, keys: list[str], words: Column, forbidden: DataFram
             return F.array(*[F.when(p + (n - 1) <= F.size("_w"), F.array_join(F.slice("_w", p, F.lit(n)), " ")) for n in sizes])
 
         found = w.select(*keys, F.explode(F.array_compact(F.array_distinct(F.flatten(F.transform(at, here))))).alias("gram"))
-    return found.join(phrases, "gram").select(*keys, "phrase").distinct()
+    hits = found.join(phrases, "gram").select(*keys, "phrase").distinct()
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    whole = df.select(*keys, padded(F.array_join(words, " ")).alias("_t"))
+    sure = hits.filter(long).join(whole, keys).filter(F.contains("_t", padded(F.col("phrase")))).select(*keys, "phrase")
+    return hits.filter(~long).unionByName(sure).distinct()
 
 
 def gate(df: DataFrame, keys: list[str], text: str, hits: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The self-scan of anonymised reports: a model's own strings are looked for in every text that would leave.
 
 Three kinds of strings: ``sub`` (one-word names, found inside words once generic words are blanked out), ``gram``
-(labels and texts of two words or eight characters, found as word sequences, of up to twelve words) and ``term`` (words
+(labels and texts of two words or eight characters, found as word sequences, long ones by their first twelve words and then as a whole) and ``term`` (words
 of three letters that are not generic). All are found by equi-joins on words, grams or leading letters.
 """
 
@@ -32,7 +32,7 @@ def forbidden_strings(sheets: DataFrame, lines: DataFrame, names: DataFrame, gen
     long = named.filter(F.col("n").contains(" ")).select("workbook_id", F.lit("gram").alias("kind"), F.col("n").alias("s"))
     texts = lines.select("workbook_id", F.explode(F.array("label", "section", "units")).alias("t")).dropna().distinct().unionByName(sheets.select("workbook_id", F.col("sheet").alias("t")))
     pieces = texts.select("workbook_id", F.explode(F.concat(F.array("t"), F.split("t", r"[,;|()\[\]{}'\"`:/\\]+"))).alias("t")).withColumn("n", _norm(F.col("t")))
-    phrases = pieces.filter(F.col("n").contains(" ") | (F.length("n") >= 8)).select("workbook_id", F.lit("gram").alias("kind"), F.array_join(F.slice(F.split("n", " "), 1, MAX_GRAM), " ").alias("s"))
+    phrases = pieces.filter(F.col("n").contains(" ") | (F.length("n") >= 8)).select("workbook_id", F.lit("gram").alias("kind"), F.col("n").alias("s"))
     terms = texts.unionByName(named.select("workbook_id", "t")).select("workbook_id", F.lit("term").alias("kind"), F.explode(words(fold("t"))).alias("s")).filter(_letters(F.col("s")) >= 3)
     every = subs.unionByName(long).unionByName(phrases).unionByName(terms).filter("s <> ''").distinct()
     return every.filter(~F.col("s").isin(generic)) if generic else every
@@ -42,9 +42,13 @@ def scan(texts: DataFrame, forbidden: DataFrame, generic: list[str], key: str =
     """Hits of ``texts`` (workbook_id, key, text) on the strings of the same workbook: workbook_id, key, kind, s."""
     base = texts.select("workbook_id", key, F.col("text")).dropna(subset=["text"]).withColumn("_w", words(fold("text")))
     word = base.select("workbook_id", key, F.explode(F.array_distinct("_w")).alias("s")).join(forbidden.filter("kind = 'term'"), ["workbook_id", "s"])
-    phrase = forbidden.filter("kind = 'gram'")
-    sizes = sorted(r[0] for r in phrase.select(F.size(F.split("s", " "))).distinct().collect())  # twelve at most
-    gram = grams(base, ["workbook_id", key], F.col("_w"), sizes or [1]).withColumnRenamed("gram", "s").join(phrase, ["workbook_id", "s"])
+    phrase = forbidden.filter("kind = 'gram'").withColumn("gram", F.array_join(F.slice(F.split("s", " "), 1, MAX_GRAM), " "))
+    sizes = sorted(r[0] for r in phrase.select(F.size(F.split("gram", " "))).distinct().collect())  # twelve at most
+    gram = grams(base, ["workbook_id", key], F.col("_w"), sizes or [1]).join(phrase, ["workbook_id", "gram"])
+    long = F.size(F.split("s", " ")) > MAX_GRAM
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    sure = gram.filter(long).join(base.select("workbook_id", key, padded(F.array_join("_w", " ")).alias("_t")), ["workbook_id", key]).filter(F.contains("_t", padded(F.col("s")))).drop("_t")
+    gram = gram.filter(~long).unionByName(sure)
     rest = F.array_join(F.transform("_w", lambda w: F.when(w.isin(generic), F.lit(" ")).otherwise(w)) if generic else F.col("_w"), " ")
     packed = base.select("workbook_id", key, F.regexp_replace(rest, " +", " ").alias("t"))
     anchors = packed.filter(F.length("t") >= ANCHOR).select("workbook_id", key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - (ANCHOR - 1)), lambda i: F.substring("t", i, F.lit(ANCHOR))))).alias("a"))

@@ -12,9 +12,10 @@ from gridloom.functions.formula import Call, FormulaError, area, tree
 from gridloom.functions.ontology import IDENTITIES, ROLES, coefficients, identity_parts, named_roles
 from gridloom.operators.identities import best_signs, residuals, tolerance
 from gridloom.operators.rowmap import SHEET
+from gridloom.tables import materialise
 
 TERMS = "workbook_id string, sheet string, `row` int, sign int, t_sheet string, t_row int, delta int, in_sum boolean"
-#: A sum over more rows than this is no list of terms.
+#: A sum over more rows than this is no list of terms (fixed value).
 MAX_TERMS = 300
 
 
@@ -99,14 +100,20 @@ def corkscrews(t: DataFrame) -> DataFrame:
     return pair.select(*SHEET, "closing", "opening").unionByName(apart).distinct()
 
 
-def link_sources(t: DataFrame, kinds: DataFrame, hops: int = 8) -> DataFrame:
-    """Row at the end of each chain of links, at most 2**hops long, by pointer doubling; cycles of links end nowhere."""
+def link_sources(t: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Row at the end of each chain of links, however long, by pointer doubling; chains that run into a cycle end nowhere.
+
+    A round doubles how far each link points, so rounds are the logarithm of the longest chain. Links that still point at
+    a link once as many steps are covered as there are links are on or before a cycle.
+    """
     link = t.join(kinds.filter("kind = 'link'").select(*SHEET, "row"), [*SHEET, "row"], "left_semi").select("workbook_id", "sheet", "row", F.col("t_sheet").alias("s_sheet"), F.col("t_row").alias("s_row"))
-    out = link
-    for _ in range(hops):
-        nxt = out.select("workbook_id", F.col("sheet").alias("s_sheet"), F.col("row").alias("s_row"), F.col("s_sheet").alias("n_sheet"), F.col("s_row").alias("n_row"))
-        out = out.join(nxt, ["workbook_id", "s_sheet", "s_row"], "left").select("workbook_id", "sheet", "row", F.coalesce("n_sheet", "s_sheet").alias("s_sheet"), F.coalesce("n_row", "s_row").alias("s_row"))
+    link = materialise(link)
+    out, steps, most = link, 1, link.groupBy("workbook_id").count().agg(F.max("count")).first()[0] or 0
     still = link.select("workbook_id", F.col("sheet").alias("s_sheet"), F.col("row").alias("s_row"))
+    while steps <= most and not out.join(still, ["workbook_id", "s_sheet", "s_row"], "left_semi").isEmpty():
+        nxt = out.select("workbook_id", F.col("sheet").alias("s_sheet"), F.col("row").alias("s_row"), F.col("s_sheet").alias("n_sheet"), F.col("s_row").alias("n_row"))
+        out = materialise(out.join(nxt, ["workbook_id", "s_sheet", "s_row"], "left").select("workbook_id", "sheet", "row", F.coalesce("n_sheet", "s_sheet").alias("s_sheet"), F.coalesce("n_row", "s_row").alias("s_row")))
+        steps *= 2
     return out.join(still, ["workbook_id", "s_sheet", "s_row"], "left_anti")
 
 

@@ -43,9 +43,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
 
 
+#: The folder of each application's intermediate tables.
+_SESSIONS: dict[tuple[str, str], str] = {}
+
+
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables in the shared folder; it is deleted when the driver ends."""
+    key = spark.sparkContext.applicationId, shared_dir(spark).rstrip("/")
+    if key not in _SESSIONS:
+        at = f"{key[1]}/gridloom-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _SESSIONS[key] = at
+    return _SESSIONS[key]
+
+
 def new_folder(spark: SparkSession) -> str:
-    """A path of its own in the shared folder, not made yet."""
-    return f"{shared_dir(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    """A path of its own among the intermediate tables, not made yet."""
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables made so far: for long sessions, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_SESSIONS.pop((spark.sparkContext.applicationId, shared_dir(spark).rstrip("/")), f"{shared_dir(spark).rstrip('/')}/gridloom-none"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -16,3 +16,17 @@ def test_scan(spark):
     out = {r.workbook_id: r.reason for r in release(texts, hits, spark.createDataFrame([("w",), ("v",)], "workbook_id string")).collect()}
     assert out == {"w": "hit", "v": "non-ascii", "u": "registry unreadable"}
     assert scan(texts.limit(0), bad, GENERIC).count() == 0
+
+
+def test_long_phrases_are_held_against_the_whole_text(spark):
+    from gridloom.functions.text import words
+    from gridloom.operators.diagnostics import leak_hits
+    from pyspark.sql import functions as F
+
+    say = lambda n, end: " ".join([f"w{i}" for i in range(n)] + [end])
+    docs = spark.createDataFrame([(1, say(14, "fin")), (2, say(14, "other")), (3, say(11, "fin"))], "i int, t string")
+    hits = leak_hits(docs, ["i"], words(F.col("t")), spark.createDataFrame([(say(14, "fin"),), (say(11, "fin"),)], "phrase string"))
+    assert {(r.i, len(r.phrase.split())) for r in hits.collect()} == {(1, 15), (3, 12)}
+    bad = spark.createDataFrame([("w", "gram", say(14, "fin"))], "workbook_id string, kind string, s string")
+    got = scan(docs.selectExpr("'w' as workbook_id", "i as text_id", "t as text"), bad, [])
+    assert [r.text_id for r in got.collect()] == [1]

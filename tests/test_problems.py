@@ -35,6 +35,18 @@ def test_sheet_key(spark):
     assert got == ["it's", "it's", "it's", "'", "", None]
 
 
+def test_intermediate_tables_go(spark):
+    from gridloom.tables import materialise, path_exists, release, session_dir
+
+    df = materialise(spark.range(3).toDF("i"))
+    at = session_dir(spark)
+    assert df.count() == 3 and path_exists(spark, at)
+    release(spark)
+    assert not path_exists(spark, at) and materialise(spark.range(2).toDF("i")).count() == 2 and session_dir(spark) != at
+    release(spark)
+    release(spark)
+
+
 # ------------------------------------------------------------------ units
 
 

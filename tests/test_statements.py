@@ -108,3 +108,12 @@ def test_sources_and_uses_are_evaluated(spark, sheet, uses, want):
     values = spark.createDataFrame([("w", s, r, d, v) for s, r, vs in (("A", 4, [4.0, 6.0]), (sheet, 9, uses)) for d, v in zip(DAYS, vs)], "workbook_id string, sheet string, `row` int, period date, value double")
     got = {r.identity: r.status for r in identity_results(bound, many, values).collect()}
     assert got["su_balance"] == want and got["bs_rollforward"] == "not_evaluated" and got["cf_net"] == "unbound"
+
+
+def test_long_chains_of_links_end_at_their_source(spark):
+    """Chains longer than any fixed number of hops, and one that runs into a cycle."""
+    n = 300
+    links = [("w", "S", i + 1, 1, "S", i, 0, False) for i in range(1, n)] + [("v", "S", 1, 1, "S", 2, 0, False), ("v", "S", 2, 1, "S", 1, 0, False), ("v", "S", 3, 1, "S", 1, 0, False)]
+    t = spark.createDataFrame(links, "workbook_id string, sheet string, `row` int, sign int, t_sheet string, t_row int, delta int, in_sum boolean")
+    got = {(r.workbook_id, r.row): r.s_row for r in link_sources(t, structure(t)).collect()}
+    assert got == {("w", i): 1 for i in range(2, n + 1)}
