@@ -466,16 +466,6 @@ def rate_backsolve(t: Tables) -> DataFrame:
     return cashflow.read_back(_factors(t, "end"), ["segment"], "period_end", "factor", vd()).select("segment", F.round("rate", 9).alias("rate"))
 
 
-@query(f"""WITH {FLOWS}, pv AS (SELECT segment, sum(flow * factor) pv FROM ({_sql_factors('end')}) GROUP BY 1), adj AS (SELECT c_mktsegment segment, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) a FROM customer GROUP BY 1),
-    x AS (SELECT segment, 1 step, 'pv' item, pv v FROM pv UNION ALL SELECT segment, 2, 'balances', -a FROM adj)
-    SELECT segment, step, item, round(v, 2) AS amount, round(sum(v) OVER (PARTITION BY segment ORDER BY step), 2) AS running FROM x""")
-def bridge_decompose(t: Tables) -> DataFrame:
-    pv = cashflow.present_value(_factors(t, "end"), ["segment"], "flow").select("segment", F.lit(1).alias("step"), F.lit("pv").alias("item"), F.col("pv").alias("v"))
-    adj = t.customer.groupBy(F.col("c_mktsegment").alias("segment")).agg((-F.sum(money("c_acctbal")).cast("double")).alias("v")).select("segment", F.lit(2).alias("step"), F.lit("balances").alias("item"), "v")
-    w = Window.partitionBy("segment").orderBy("step")
-    return pv.unionByName(adj).select("segment", "step", "item", r(F.col("v"), 2).alias("amount"), r(F.sum("v").over(w), 2).alias("running"))
-
-
 # ---------------------------------------------------------------- identities
 
 NATION_MONTH = "nm AS (SELECT n_regionkey reg, n_nationkey nat, last_day(o_orderdate) p, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2, 3)"
@@ -692,25 +682,6 @@ def strict_vs_known_sum(t: Tables) -> DataFrame:
     return c.groupBy("workbook_id", "sheet").agg(F.count(F.lit(1)).alias("n"), (relational.sum_known(v) / 1000).alias("known"), (relational.sum_strict(v) / 1000).alias("strict"))
 
 
-@query(f"""WITH {LINES}, x AS (SELECT p, revenue + opex cfo, revenue - tax npat, revenue * 2 + opex + tax total FROM m)
-    SELECT p, CAST(cfo - npat AS DOUBLE) AS d_operating, CAST(npat - cfo AS DOUBLE) AS d_earnings, CAST(total - cfo - npat AS DOUBLE) AS residual, CAST(total - cfo - npat - (cfo - npat) AS DOUBLE) AS unexplained FROM x""")
-def residual_split(t: Tables) -> DataFrame:
-    """A residual set against component differences; what none explains is left over."""
-    x = _month_lines(t).select("p", (F.col("revenue") + F.col("opex")).alias("cfo"), (F.col("revenue") - F.col("tax")).alias("npat"), (F.col("revenue") * 2 + F.col("opex") + F.col("tax")).alias("total"))
-    res = F.col("total") - F.col("cfo") - F.col("npat")
-    a = F.col("cfo") - F.col("npat")
-    return x.select("p", a.cast("double").alias("d_operating"), (-a).cast("double").alias("d_earnings"), res.cast("double").alias("residual"), (res - a).cast("double").alias("unexplained"))
-
-
-@query("""SELECT workbook_id, sheet, count(*) FILTER (n_formula > 0 AND n_const = 0) AS n_derived, count(*) FILTER (n_const > 0 AND n_const >= 3 * n_formula) AS n_typed, count(*) AS n_lines,
-    CASE WHEN count(*) FILTER (n_formula > 0 AND n_const = 0) = count(*) THEN 'derived' WHEN count(*) FILTER (n_const > 0 AND n_const >= 3 * n_formula) = count(*) THEN 'extracted' WHEN count(*) FILTER (n_formula > 0 OR n_const > 0) = 0 THEN 'none' ELSE 'partial' END AS mode FROM line_items GROUP BY 1, 2""")
-def mode_classify(t: Tables) -> DataFrame:
-    derived, typed = (F.col("n_formula") > 0) & (F.col("n_const") == 0), (F.col("n_const") > 0) & (F.col("n_const") >= 3 * F.col("n_formula"))
-    out = t.line_items.groupBy("workbook_id", "sheet").agg(F.count_if(derived).alias("n_derived"), F.count_if(typed).alias("n_typed"), F.count(F.lit(1)).alias("n_lines"), F.count_if((F.col("n_formula") > 0) | (F.col("n_const") > 0)).alias("_some"))
-    mode = F.when(F.col("n_derived") == F.col("n_lines"), "derived").when(F.col("n_typed") == F.col("n_lines"), "extracted").when(F.col("_some") == 0, "none").otherwise("partial")
-    return out.withColumn("mode", mode).drop("_some")
-
-
 # ---------------------------------------------------------------- classification, vocabularies, diagnostics
 
 def _sql_first(table: list, c: str, default: str) -> str:

@@ -58,6 +58,11 @@ def subtotal_results(t: Tables) -> DataFrame:
     return statements.subtotal_results(tt, statements.structure(tt), statements.row_values(c, lay))
 
 
+def subtotal_verdicts(t: Tables) -> DataFrame:
+    """Which subtotals hold against their parts, without the residuals, whose last digits depend on the order of adding."""
+    return subtotal_results(t).select(*rowmap.SHEET, "row", "n_failing", "n_periods", "status")
+
+
 def identity_results(t: Tables) -> DataFrame:
     c, lay, lines = _mapped(t)
     tt = _terms(c)
@@ -137,7 +142,7 @@ def _query(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], Da
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
-    for f in (row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, identity_results, value_triples, statement_lines, statement_checks, statement_years, statement_modes, statement_residuals, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
+    for f in (row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, subtotal_verdicts, identity_results, value_triples, statement_lines, statement_checks, statement_years, statement_modes, statement_residuals, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
 }
 
 _REF = r"\$?[A-Z]{1,3}\$?[0-9]+"
@@ -156,6 +161,7 @@ FAMILIES = rf"""{LIVE_CELLS}, f AS (SELECT workbook_id, sheet, row, col, addr, f
     fam AS (SELECT workbook_id, sheet, row, r1c1, count(*) n_cells, arg_min(addr, col) first_addr, arg_max(addr, col) last_addr, min(col) c FROM f GROUP BY 1, 2, 3, 4),
     ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY workbook_id, sheet, row ORDER BY n_cells DESC, c) AS INTEGER) rank FROM fam),
     top AS (SELECT f.* FROM f JOIN ranked r ON r.rank = 1 AND r.workbook_id = f.workbook_id AND r.sheet = f.sheet AND r.row = f.row AND r.first_addr = f.addr)"""
+_FAMILY_PARTS = FAMILIES.removeprefix(LIVE_CELLS).lstrip(", ")
 #: What formulas read: rows of the own sheet by single references and ranges of one column.
 _SPAN = r"^=SUM\(([A-Z]+)([0-9]+):([A-Z]+)([0-9]+)\)$"
 _PAIR = r"^=([A-Z]+)([0-9]+)\*([A-Z]+)([0-9]+)$"
@@ -168,7 +174,33 @@ def _num(pattern: str, k: int) -> str:
     return f"CAST(nullif(regexp_extract(formula, '{pattern}', {k}), '') AS INTEGER)"
 
 
+def _cell(pattern: str, letters: int, number: int) -> str:
+    return f"{{r: {_num(pattern, number)}, c: {_COL.format(f"regexp_extract(formula, '{pattern}', {letters})")}}}"
+
+
+#: Typed cells with the number each counts as; what a formula of the tables reads, cell by cell.
+_NUMBERS = f"""{LAYOUT}, n AS (SELECT workbook_id w, sheet s, row r, col c, formula, value, kind, CASE WHEN kind IN ('num', 'bool') THEN coalesce(value_num, CASE WHEN kind = 'num' THEN TRY_CAST(value AS DOUBLE) END) END num FROM kinds),
+    lo AS (SELECT *, least({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) a, greatest({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) b FROM n WHERE formula IS NOT NULL)"""
+
 ORACLES: dict[str, str] = {
+    "subtotal_verdicts": f"""WITH {_NUMBERS}, {_FAMILY_PARTS},
+        kind_ AS (SELECT workbook_id w, sheet s, row r, least({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) a, greatest({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) b FROM top WHERE regexp_matches(formula, '{_SPAN}') AND regexp_extract(formula, '{_SPAN}', 1) = regexp_extract(formula, '{_SPAN}', 3) AND {_COL.format(f"regexp_extract(formula, '{_SPAN}', 1)")} = col),
+        sub AS (SELECT *, b - a + 1 k FROM kind_ WHERE b > a AND b - a <= 300), span AS (SELECT workbook_id w, sheet s, header_row h, tl_first f, tl_last l FROM layout WHERE tl_first IS NOT NULL),
+        own AS (SELECT n.*, h FROM n JOIN span USING (w, s) WHERE c BETWEEN f AND l), head_ AS (SELECT own.w, own.s, own.c, coalesce(d.d, NULL) period FROM own JOIN dated d ON d.workbook_id = w AND d.sheet = s AND d.row = r AND d.col = c WHERE r = h AND kind = 'date'),
+        body AS (SELECT * FROM own WHERE r <> h), rows_ AS (SELECT DISTINCT w, s, r FROM body),
+        vals AS (SELECT x.w, x.s, x.r, q.period, CASE WHEN y.w IS NULL OR y.value IS NULL THEN 0 ELSE y.num END v FROM rows_ x JOIN head_ q USING (w, s) LEFT JOIN body y ON y.w = x.w AND y.s = x.s AND y.r = x.r AND y.c = q.c),
+        both_ AS (SELECT u.w, u.s, u.r, u.k, v.period, 1 g, v.v FROM sub u JOIN vals v ON v.w = u.w AND v.s = u.s AND v.r BETWEEN u.a AND u.b UNION ALL SELECT u.w, u.s, u.r, u.k, v.period, -1, v.v FROM sub u JOIN vals v ON v.w = u.w AND v.s = u.s AND v.r = u.r),
+        res AS (SELECT w, s, r, k, period, sum(g * v) x, max(abs(v)) m FROM both_ WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = k + 1), tol AS (SELECT w, s, r, greatest(1e-6, 1e-6 * max(m)) t FROM res GROUP BY 1, 2, 3)
+        SELECT w AS workbook_id, s AS sheet, r AS row, count(*) FILTER (abs(x) > t) AS n_failing, count(*) AS n_periods, CASE WHEN count(*) FILTER (abs(x) > t) = 0 THEN 'holds' ELSE 'fails' END AS status FROM res JOIN tol USING (w, s, r) GROUP BY 1, 2, 3""",
+    "stale_cells": f"""WITH RECURSIVE {_NUMBERS}, p AS (SELECT w, s, r, c, formula, num, unnest(list_distinct(CASE WHEN regexp_matches(formula, '{_PAIR}') THEN [{_cell(_PAIR, 1, 2)}, {_cell(_PAIR, 3, 4)}] ELSE list_transform(range(a, b + 1), lambda i: {{r: CAST(i AS INTEGER), c: {_COL.format(f"regexp_extract(formula, '{_SPAN}', 1)")}}}) END)) q FROM lo WHERE kind = 'num' AND num IS NOT NULL AND (regexp_matches(formula, '{_PAIR}') OR regexp_matches(formula, '{_SPAN}'))),
+        v AS (SELECT p.w, p.s, p.r, p.c, p.formula, p.num saved, p.q.r qr, p.q.c qc, CASE WHEN t.w IS NULL OR t.value IS NULL THEN 0 ELSE t.num END x FROM p LEFT JOIN n t ON t.w = p.w AND t.s = p.s AND t.r = p.q.r AND t.c = p.q.c),
+        e AS (SELECT w, s, r, c, formula, saved, list(x ORDER BY qr, qc) xs, max(abs(x)) big FROM v GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(x) = count(*)),
+        g AS (SELECT *, CASE WHEN formula LIKE '=SUM%' THEN list_reduce(xs, lambda i, j: i + j) WHEN len(xs) = 1 THEN xs[1] * xs[1] ELSE xs[1] * xs[2] END computed FROM e),
+        bad AS (SELECT * FROM g WHERE abs(computed - saved) > greatest(1e-6, 1e-6 * greatest(abs(computed), abs(saved)), 1e-3 * big)),
+        l0 AS (SELECT DISTINCT w, s, r, c, unnest(CASE WHEN regexp_matches(formula, '{_SPAN}') THEN CASE WHEN b - a < 100 THEN list_transform(range(a, b + 1), lambda i: {{r: CAST(i AS INTEGER), c: {_COL.format(f"regexp_extract(formula, '{_SPAN}', 1)")}}}) END ELSE list_transform(regexp_extract_all(formula, '[A-Z]{{1,3}}[0-9]+'), lambda z: {{r: CAST(regexp_extract(z, '([0-9]+)', 1) AS INTEGER), c: {_COL.format("regexp_extract(z, '([A-Z]+)', 1)")}}}) END) t FROM lo),
+        walk AS (SELECT DISTINCT w, s, r r0, c c0, r, c, 0 d FROM bad UNION SELECT k.w, k.s, k.r0, k.c0, l.t.r, l.t.c, k.d + 1 FROM walk k JOIN l0 l ON l.w = k.w AND l.s = k.s AND l.r = k.r AND l.c = k.c WHERE k.d < 4),
+        loops AS (SELECT DISTINCT w, s, r0, c0 FROM walk WHERE d > 0 AND r = r0 AND c = c0)
+        SELECT bad.w AS workbook_id, bad.s AS sheet, bad.r AS row, bad.c AS col, formula, saved, computed, CAST(len(xs) AS INTEGER) AS n_operands FROM bad LEFT JOIN loops o ON o.w = bad.w AND o.s = bad.s AND o.r0 = bad.r AND o.c0 = bad.c WHERE o.w IS NULL""",
     "formula_families": f"WITH {FAMILIES} SELECT workbook_id, sheet, row, r1c1, n_cells, first_addr, last_addr, rank FROM ranked",
     "row_structure": f"""WITH {FAMILIES}, s AS (SELECT *, least({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) a, greatest({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) b, {_COL.format(f"regexp_extract(formula, '{_SPAN}', 1)")} - col d FROM top WHERE regexp_matches(formula, '{_SPAN}') AND regexp_extract(formula, '{_SPAN}', 1) = regexp_extract(formula, '{_SPAN}', 3))
         SELECT workbook_id, sheet, row, CAST(b - a + 1 AS BIGINT) AS n_terms, CASE WHEN a = b AND d = -1 THEN 'previous' WHEN a = b AND d = 0 THEN 'link' WHEN d = 0 AND b > a THEN 'subtotal' ELSE 'linear' END AS kind FROM s WHERE b - a <= 300""",

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from gridloom.plans import catalog, portfolio, problems, workbooks  # noqa: F401  portfolio adds to the catalogue
+from gridloom.plans import catalog, portfolio, problems, traces, workbooks  # noqa: F401  portfolio and traces add to the catalogue
 
 DATA = os.environ.get("GRIDLOOM_TESTDATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
