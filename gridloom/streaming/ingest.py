@@ -7,6 +7,8 @@ as its registry rows are a folder named by the batch and its table rows are part
 from __future__ import annotations
 
 import os
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,6 +70,50 @@ def latest_status(reg: DataFrame) -> DataFrame:
     return reg.groupBy("sha256").agg(F.max_by(F.struct("workbook_id", "filename", "size", "status", "error", "n_sheets", "n_cells"), F.struct(F.col("status") == "done", "queued_at")).alias("x")).select("sha256", "x.*")
 
 
+class Busy(RuntimeError):
+    """A workbook that is being built cannot be removed or built again."""
+
+
+def remove(spark: SparkSession, out: str, workbook_id: str, building: set[str] = frozenset()) -> int:
+    """Take a workbook out of the tables and the registry; returns how many folders of it there were.
+
+    Refused while it is in ``building``. Only folders named by the workbook inside the output's tables are deleted. Its
+    registry rows are rewritten batch by batch, so the same content is taken in again when it arrives next.
+    """
+    if workbook_id in building:
+        raise Busy(workbook_id)
+    if not workbook_id or "/" in workbook_id or workbook_id.startswith("."):
+        raise ValueError("no name of a workbook")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, n = fs_path(out).getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    if not fs.exists(fs_path(out)):
+        return 0
+    for table in fs.listStatus(fs_path(out)):
+        own = fs_path(f"{table.getPath()}/workbook_id={workbook_id}")
+        n += bool(table.isDirectory() and fs.exists(own) and fs.delete(own, True))
+    at = fs_path(os.path.join(out, "registry"))
+    for batch in fs.listStatus(at) if fs.exists(at) else []:
+        path = str(batch.getPath())
+        rows = spark.read.schema(REGISTRY).parquet(path)
+        if not rows.filter(F.col("workbook_id") == workbook_id).isEmpty():
+            left = spark.createDataFrame(rows.filter(F.col("workbook_id") != workbook_id).collect(), REGISTRY)  # one batch's files
+            left.write.mode("overwrite").parquet(path)
+    return n
+
+
+class Progress:
+    """Reports of a build, passed on at most every quarter of a second; the last one always is."""
+
+    def __init__(self, tell: Callable[[str, float], None], clock: Callable[[], float] = time.monotonic, every: float = 0.25) -> None:
+        self.tell, self.clock, self.every, self.at = tell, clock, every, float("-inf")
+
+    def __call__(self, step: str, share: float) -> None:
+        now = self.clock()
+        if share >= 1 or now - self.at >= self.every:
+            self.at = now
+            self.tell(step, min(1.0, max(0.0, share)))
+
+
 def event_windows(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums per window and type, for batch and stream alike; late events count until the watermark passes."""
     marked = events.withWatermark("ts", late) if events.isStreaming else events

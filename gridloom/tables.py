@@ -97,3 +97,21 @@ def sheet_key(col: Column) -> Column:
     quoted = t.startswith("'") & t.endswith("'") & (F.length(t) > 1)
     inner = trimmed(F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit("''"), F.lit("'")))
     return F.lower(F.when(quoted, inner).otherwise(t))
+
+
+def kept(df: DataFrame, name: str, version: str) -> DataFrame:
+    """A result kept in the shared folder under its name and the version of what made it: made once, then read.
+
+    It is written beside its place and moved there when whole, so a reader finds all of it or nothing. Keep results of
+    tables that do not change under the same ``name``; a new ``version`` makes a new one.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark).rstrip('/')}/gridloom-kept-{name}-{version}"
+    if not path_exists(spark, f"{at}/_SUCCESS"):
+        part = new_folder(spark)
+        df.write.parquet(part)
+        here, there = spark._jvm.org.apache.hadoop.fs.Path(part), spark._jvm.org.apache.hadoop.fs.Path(at)
+        fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.rename(here, there) and not path_exists(spark, f"{at}/_SUCCESS"):
+            raise RuntimeError(f"could not keep {name}")
+    return spark.read.schema(df.schema).parquet(at)

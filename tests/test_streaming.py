@@ -1,5 +1,7 @@
 from gridloom.sources.ooxml import write_workbook
-from gridloom.streaming.ingest import event_windows, latest_status, registry, safe_name, start_ingest
+import pytest
+
+from gridloom.streaming.ingest import Busy, Progress, event_windows, latest_status, registry, remove, safe_name, start_ingest
 from pyspark.sql import functions as F
 
 
@@ -23,6 +25,26 @@ def test_ingest_is_idempotent(spark, tmp_path):
     got = latest_status(registry(spark, str(out))).collect()
     assert sorted(r.status for r in got) == ["done", "done", "error"]
     assert spark.read.parquet(str(out / "cells")).count() == 3
+    gone = registry(spark, str(out)).filter("filename = 'two.xlsx'").first().workbook_id
+    with pytest.raises(Busy):
+        remove(spark, str(out), gone, {gone})
+    with pytest.raises(ValueError):
+        remove(spark, str(out), "../x")
+    assert remove(spark, str(out), gone) >= 1 and remove(spark, str(out), "Wnone") == 0
+    assert spark.read.parquet(str(out / "cells")).count() == 2 and registry(spark, str(out)).filter(F.col("workbook_id") == gone).count() == 0
+    (src / "two again.xlsx").write_bytes((src / "two.xlsx").read_bytes())
+    run()
+    assert spark.read.parquet(str(out / "cells")).count() == 3
+
+
+def test_progress_is_throttled():
+    now, told = [0.0], []
+    p = Progress(lambda step, share: told.append((step, share)), lambda: now[0])
+    for i in range(10):
+        now[0] += 0.1
+        p("cells", i / 10)
+    p("done", 1.2)
+    assert told == [("cells", 0.0), ("cells", 0.3), ("cells", 0.6), ("cells", 0.9), ("done", 1.0)]
 
 
 def test_safe_name(spark):
