@@ -536,9 +536,14 @@ TRIPLES = f"""{NATION_MONTH}, s AS (SELECT reg, nat, p, CAST(v AS DECIMAL(18,2))
     SELECT reg, a, b, c, CAST(sb AS INTEGER) AS sign_b, CAST(sc AS INTEGER) AS sign_c, CAST(n AS INTEGER) AS n_periods FROM t WHERE ok""")
 def balance_triples(t: Tables) -> DataFrame:
     """Rows a = b + c among the nations of a region and a total of its first two, in whichever signs hold."""
+    return identities.value_triples(region_rows(t), ["reg"], "r", "p", "v").select("reg", "a", "b", "c", "sign_b", "sign_c", "n_periods")
+
+
+def region_rows(t: Tables) -> DataFrame:
+    """Rows of each region: its nations by month, and 1000 and the region for the sum of its first two."""
     s = nation_month(t).select("reg", F.col("nat").cast("int").alias("r"), "p", "v").withColumn("k", F.dense_rank().over(Window.partitionBy("reg").orderBy("r")))
     total = s.filter("k <= 2").groupBy("reg", "p").agg(F.sum(F.col("v").cast("decimal(18,2)")).cast("double").alias("v")).select("reg", (F.lit(1000) + F.col("reg")).cast("int").alias("r"), "p", "v")
-    return identities.value_triples(s.select("reg", "r", "p", "v").unionByName(total), ["reg"], "r", "p", "v").select("reg", "a", "b", "c", "sign_b", "sign_c", "n_periods")
+    return s.select("reg", "r", "p", "v").unionByName(total)
 
 
 @query(f"""WITH {E1}, s AS (SELECT workbook_id, src_sheet, src_row, list_sort(list(DISTINCT dst_row)) terms FROM e WHERE src_sheet = dst_sheet AND kind = 'direct' GROUP BY 1, 2, 3)

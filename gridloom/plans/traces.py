@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import cashflow, threeway, trace
-from gridloom.plans.catalog import (E1, FLOWS, LIVE_CELLS, LIVE_LINES, Tables, _factors, _month_lines, _sql_factors, as_roles, edges_once, flows, live_cells, live_lines, money, query, reach, sheet_graph, LINES)
+from gridloom.operators import binding, cashflow, identities, threeway, trace
+from gridloom.plans.catalog import (E1, FLOWS, LIVE_CELLS, LIVE_LINES, Tables, _factors, _month_lines, _sql_factors, as_roles, edges_once, flows, live_cells, live_lines, money, query, reach, region_rows, sheet_graph, LINES, TRIPLES)
 from gridloom.plans.catalog import vd
 from gridloom.tables import sheet_key
 
@@ -118,3 +118,42 @@ def mode_classify(t: Tables) -> DataFrame:
     return threeway.modes(threeway.statements(roles)).filter("statement = 'pnl'").select(F.col("workbook_id").alias("nation"), "n_extracted", "n_derived", "n_missing", "mode")
 
 
+
+
+# ---------------------------------------------------------------- bindings
+
+@query(f"""WITH {TRIPLES}, t AS (SELECT a.reg, a.r a, b.r b, c.r c, count(*) n, bool_and(abs(a.v - (b.v + c.v)) <= e) ok FROM full_ a JOIN (SELECT reg, r, greatest(1e-6, 1e-6 * max(abs(v))) e FROM full_ GROUP BY 1, 2) tol ON tol.reg = a.reg AND tol.r = a.r JOIN full_ b ON b.reg = a.reg AND b.p = a.p AND b.r <> a.r JOIN full_ c ON c.reg = a.reg AND c.p = a.p AND c.r <> a.r AND c.r > b.r GROUP BY 1, 2, 3, 4),
+    l AS (SELECT DISTINCT reg, r, CASE WHEN r >= 1000 THEN 'A' WHEN r % 2 = 0 THEN 'E' ELSE 'L' END k FROM full_),
+    sc_ AS (SELECT t.reg, a, b, c, n, CASE WHEN x.k = 'A' THEN 2 ELSE 0 END s0, CASE WHEN y.k = 'L' THEN 2 ELSE 0 END + CASE WHEN z.k = 'E' THEN 2 ELSE 0 END s1, CASE WHEN z.k = 'L' THEN 2 ELSE 0 END + CASE WHEN y.k = 'E' THEN 2 ELSE 0 END s2 FROM t JOIN l x ON x.reg = t.reg AND x.r = a JOIN l y ON y.reg = t.reg AND y.r = b JOIN l z ON z.reg = t.reg AND z.r = c WHERE ok),
+    g AS (SELECT reg, a, CASE WHEN s2 > s1 THEN c ELSE b END li, CASE WHEN s2 > s1 THEN b ELSE c END eq, s0 + greatest(s1, s2) sc, n FROM sc_), h AS (SELECT *, row_number() OVER (PARTITION BY reg ORDER BY sc DESC, n DESC, a, li, eq) k, max(sc) OVER (PARTITION BY reg) m FROM g)
+    SELECT reg, CAST(max(CASE WHEN k = 1 THEN a END) AS INTEGER) AS assets, CAST(max(CASE WHEN k = 1 THEN li END) AS INTEGER) AS liabilities, CAST(max(CASE WHEN k = 1 THEN eq END) AS INTEGER) AS equity, CAST(max(m) AS INTEGER) AS score, CASE WHEN max(m) > 0 THEN 'label' ELSE 'value' END AS how, CAST(count(*) FILTER (sc = m) - 1 AS INTEGER) AS alternates FROM h GROUP BY 1""")
+def balance_anchor(t: Tables) -> DataFrame:
+    """The rows of each region that make a balance sheet: totals are labelled assets, nations liabilities or equity."""
+    s = region_rows(t)
+    label = F.when(F.col("row") >= 1000, "Total assets").when(F.col("row") % 2 == 0, "Total equity").otherwise("Total liabilities")
+    labels = s.select("reg", F.col("r").alias("row")).distinct().withColumn("label", label)
+    return binding.balance_anchor(identities.value_triples(s, ["reg"], "r", "p", "v"), labels, ["reg"])
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) k FROM customer), r AS (SELECT c_nationkey nation, c_custkey r, k, CASE WHEN c_custkey % 4 = 0 THEN 'o' WHEN c_custkey % 4 = 1 THEN 'i' WHEN c_custkey % 4 = 2 THEN 'f' ELSE '' END l FROM c WHERE k <= 3),
+    w AS (SELECT a.nation, a.r cfo, b.r cfi, d.r cff, CASE WHEN a.l = 'o' THEN 2 ELSE 0 END + CASE WHEN b.l = 'i' THEN 2 ELSE 0 END + CASE WHEN d.l = 'f' THEN 2 ELSE 0 END score, a.k * 100 + b.k * 10 + d.k o FROM r a JOIN r b ON b.nation = a.nation AND b.k <> a.k JOIN r d ON d.nation = a.nation AND d.k <> a.k AND d.k <> b.k)
+    SELECT nation, cfo, cfi, cff, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY score DESC, o) n FROM w) WHERE n = 1""")
+def flow_binding(t: Tables) -> DataFrame:
+    """The first three customers of a nation as the flows of a cash-flow statement, by what their labels say, else in order."""
+    k = F.col("c_custkey") % 4
+    label = F.when(k == 0, "Net cash from operating activities").when(k == 1, "Net cash used in investing").when(k == 2, "Net cash used in financing").otherwise("Other")
+    first = t.customer.withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).filter("k <= 3").withColumn("label", label)
+    said = {"cfo": r"operating activities", "cfi": "investing", "cff": "financing"}
+    scored = first.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("row"), "k", *[F.when(F.lower("label").contains(w), 2).otherwise(0).alias(r) for r, w in said.items()])
+    return binding.assign_roles(scored, ["nation"], "row", list(said), "k")
+
+
+@query("""WITH c AS (SELECT 'c' || c_custkey c, 'n' || c_nationkey n FROM customer), n AS (SELECT 'n' || n_nationkey n, 'r' || n_regionkey r FROM nation)
+    SELECT c AS start, 0 AS step, c AS node FROM c UNION ALL SELECT c, 1, n FROM c UNION ALL SELECT c, 2, r FROM c JOIN n USING (n)""")
+def total_chain(t: Tables) -> DataFrame:
+    """Customers walked back to nations and regions, as a result is to the totals it is made from; regions point at themselves."""
+    k = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    g = F.lit("g").alias("grp")
+    feeds = t.customer.select(g, k("c", "c_custkey").alias("node"), k("n", "c_nationkey").alias("before")).unionByName(t.nation.select(g, k("n", "n_nationkey").alias("node"), k("r", "n_regionkey").alias("before")))
+    feeds = feeds.unionByName(t.nation.select(g, k("r", "n_regionkey").alias("node"), k("r", "n_regionkey").alias("before")))
+    return binding.chain_back(t.customer.select(g, k("c", "c_custkey").alias("start")), feeds).select("start", "step", "node")

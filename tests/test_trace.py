@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import portfolio, trace
+from gridloom.operators import binding, portfolio, trace
 from gridloom.operators.relational import choose
 
 
@@ -61,3 +61,29 @@ def test_small_portfolio_operators(spark):
     assert [r.c for r in spark.range(1).select(F.explode(F.array(*[choose(F.lit(k), F.lit("p"), F.lit("q")) for k in (0, 1, 2, 3)])).alias("c")).collect()] == [None, "p", "q", None]
     got = [tuple(r.x) for r in spark.createDataFrame([("1e3",), (" 12 % ",), ("2026-01-31 00:00",), ("Rate_1",), ("2026-13-45",), ("?",), (None,)], "v string").select(portfolio.typed_value(F.col("v")).alias("x")).collect() if r.x is not None]
     assert got == [("number", 1000.0, None), ("percent", 0.12, None), ("date", None, date(2026, 1, 31)), ("name", None, None)]
+
+
+def test_roles_by_all_orders(spark):
+    rows = [("w", 1, 1, 0, 2, 0), ("w", 2, 2, 2, 0, 0), ("w", 3, 3, 0, 0, 2), ("v", 7, 1, 0, 0, 0), ("v", 8, 2, 0, 0, 0), ("v", 9, 3, 0, 0, 0), ("u", 1, 1, 2, 2, 2), ("u", 2, 2, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "k string, `row` int, o int, cfo int, cfi int, cff int")
+    got = {r.k: (r.cfo, r.cfi, r.cff, r.score) for r in binding.assign_roles(df, ["k"], "row", ["cfo", "cfi", "cff"], "o").collect()}
+    assert got == {"w": (2, 1, 3, 6), "v": (7, 8, 9, 0)}
+    with pytest.raises(ValueError):
+        binding.assign_roles(df, ["k"], "row", ["cfo"], "o")
+
+
+def test_balance_anchor(spark):
+    triples = spark.createDataFrame([("w", 10, 4, 7, 1, 1, 3), ("w", 20, 1, 2, 1, 1, 5), ("w", 4, 10, 7, 1, -1, 3), ("v", 3, 1, 2, 1, 1, 2), ("v", 6, 4, 5, 1, 1, 2)], "k string, a int, b int, c int, sign_b int, sign_c int, n_periods int")
+    labels = spark.createDataFrame([("w", 10, "Total assets"), ("w", 4, "Total equity"), ("w", 7, "Total liabilities"), ("w", 20, None)], "k string, `row` int, label string")
+    got = {r.k: (r.assets, r.liabilities, r.equity, r.how, r.alternates) for r in binding.balance_anchor(triples, labels, ["k"]).collect()}
+    assert got == {"w": (10, 7, 4, "label", 0), "v": (3, 1, 2, "value", 1)}
+    assert binding.balance_anchor(triples.limit(0), labels, ["k"]).count() == 0
+
+
+def test_chains_of_totals(spark):
+    feeds = spark.createDataFrame([("g", "npat", "pbt"), ("g", "npat", "zz"), ("g", "pbt", "ebit"), ("g", "ebit", "pbt"), *[("h", f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)]], "grp string, node string, before string")
+    starts = spark.createDataFrame([("g", "npat"), ("h", "n00"), ("k", "alone")], "grp string, start string")
+    got = {}
+    for r in binding.chain_back(starts, feeds).orderBy("step").collect():
+        got.setdefault(r.grp, []).append(r.node)
+    assert got["g"] == ["npat", "pbt", "ebit"] and len(got["h"]) == 13 and got["k"] == ["alone"]
