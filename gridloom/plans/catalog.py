@@ -348,11 +348,6 @@ def sheet_scc_flags(t: Tables) -> DataFrame:
     return graphs.connected_groups(sheet_graph(t))
 
 
-@query()
-def sheet_layers(t: Tables) -> DataFrame:
-    return graphs.layers(sheet_graph(t))
-
-
 @query(f"""WITH {G}, n AS (SELECT DISTINCT grp, unnest([src, dst]) node FROM g), i AS (SELECT grp, dst node, count(*) k FROM g GROUP BY 1, 2), o AS (SELECT grp, src node, count(*) k FROM g GROUP BY 1, 2)
     SELECT n.grp, n.node, coalesce(i.k, 0) AS n_in, coalesce(o.k, 0) AS n_out, CASE WHEN i.k IS NULL THEN 'source' WHEN o.k IS NULL THEN 'sink' ELSE 'inner' END AS role FROM n LEFT JOIN i USING (grp, node) LEFT JOIN o USING (grp, node)""")
 def sheet_roles(t: Tables) -> DataFrame:

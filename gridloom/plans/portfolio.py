@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import identities, portfolio
-from gridloom.plans.catalog import E1, FLOWS, G, LIVE_CELLS, LIVE_LINES, NATION_MONTH, TIE_ROWS, Tables, _region_parts, edges_once, flows, live_cells, live_lines, nation_month, query, sheet_graph, sql_key
-from gridloom.tables import BLANKS, sheet_key, trimmed
+from gridloom.functions import text
+from gridloom.operators import graphs, identities, portfolio, relational, review, rowmap
+from gridloom.plans.catalog import E1, FLOWS, G, LAYOUT, LIVE_CELLS, LIVE_LINES, NATION_MONTH, TIE_ROWS, Tables, _region_parts, edges_once, flows, live_cells, live_lines, nation_month, query, sheet_graph, sql_key, typed_cells
+from gridloom.streaming import ingest
+from gridloom.tables import BLANKS, materialise, sheet_key, trimmed
 
 BLANKLESS = "(label IS NULL OR trim(label) = '')"
 REF = r"^=?(?:''((?:[^'']|'''')+)''|([^''!\[\]]+))!\$?[A-Za-z]{1,3}\$?([0-9]+)(?::\$?[A-Za-z]{1,3}\$?([0-9]+))?$"
@@ -186,3 +188,58 @@ def out_of_reach(t: Tables) -> DataFrame:
 
 
 
+
+
+# ---------------------------------------------------------------- scalar functions
+
+SCC = f"""{G}, r_ AS (SELECT grp, src a, dst b FROM g UNION SELECT r_.grp, r_.a, g.dst FROM r_ JOIN g ON g.grp = r_.grp AND g.src = r_.b), n_ AS (SELECT DISTINCT grp, unnest([src, dst]) node FROM g),
+    scc AS (SELECT n_.grp, n_.node, least(n_.node, coalesce(min(x.b), n_.node)) c FROM n_ LEFT JOIN r_ x ON x.grp = n_.grp AND x.a = n_.node AND EXISTS (SELECT 1 FROM r_ y WHERE y.grp = x.grp AND y.a = x.b AND y.b = x.a) GROUP BY 1, 2),
+    h AS (SELECT DISTINCT g.grp, p.c a, q.c b FROM g JOIN scc p ON p.grp = g.grp AND p.node = g.src JOIN scc q ON q.grp = g.grp AND q.node = g.dst WHERE p.c <> q.c),
+    d AS (SELECT DISTINCT grp, c, 0 k FROM scc UNION SELECT d.grp, h.b, d.k + 1 FROM d JOIN h ON h.grp = d.grp AND h.a = d.c)"""
+
+
+@query(f"WITH RECURSIVE {SCC} SELECT scc.grp, scc.node, CAST(max(d.k) AS BIGINT) AS layer FROM scc JOIN d ON d.grp = scc.grp AND d.c = scc.c GROUP BY 1, 2")
+def sheet_layers(t: Tables) -> DataFrame:
+    """Longest-path layers of sheets, circular groups being one node."""
+    return graphs.layers(sheet_graph(t))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN lower(trim(p_brand)) = lower(trim(p_brand)) WHEN p_partkey % 3 = 1 THEN abs(p_size - p_size) < 1e-9 ELSE lower(trim(CAST(p_size AS VARCHAR))) = lower(trim(p_brand)) END AS same FROM part""")
+def same_loosely(t: Tables) -> DataFrame:
+    """Brands in other letters, sizes as text and as number, a size against a brand."""
+    k = F.col("p_partkey") % 3
+    a = F.when(k == 0, F.concat(F.lit("  "), F.upper("p_brand"))).otherwise(F.col("p_size").cast("string"))
+    b = F.when(k == 1, F.col("p_size").cast("double").cast("string")).otherwise(F.col("p_brand"))
+    return t.part.select("p_partkey", relational.loosely_equal(a, b).alias("same"))
+
+
+@query("""SELECT DISTINCT sheet, array_to_string(regexp_extract_all(regexp_replace(sheet, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), '|') AS parts FROM sheets WHERE sheet IS NOT NULL""")
+def sheet_name_parts(t: Tables) -> DataFrame:
+    return t.sheets.filter("sheet is not null").select("sheet", F.array_join(text.name_tokens(F.col("sheet")), "|").alias("parts")).distinct()
+
+
+@query("SELECT DISTINCT workbook_id, 'M' || left(sha256(workbook_id), 8) AS token FROM sheets WHERE workbook_id IS NOT NULL")
+def model_tokens(t: Tables) -> DataFrame:
+    return t.sheets.filter("workbook_id is not null").select("workbook_id", text.model_token(F.col("workbook_id")).alias("token")).distinct()
+
+
+@query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, 'FY' || year(o_orderdate) AS annual, strftime(o_orderdate, '%b-%y') AS monthly FROM orders")
+def period_labels(t: Tables) -> DataFrame:
+    d = t.orders.select(F.to_date("o_orderdate").alias("d")).distinct()
+    return d.select("d", text.period_label(F.col("d"), F.lit("annual")).alias("annual"), text.period_label(F.col("d"), F.lit("monthly")).alias("monthly"))
+
+
+@query(r"""WITH x AS (SELECT DISTINCT '/in/' || coalesce(sheet, '') || '?<' || workbook_id || '>. ' path, coalesce(sheet, '') || '?<' || workbook_id || '>. ' base FROM sheets WHERE workbook_id IS NOT NULL), y AS (SELECT path, regexp_extract(path, '([^/\\]*)$', 1) b FROM x)
+    SELECT path, left(regexp_replace(regexp_replace(b, '[<>:"/\\|?*]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g'), 120) AS name FROM y""")
+def safe_names(t: Tables) -> DataFrame:
+    """File names made of sheet names with marks no file system takes."""
+    path = F.concat(F.lit("/in/"), F.coalesce("sheet", F.lit("")), F.lit("?<"), F.col("workbook_id"), F.lit(">. "))
+    return t.sheets.filter("workbook_id is not null").select(path.alias("path")).distinct().select("path", ingest.safe_name(F.col("path")).alias("name"))
+
+
+@query(f"""WITH {LAYOUT}, c AS (SELECT k.workbook_id, k.sheet, k.row, k.col, k.kind, row_number() OVER (PARTITION BY k.workbook_id, k.sheet, k.row ORDER BY k.col) n FROM kinds k JOIN layout l ON l.workbook_id = k.workbook_id AND l.sheet = k.sheet WHERE k.value IS NOT NULL AND k.col > coalesce(l.label_col, 0))
+    SELECT workbook_id, sheet, row FROM c WHERE n <= 4 GROUP BY 1, 2, 3 HAVING bool_and(kind = 'date')""")
+def rows_of_dates(t: Tables) -> DataFrame:
+    """Rows whose first four values right of the label are all dates."""
+    c = typed_cells(t)
+    return review.date_valued(c, materialise(rowmap.detect_layout(c))).select("workbook_id", "sheet", "row")
