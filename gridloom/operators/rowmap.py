@@ -55,7 +55,8 @@ def detect_layout(cells: DataFrame) -> DataFrame:
 def shown(value: Column, kind: Column) -> Column:
     """A sample as text: whole numbers without decimals, others to four significant digits, text cut at 40.
 
-    Beyond four digits before the point, or four zeros after it, a number is shown with an exponent of two digits.
+    Beyond four digits before the point, or four zeros after it, a number is shown with an exponent of two digits. Halves in
+    the last digit, as written in decimals, go up.
     """
     ten, x = F.lit(10.0), value.try_cast("double")
     digits = F.lit(3) - F.floor(F.log10(F.abs(x)))

@@ -142,11 +142,23 @@ def subtotal_results(t: DataFrame, kinds: DataFrame, values: DataFrame) -> DataF
     return out.withColumn("status", F.when(F.col("n_failing") == 0, "holds").otherwise("fails"))
 
 
+#: How sheet names name a block.
+BLOCK_SHEETS = {
+    "income_statement": "p ?&? ?l|pnl|income|profit",
+    "balance_sheet": r"balance|\bbs\b",
+    "cash_flow": r"cash ?flow|\bcf\b",
+    "debt": "debt|loan",
+    "fixed_assets": "asset|capex|fixed",
+    "equity": "equity|retained",
+    "revenue": "revenue|sales",
+    "capex": "capex",
+    "sources_uses": "sources",
+    "distributions": "dcf|valuation|distribution",
+}
+
+
 def _block_sheet(block: Column) -> Column:
-    """How sheet names name a block."""
-    words = {"income_statement": "p ?&? ?l|pnl|income|profit", "balance_sheet": "balance|\\bbs\\b", "cash_flow": "cash ?flow|\\bcf\\b", "debt": "debt|loan", "fixed_assets": "asset|capex|fixed", "equity": "equity|retained",
-             "revenue": "revenue|sales", "capex": "capex", "sources_uses": "sources", "distributions": "dcf|valuation|distribution"}
-    return F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), block)
+    return F.element_at(F.create_map(*[F.lit(x) for kv in BLOCK_SHEETS.items() for x in kv]), block)
 
 
 def label_bindings(lines: DataFrame, kinds: DataFrame) -> DataFrame:

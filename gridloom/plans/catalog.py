@@ -705,21 +705,21 @@ def classify_rows(t: Tables) -> DataFrame:
     return got.groupBy(F.concat_ws("/", "class", "subclass").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _sql_says(pattern: str) -> str:
+def sql_says(pattern: str, c: str = "l") -> str:
     """A role's pattern without look-ahead, which SQL has not: what must not follow is a condition of its own."""
     if "(?!" not in pattern:
-        return f"regexp_matches(l, '{pattern.replace(chr(39), chr(39) * 2)}')"
+        return f"regexp_matches({c}, '{pattern.replace(chr(39), chr(39) * 2)}')"
     parts = []
     for alt in pattern.split("|^"):
         alt = alt if alt.startswith("^") else "^" + alt
         head, _, tail = alt.partition("(?!")
         rest = tail.split("|", 1)
         not_after = rest[0].rstrip(")")
-        parts.append(f"(regexp_matches(l, '{head}') AND NOT regexp_matches(l, '{head}{not_after}'))" if tail else f"regexp_matches(l, '{alt.replace(chr(39), chr(39) * 2)}')")
+        parts.append(f"(regexp_matches({c}, '{head}') AND NOT regexp_matches({c}, '{head}{not_after}'))" if tail else f"regexp_matches({c}, '{alt.replace(chr(39), chr(39) * 2)}')")
     return "(" + " OR ".join(parts) + ")"
 
 
-@query(f"WITH {LIVE_LINES}, x AS (SELECT lower(trim(label)) l FROM lines WHERE label IS NOT NULL) " + " UNION ALL ".join(f"SELECT '{k}' AS role, count(*) AS n_lines FROM x WHERE {_sql_says(v.vocab)} HAVING count(*) > 0" for k, v in ROLES.items()))
+@query(f"WITH {LIVE_LINES}, x AS (SELECT lower(trim(label)) l FROM lines WHERE label IS NOT NULL) " + " UNION ALL ".join(f"SELECT '{k}' AS role, count(*) AS n_lines FROM x WHERE {sql_says(v.vocab)} HAVING count(*) > 0" for k, v in ROLES.items()))
 def vocab_hits(t: Tables) -> DataFrame:
     """How many live lines' labels show the wordings of each role."""
     said = live_lines(t).filter("label is not null").select(F.explode(named_roles(F.col("label"))).alias("role"))

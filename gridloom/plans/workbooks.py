@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import dependencies, identities, review, rowmap, statements, threeway, valuation
-from gridloom.plans.catalog import LAYOUT, LIVE_CELLS, Tables, live_cells, typed_cells
+from gridloom.functions.ontology import ROLES
+from gridloom.plans.catalog import LAYOUT, LIVE_CELLS, Tables, live_cells, sql_says, typed_cells
 from gridloom.tables import materialise
 
 def _cells(t: Tables) -> DataFrame:
@@ -26,6 +27,18 @@ def row_map(t: Tables) -> DataFrame:
     return _mapped(t)[2]
 
 
+def line_labels(t: Tables) -> DataFrame:
+    """Section, label and units of every line."""
+    return _mapped(t)[2].select(*rowmap.SHEET, "row", "section", "label", "units")
+
+
+def role_bindings(t: Tables) -> DataFrame:
+    """The line each role of each workbook is bound to by its label."""
+    c, lay, lines = _mapped(t)
+    kinds = materialise(statements.structure(_terms(c)))
+    return statements.label_bindings(lines, kinds).select("workbook_id", "role", "block", "sheet", "row", "label")
+
+
 def map_text(t: Tables) -> DataFrame:
     c, _, lines = _mapped(t)
     return rowmap.map_text(lines, rowmap.families(c))
@@ -142,7 +155,7 @@ def _query(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], Da
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
-    for f in (row_map, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, subtotal_verdicts, identity_results, value_triples, statement_lines, statement_checks, statement_years, statement_modes, statement_residuals, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
+    for f in (row_map, line_labels, role_bindings, map_text, formula_families, dependency_edges, row_structure, corkscrew_rows, subtotal_results, subtotal_verdicts, identity_results, value_triples, statement_lines, statement_checks, statement_years, statement_modes, statement_residuals, valuation_catalogue, stale_cells, candidate_rates, classified_rows, table_summaries, anonymised_formulas)
 }
 
 _REF = r"\$?[A-Z]{1,3}\$?[0-9]+"
@@ -182,7 +195,28 @@ def _cell(pattern: str, letters: int, number: int) -> str:
 _NUMBERS = f"""{LAYOUT}, n AS (SELECT workbook_id w, sheet s, row r, col c, formula, value, kind, CASE WHEN kind IN ('num', 'bool') THEN coalesce(value_num, CASE WHEN kind = 'num' THEN TRY_CAST(value AS DOUBLE) END) END num FROM kinds),
     lo AS (SELECT *, least({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) a, greatest({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) b FROM n WHERE formula IS NOT NULL)"""
 
+#: Lines with section, label and units, as their cells say.
+_LINES = f"""{LAYOUT}, a_ AS (SELECT k.*, coalesce(k.col < l.label_col OR k.col = l.label_col AND k.kind <> 'num', false) lab, coalesce(k.col = l.units_col AND k.kind <> 'num', false) un, coalesce(CASE WHEN k.kind <> 'num' THEN left(k.value, 40) WHEN TRY_CAST(k.value AS DOUBLE) = floor(TRY_CAST(k.value AS DOUBLE)) AND abs(TRY_CAST(k.value AS DOUBLE)) < 1e12 THEN CAST(CAST(TRY_CAST(k.value AS DOUBLE) AS BIGINT) AS VARCHAR) ELSE format('{{:.4g}}', round(TRY_CAST(k.value AS DOUBLE) * pow(10, 3 - floor(log10(abs(TRY_CAST(k.value AS DOUBLE)))))) / pow(10, 3 - floor(log10(abs(TRY_CAST(k.value AS DOUBLE)))))) END, k.formula) shown FROM kinds k LEFT JOIN layout l ON l.workbook_id = k.workbook_id AND l.sheet = k.sheet),
+    b_ AS (SELECT workbook_id, sheet, row, string_agg(shown, ' ' ORDER BY col) FILTER (lab AND NOT un AND shown IS NOT NULL) l, arg_max(shown, col) FILTER (un) u, count(*) FILTER (NOT lab AND NOT un AND formula IS NOT NULL) nf, count(*) FILTER (NOT lab AND NOT un AND formula IS NULL) nc,
+        arg_min(left(trim(value), 60), col) FILTER (NOT lab AND NOT un AND kind = 'text' AND trim(value) <> '') f FROM a_ GROUP BY 1, 2, 3),
+    c_ AS (SELECT *, coalesce(nullif(l, ''), f, '') label, nf = 0 AND nc = 0 bare FROM b_),
+    d_ AS (SELECT *, last_value(CASE WHEN bare AND label <> '' THEN label END IGNORE NULLS) OVER (PARTITION BY workbook_id, sheet ORDER BY row ROWS UNBOUNDED PRECEDING) sec FROM c_),
+    line_ AS (SELECT workbook_id, sheet, row, coalesce(sec, '') section, label, coalesce(u, '') units FROM d_ WHERE NOT bare)"""
+
+
+def _says(pattern: str) -> str:
+    """A role's pattern in SQL, which has no look-ahead: what must not follow is a condition of its own."""
+    return sql_says(pattern, "lower(trim(label))")
+
+
+_HERE = "CASE block " + " ".join(f"WHEN '{b}' THEN regexp_matches(lower(sheet), '{p}')" for b, p in statements.BLOCK_SHEETS.items()) + " ELSE false END"
+
 ORACLES: dict[str, str] = {
+    "line_labels": f"WITH {_LINES} SELECT workbook_id, sheet, row, section, label, units FROM line_",
+    "role_bindings": f"""WITH {_LINES}, {_FAMILY_PARTS}, k_ AS (SELECT workbook_id, sheet, row FROM (SELECT *, least({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) a, greatest({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) b, {_COL.format(f"regexp_extract(formula, '{_SPAN}', 1)")} - col d FROM top WHERE regexp_matches(formula, '{_SPAN}') AND regexp_extract(formula, '{_SPAN}', 1) = regexp_extract(formula, '{_SPAN}', 3)) WHERE d = 0 AND b > a AND b - a <= 300),
+        hit_ AS ({" UNION ALL ".join(f"SELECT workbook_id, sheet, row, label, '{r.name}' AS role, '{r.block}' AS block FROM line_ WHERE label <> '' AND {_says(r.vocab)}" for r in ROLES.values() if not r.name.endswith("*"))}),
+        rank_ AS (SELECT h.*, row_number() OVER (PARTITION BY h.workbook_id, role, block ORDER BY {_HERE.replace("sheet)", "h.sheet)")} DESC, (k.row IS NOT NULL) DESC, length(label), h.row, h.sheet DESC) n FROM hit_ h LEFT JOIN k_ k ON k.workbook_id = h.workbook_id AND k.sheet = h.sheet AND k.row = h.row)
+        SELECT workbook_id, role, block, sheet, row, label FROM rank_ WHERE n = 1""",
     "subtotal_verdicts": f"""WITH {_NUMBERS}, {_FAMILY_PARTS},
         kind_ AS (SELECT workbook_id w, sheet s, row r, least({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) a, greatest({_num(_SPAN, 2)}, {_num(_SPAN, 4)}) b FROM top WHERE regexp_matches(formula, '{_SPAN}') AND regexp_extract(formula, '{_SPAN}', 1) = regexp_extract(formula, '{_SPAN}', 3) AND {_COL.format(f"regexp_extract(formula, '{_SPAN}', 1)")} = col),
         sub AS (SELECT *, b - a + 1 k FROM kind_ WHERE b > a AND b - a <= 300), span AS (SELECT workbook_id w, sheet s, header_row h, tl_first f, tl_last l FROM layout WHERE tl_first IS NOT NULL),
