@@ -198,7 +198,7 @@ SCC = f"""{G}, r_ AS (SELECT grp, src a, dst b FROM g UNION SELECT r_.grp, r_.a,
     d AS (SELECT DISTINCT grp, c, 0 k FROM scc UNION SELECT d.grp, h.b, d.k + 1 FROM d JOIN h ON h.grp = d.grp AND h.a = d.c)"""
 
 
-@query(f"WITH RECURSIVE {SCC} SELECT scc.grp, scc.node, CAST(max(d.k) AS BIGINT) AS layer FROM scc JOIN d ON d.grp = scc.grp AND d.c = scc.c GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {SCC} SELECT scc.grp, scc.node, CAST(max(d.k) AS INTEGER) AS layer FROM scc JOIN d ON d.grp = scc.grp AND d.c = scc.c GROUP BY 1, 2")
 def sheet_layers(t: Tables) -> DataFrame:
     """Longest-path layers of sheets, circular groups being one node."""
     return graphs.layers(sheet_graph(t))
