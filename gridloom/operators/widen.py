@@ -58,14 +58,16 @@ class Headings:
 
     def __init__(self, attrs: list[tuple[str, str]]) -> None:
         self.of = {w: {c for c, ws in WORDS.items() if w in ws.split()} for ws in WORDS.values() for w in ws.split()}
+        self.longest = max(map(len, self.of))
         self.said = [(name, said) for name, meaning in attrs for text in (name, meaning) if (said := self.read(text or ""))]
         self.known: dict[str, str | None] = {}
 
-    def word(self, w: str) -> list[set[str]] | None:
+    def word(self, w: str, depth: int = 0) -> list[set[str]] | None:
+        """The meanings of a word, or of the words a compound of up to six is made of."""
         if w in self.of:
             return [self.of[w]]
-        for cut in range(len(w) - 3, 2, -1):
-            if w[:cut] in self.of and (rest := self.word(w[cut:].removeprefix("s") if w[cut:] not in self.of else w[cut:])) is not None:
+        for cut in range(min(len(w) - 3, self.longest) if depth < 5 else 0, 2, -1):
+            if w[:cut] in self.of and (rest := self.word(w[cut:].removeprefix("s") if w[cut:] not in self.of else w[cut:], depth + 1)) is not None:
                 return [self.of[w[:cut]], *rest]
         return None
 
