@@ -166,6 +166,7 @@ class Lexicon:
         self.idioms, self.joining = {k: frozenset(v) for k, v in idioms.items()}, joining
         self.known: dict[str, tuple[str, list[frozenset[str]]] | None] = {}
         self.keys = sorted({*self.exact, *self.stems, *(w for k in idioms for w in k)})
+        self.longest = max(map(len, self.keys), default=0)
         self.post: dict[str, list[int]] = defaultdict(list)
         for i, k in enumerate(self.keys):
             for g in grams(k):
@@ -175,8 +176,8 @@ class Lexicon:
         """Concepts of a word as written, or of what is left without an ending."""
         if w in self.exact:
             return frozenset(self.exact[w] | self.stems.get(w, set()))
-        for cut in range(len(w), 3, -1):
-            if w[:cut] in self.stems and len(w) - cut <= 6:
+        for cut in range(min(len(w), self.longest), max(3, len(w) - 7), -1):
+            if w[:cut] in self.stems:
                 return frozenset(self.stems[w[:cut]])
         m = _ENDINGS.search(w)
         if m and len(w) > 4:
@@ -213,7 +214,7 @@ class Lexicon:
 
     def parts(self, w: str, depth: int = 0) -> list[frozenset[str]] | None:
         """A compound or joined text as its words, the longest first; None if it is none."""
-        for cut in range(len(w) - 3, 2, -1):
+        for cut in range(min(len(w) - 3, self.longest + 6), 2, -1):
             head = self.plain(w[:cut])
             if head is None and w[:cut] not in self.joining:
                 continue
@@ -229,6 +230,8 @@ class Lexicon:
 
     def misspelt_parts(self, w: str) -> list[frozenset[str]] | None:
         """A compound of which one half is misspelt."""
+        if len(w) > 2 * (1.2 * self.longest + 6):  # longer than two words with endings and slips can be
+            return None
         for cut in range(len(w) - 4, 3, -1):
             a, b = w[:cut], w[cut:]
             known = self.plain(b) if len(b) >= 5 else None

@@ -32,8 +32,8 @@ _TAIL = re.compile(r"(?:\s*[*:]+|\s*[(\[](?:see note|calc|nominal|real)[)\]]|,?\
 _UNIT = [re.compile(p) for p in (r"^(.*?\S)\s*[(\[]([^()\[\]]+(?:\([^()]*\))?)[)\]]$", r"^(.*[^,\s])\s+in\s+(\S.*)$", r"^(.*\S)\s*,\s+(\S.*)$")]
 #: Edits allowed per letter of the longer text, the score that is enough, and the share of n-grams a candidate must have.
 ALLOWED, ENOUGH, LIKE = 0.25, 0.75, 0.2
-#: Shares of a label's and of a wording's meaning that must be met; how many cores a task keeps at most in its memory.
-ALL_OF, HALF, MOST_KEPT = 0.95, 0.5, 200_000
+#: Shares of a label's and of a wording's meaning that must be met, by how much the best entry must lead; how many cores a task keeps at most in its memory.
+ALL_OF, HALF, CLEAR, MOST_KEPT = 0.95, 0.5, 0.05, 200_000
 #: So many mapped labels (some 10 MB) may be broadcast.
 FEW_LABELS = 200_000
 
@@ -171,8 +171,10 @@ class Canon:
         short = self.shortened([w for w in words if w not in DRESS])
         if short:
             return short, "short", 1.0
-        if all(map(self.lexicon.spelt, words)) and (meaning := self.meant(core, words)):  # no misspelling to look for
-            return meaning
+        if all(map(self.lexicon.spelt, {*words})):  # no misspelling to look for
+            meaning = self.meant(core, words)
+            if meaning or len({*words}) == 1:
+                return meaning or (0, "none", 0.0)
         got = self.similar(words)
         return got if got[0] else self.meant(core, words) or got
 
@@ -188,7 +190,7 @@ class Canon:
         for role_id, ws in self.by_start.get(tuple(sorted(w[0] for w in words)), ()):
             left = list(ws)
             for w in words:
-                at = next((x for x in left if x == w), None) or next((x for x in left if abbreviates(w, x)), None)
+                at = next((x for x in left if x == w), None) or (next((x for x in left if abbreviates(w, x)), None) if w not in self.lexicon.exact else None)
                 if at is None:
                     break
                 left.remove(at)
@@ -199,7 +201,7 @@ class Canon:
     def meant(self, core: str, words: list[str]) -> tuple[int, str, float] | None:
         """By what the words mean: every word must belong to what an entry is about, and say at least half of one of its wordings.
 
-        Words weigh by how few entries they belong to. The entry of which most is said wins; of equals none.
+        Words weigh by how few entries they belong to. The entry of which clearly most is said wins.
         """
         said = self.lexicon.said(core, [w for w in words if w not in DRESS or w in self.lexicon.joining])
         if not said:
@@ -207,8 +209,10 @@ class Canon:
         roles = [set().union(*(self.about[c] for c in cs if c in self.about)) for cs in said]
         if not all(r or cs & CARRIERS for r, cs in zip(roles, said)):  # a word that belongs to no entry
             return None
-        weight = self.weight
         every = set().union(*said)
+        if len({*words}) == len({*said}) == 1 and len(roles[0]) > 2:  # a single word that many entries share names none of them
+            return None
+        weight = self.weight
         fits = set()
         for role_id in set().union(*roles):
             met = sum(weight(cs) for cs, r in zip(said, roles) if role_id in r)
@@ -221,7 +225,7 @@ class Canon:
                 part = sum(weight(cs & every) for cs in wording if cs & every) / whole
                 best[role_id] = max(best.get(role_id, 0.0), part)
         top = sorted(best.items(), key=lambda x: -x[1])[:2]
-        if not top or top[0][1] < HALF or len(top) > 1 and top[1][1] >= top[0][1] - 1e-9:
+        if not top or top[0][1] < HALF or len(top) > 1 and top[1][1] > top[0][1] - CLEAR:
             return None
         return top[0][0], "meaning", top[0][1]
 
@@ -253,6 +257,8 @@ class Canon:
             d = edit_cost(joined, key, most)
             whole = 1 - ALLOWED * d / most if d <= most else 0.0
         left, common, room = list(said), 0.0, sum(map(len, said)) + sum(map(len, ws))
+        if sum(map(len, ws)) * (1 + 1 / 0.6) < need * room:  # words that agree are at most that much longer
+            return whole
         missing = 0
         for w in sorted(ws, key=len, reverse=True):
             s, x = 0.0, ""
