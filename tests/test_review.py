@@ -59,3 +59,25 @@ def test_anonymise(spark, tables):
     f = spark.createDataFrame([(wb, "='Table'!A1+Disc_rate*1234.5+IF(Val!$D$2>12,\"Wombat\",Secret)"), (wb, "=A1+("), (wb, None)], "workbook_id string, formula string")
     got = {r.formula: r.shown for r in anonymise(f, t["sheets"], t["names"]).collect()}
     assert got == {"='Table'!A1+Disc_rate*1234.5+IF(Val!$D$2>12,\"Wombat\",Secret)": "=S2!A1+NAME1*#+IF(S1!$D$2>12,\"…\",NAME)", "=A1+(": "=A1+("}
+
+
+def test_stale_cells_across_tiles_and_sheets(spark):
+    """Operands on other sheets, far down and far right, circles by way of them, unknown operands, and older copies."""
+    n, s = "num", "workbook_id string, sheet string, `row` int, col int, formula string, value string, value_kind string, value_num double, loaded_at int"
+    c = [("A", 1, 1, None, 2.0, n), ("A", 300, 1, None, 3.0, n), ("A", 1, 300, None, 5.0, n), ("B", 1, 1, None, 7.0, n), ("B", 2, 1, None, None, "text"),
+         ("A", 2, 1, "=A1*A300", 9.0, n), ("A", 3, 1, "=A1*A300", 6.0, n), ("A", 4, 1, "=A1+KN1+B!A1", 9.0, n), ("A", 5, 1, "=B!A2+1", 9.0, n), ("A", 6, 1, "=A1*A!A1*2", 9.0, n),
+         ("A", 7, 1, "=B!A7+1", 9.0, n), ("B", 7, 1, "=A!A7*2", 1.0, n), ("A", 8, 1, "=A9+1", 9.0, n), ("A", 9, 1, "=A8*2", 1.0, n), ("A", 10, 1, "=A7+B!A9", 1.0, n), ("A", 11, 1, "=SUM(A250:A310)", 8.0, n)]
+    rows = [("w", sh, r, k, f, "x" if kind == "text" else str(v), kind, v, 2) for sh, r, k, f, v, kind in c] + [("w", "A", 1, 1, None, "100", n, 100.0, 1)] + [("v", "A", 1, 1, "=A1+1", "1", n, 1.0, 1), ("v", None, 2, 1, "=A1+1", "5", n, 5.0, 1)]
+    df = spark.createDataFrame(rows, s)
+    got = sorted((r.workbook_id, r.sheet or "", r.row, r.computed, r.n_operands) for r in stale_cells(df, newest="loaded_at").collect())
+    assert got == [("v", "", 2, 1.0, 1), ("w", "A", 2, 6.0, 2), ("w", "A", 4, 14.0, 3), ("w", "A", 6, 8.0, 1), ("w", "A", 10, 9.0, 2), ("w", "A", 11, 3.0, 61)]
+
+
+def test_materialise_leaves_no_shuffle_files(spark):
+    """A query of many steps had the shuffle files of all of them on disk at once."""
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    had = files.getAllFiles().size()
+    out = materialise(spark.range(1000).repartition(3).groupBy("id").count())
+    assert files.getAllFiles().size() <= had and out.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
