@@ -3,35 +3,63 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.formula import Call, FormulaError, area, tree
+from gridloom.functions.formula import Call, FormulaError, area, relative, tree
 from gridloom.functions.ontology import IDENTITIES, ROLES, coefficients, identity_parts, named_roles
 from gridloom.operators.identities import best_signs, residuals, tolerance
-from gridloom.operators.rowmap import SHEET
+from gridloom.operators.rowmap import SHEET, timeline_runs
 from gridloom.tables import materialise
 
-TERMS = "workbook_id string, sheet string, `row` int, sign int, t_sheet string, t_row int, delta int, in_sum boolean"
+SPANS = "workbook_id string, sheet string, `row` int, sign int, t_sheet string, r1 int, r2 int, delta int, in_sum boolean"
+Span = tuple[int, str, int, int, int, bool]
+#: A row: terms of its dominant formula, whether it holds anything, its cells' columns and values, and those that are dates.
+HELD = ("workbook_id string, sheet string, `row` int, terms array<struct<sign: int, t_sheet: string, r1: int, r2: int, delta: int, in_sum: boolean>>, "
+        "used boolean, cols array<int>, vals array<double>, dates array<struct<col: int, value_date: date>>")
+HELD_TYPES = {
+    "workbook_id": pa.string(), "sheet": pa.string(), "row": pa.int32(),
+    "terms": pa.list_(pa.struct([("sign", pa.int32()), ("t_sheet", pa.string()), ("r1", pa.int32()), ("r2", pa.int32()), ("delta", pa.int32()), ("in_sum", pa.bool_())])),
+    "used": pa.bool_(), "cols": pa.list_(pa.int32()), "vals": pa.list_(pa.float64()), "dates": pa.list_(pa.struct([("col", pa.int32()), ("value_date", pa.date32())])),
+}
+#: Rows of Python objects that are handed over at once.
+PIECE = 5_000
 #: A sum over more rows than this is no list of terms (fixed value).
 MAX_TERMS = 300
 
 
 def linear_terms(formula: str, sheet: str, col: int) -> list[tuple[int, str, int, int, bool]] | None:
     """(sign, sheet, row, columns to the right, inside a SUM) of a formula that only adds and subtracts cells; None else."""
+    spans = linear_spans(formula, sheet, col)
+    return spans and [(sign, t, r, delta, in_sum) for sign, t, a, b, delta, in_sum in spans for r in range(a, b + 1)]
+
+
+def linear_spans(formula: str, sheet: str, col: int) -> list[Span] | None:
+    """The same with (first row, last row) in place of each row."""
+    spans = _spans(formula)
+    return spans and [(sign, t or sheet, a, b, c - col, in_sum) for sign, t, a, b, c, in_sum in spans]
+
+
+@lru_cache(1 << 14)
+def _spans(formula: str) -> list[tuple[int, str | None, int, int, int, bool]] | None:
     try:
         items = tree(formula)
     except FormulaError:
         return None
-    out: list[tuple[int, str, int, int, bool]] = []
+    out: list[tuple[int, str | None, int, int, int, bool]] = []
 
     def cells(text: str, sign: int, in_sum: bool) -> bool:
         a = area(text)
         if a is None or a.c1 != a.c2 or a.whole_row or a.r2 - a.r1 > MAX_TERMS or not in_sum and a.r1 != a.r2:
             return False
-        out.extend((sign, a.sheet or sheet, r, a.c1 - col, in_sum) for r in range(a.r1, a.r2 + 1))
+        out.append((sign, a.sheet, a.r1, a.r2, a.c1, in_sum))
         return True
 
     def add(parts: list, outer: int, in_sum: bool) -> bool:
@@ -67,14 +95,18 @@ def dominant_formulas(cells: DataFrame, fams: DataFrame) -> DataFrame:
 
 
 def terms(formulas: DataFrame) -> DataFrame:
-    """Linear terms of rows, one row a term; rows whose formula is not linear give none."""
+    """Linear terms of rows, one row a term; rows whose formula is not linear give none.
+
+    Ranges leave Python as ranges: their rows are listed by Spark, as a batch of formulas may have millions of terms.
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(w, s, r, *t) for w, s, r, c, f in zip(pdf.workbook_id, pdf.sheet, pdf["row"], pdf["col"], pdf.formula) for t in linear_terms(f, s, c) or []]
-            yield pd.DataFrame(rows, columns=["workbook_id", "sheet", "row", "sign", "t_sheet", "t_row", "delta", "in_sum"])
+            rows = [(w, s, r, *t) for w, s, r, c, f in zip(pdf.workbook_id, pdf.sheet, pdf["row"], pdf["col"], pdf.formula) for t in linear_spans(f, s, c) or []]
+            yield pd.DataFrame(rows, columns=["workbook_id", "sheet", "row", "sign", "t_sheet", "r1", "r2", "delta", "in_sum"])
 
-    return formulas.select(*SHEET, "row", "col", "formula").mapInPandas(run, TERMS)
+    spans = formulas.select(*SHEET, "row", "col", "formula").mapInPandas(run, SPANS)
+    return spans.select(*SHEET, "row", "sign", "t_sheet", F.explode(F.sequence("r1", "r2")).alias("t_row"), "delta", "in_sum")
 
 
 def structure(t: DataFrame) -> DataFrame:
@@ -83,12 +115,15 @@ def structure(t: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_terms"), F.min("delta").alias("lo"), F.max("delta").alias("hi"), F.min("sign").alias("_s"),
         F.countDistinct(F.when(F.col("t_sheet") != F.col("sheet"), F.col("t_sheet"))).alias("n_other"), F.count_if(F.col("t_sheet") == F.col("sheet")).alias("n_own"),
     )
-    kind = (
+    return own.select(*SHEET, "row", "n_terms", _kind().alias("kind"))
+
+
+def _kind() -> Column:
+    return (
         F.when((F.col("n_terms") == 1) & (F.col("lo") == -1), "previous").when((F.col("n_terms") == 1) & (F.col("lo") == 0) & (F.col("_s") == 1), "link")
         .when((F.col("lo") == 0) & (F.col("hi") == 0) & (F.col("n_other") >= 2) & (F.col("n_own") == 0), "consolidation")
         .when((F.col("lo") == 0) & (F.col("hi") == 0) & (F.col("n_terms") >= 2), "subtotal").otherwise("linear")
     )
-    return own.select(*SHEET, "row", "n_terms", kind.alias("kind"))
 
 
 def corkscrews(t: DataFrame) -> DataFrame:
@@ -134,14 +169,104 @@ def subtotal_results(t: DataFrame, kinds: DataFrame, values: DataFrame) -> DataF
     own = kinds.filter("kind in ('subtotal', 'consolidation')").select(*SHEET, "row", "n_terms")
     part = t.join(own, [*SHEET, "row"]).join(values.select("workbook_id", F.col("sheet").alias("t_sheet"), F.col("row").alias("t_row"), "period", "value"), ["workbook_id", "t_sheet", "t_row"])
     total = values.join(own, [*SHEET, "row"]).select(*SHEET, "row", "n_terms", "period", F.lit(-1).alias("sign"), "value")
-    both = part.select(*SHEET, "row", "n_terms", "period", "sign", "value").unionByName(total).filter("value is not null")
-    res = both.groupBy(*SHEET, "row", "n_terms", "period").agg(F.sum(F.col("sign") * F.col("value")).alias("residual"), F.max(F.abs("value")).alias("scale"), F.count(F.lit(1)).alias("n")).filter("n = n_terms + 1")
+    return _held_against(part.select(*SHEET, "row", "n_terms", "period", "sign", "value").unionByName(total))
+
+
+def _held_against(both: DataFrame) -> DataFrame:
+    """Results of subtotals whose parts count with their signs and whose own values count as -1."""
+    res = both.filter("value is not null").groupBy(*SHEET, "row", "n_terms", "period").agg(F.sum(F.col("sign") * F.col("value")).alias("residual"), F.max(F.abs("value")).alias("scale"), F.count(F.lit(1)).alias("n")).filter("n = n_terms + 1")
     tol = tolerance(F.max("scale").over(Window.partitionBy(*SHEET, "row")))
     marked = res.withColumn("bad", F.abs("residual") > tol)
     out = marked.groupBy(*SHEET, "row").agg(F.max(F.abs("residual")).alias("max_residual"), F.count_if("bad").alias("n_failing"), F.count(F.lit(1)).alias("n_periods"))
     return out.withColumn("status", F.when(F.col("n_failing") == 0, "holds").otherwise("fails"))
 
 
+def _dominant(rows: list[tuple[int, str, str | None]], row: int) -> list[tuple[int, str]]:
+    """Column and formula of what ``families`` and ``dominant_formulas`` keep of one row's formulas (column, formula, address)."""
+    groups: dict[str, list] = {}
+    for c, f, addr in rows:
+        groups.setdefault(relative(f, row, c), [0, c, addr])[0] += 1
+    _, _, first = min(groups.values(), key=lambda g: (-g[0], g[1]))
+    return [(c, f) for c, f, addr in rows if addr is not None and addr == first]
+
+
+def _row_of(key: tuple, cols: list, formulas: list, addrs: list, used: list, dated: list, dates: list, vals: list) -> tuple:
+    book, sheet, row = key
+    fs = [(c, f, a) for c, f, a in zip(cols, formulas, addrs) if f is not None and c is not None]
+    found = row is not None and any(_spans(f) for _, f, _ in fs)  # else no formula of the row has terms
+    got = [t for c, f in _dominant(fs, row) for t in linear_spans(f, sheet, c) or []] if found else []
+    return book, sheet, row, got, any(used), cols, vals, [(c, d) for c, is_date, d in zip(cols, dated, dates) if is_date]
+
+
+def held_rows(cells: DataFrame, newest: str | None = None) -> DataFrame:
+    """Every row with its terms, values and dates (``HELD``), out of one exchange of the cells.
+
+    Of several copies of a cell the one with the greatest ``newest`` counts.
+    """
+    is_date = F.coalesce(F.col("value_kind") == "date", F.lit(False))
+    few = cells.select(
+        *SHEET, "row", "col", *([newest] if newest else []), "formula", F.when(F.col("formula").isNotNull(), F.col("addr")).alias("addr"), (F.col("value").isNotNull() | F.col("formula").isNotNull()).alias("used"), is_date.alias("dated"), F.when(is_date, F.col("value_date")).alias("value_date"),
+        F.when(F.col("value").isNull(), 0.0).when(F.col("value_kind").isin("num", "bool"), F.col("value_num")).alias("v"),
+    ).repartition(*SHEET, "row")
+    if newest:
+        few = few.withColumn("_n", F.row_number().over(Window.partitionBy(*SHEET, "row", "col").orderBy(F.desc(newest)))).filter("_n = 1")
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for c in batch.columns[:3]:
+                a, b = c[1:], c[:-1]
+                same = pc.or_kleene(pc.equal(a, b), pc.and_(pc.is_null(a), pc.is_null(b)))
+                new[1:] |= ~pc.fill_null(same, False).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new).tolist()
+            firsts = zip(*(c.take(pa.array(starts)).to_pylist() for c in batch.columns[:3]))
+            columns = [c.to_pylist() for c in batch.columns[3:]]
+            for first, a, b in zip(firsts, starts, [*starts[1:], batch.num_rows]):
+                part = [c[a:b] for c in columns]
+                if first == key:
+                    for x, y in zip(held, part):
+                        x += y
+                    continue
+                if key is not None:
+                    yield _row_of(key, *held)
+                key, held = first, part
+        if key is not None:
+            yield _row_of(key, *held)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = rows(batches)
+        while piece := list(islice(out, PIECE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*piece), HELD_TYPES.values())], names=list(HELD_TYPES))
+
+    ordered = few.sortWithinPartitions(*SHEET, "row", "col")
+    return ordered.select(*SHEET, "row", "col", "formula", "addr", "used", "dated", "value_date", "v").mapInArrow(run, HELD)
+
+
+def held_subtotals(rows: DataFrame) -> DataFrame:
+    """``subtotal_results`` out of ``held_rows``: a row's values by period travel as arrays, and each row is joined once."""
+    dates = rows.filter("size(dates) > 0").select(*SHEET, "row", F.explode("dates").alias("x")).select(*SHEET, "row", "x.*")
+    used = rows.filter("used").select(*SHEET).distinct()
+    span = timeline_runs(dates).select(*SHEET, F.col("row").alias("header_row"), "tl_first", "tl_last", "ds").join(used, SHEET, "left_semi")
+    value = lambda h: F.when(F.array_contains("cols", h["col"]), F.get("vals", F.array_position("cols", h["col"]).cast("int") - 1)).otherwise(0.0)
+    valued = rows.select(*SHEET, "row", "cols", "vals").join(span, SHEET).filter("row <> header_row").filter(F.exists("cols", lambda c: c.between(F.col("tl_first"), F.col("tl_last"))))
+    valued = valued.select("workbook_id", F.col("sheet").alias("t_sheet"), F.col("row").alias("t_row"), F.transform("ds", lambda h: h["value_date"]).alias("period"), F.transform("ds", value).alias("value"))
+
+    deltas, total = F.transform("terms", lambda x: x["delta"]), F.struct(F.lit(-1).alias("sign"), F.col("sheet").alias("t_sheet"), F.col("row").alias("r1"), F.col("row").alias("r2"), F.lit(0).alias("delta"), F.lit(False).alias("in_sum"))
+    other = F.filter(F.transform("terms", lambda x: x["t_sheet"]), lambda s: s != F.col("sheet"))
+    kinds = rows.filter("size(terms) > 0").select(
+        *SHEET, "row", "terms", F.aggregate("terms", F.lit(0).cast("bigint"), lambda n, x: n + x["r2"] - x["r1"] + 1).alias("n_terms"), F.array_min(deltas).alias("lo"), F.array_max(deltas).alias("hi"), F.array_min(F.transform("terms", lambda x: x["sign"])).alias("_s"),
+        F.size(F.array_distinct(other)).alias("n_other"), F.size(F.filter("terms", lambda x: x["t_sheet"] == F.col("sheet"))).alias("n_own"),
+    ).filter(_kind().isin("subtotal", "consolidation"))
+    part = kinds.select(*SHEET, "row", "n_terms", F.explode(F.concat("terms", F.array(total))).alias("x")).select(*SHEET, "row", "n_terms", "x.sign", "x.t_sheet", F.explode(F.sequence("x.r1", "x.r2")).alias("t_row"))
+    both = part.join(valued, ["workbook_id", "t_sheet", "t_row"]).select(*SHEET, "row", "n_terms", "sign", "period", "value").repartition(*SHEET, "row")
+    each = both.select(*SHEET, "row", "n_terms", "sign", F.explode(F.arrays_zip("period", "value")).alias("x")).select(*SHEET, "row", "n_terms", "sign", "x.*")
+    return _held_against(each)
+
+
 #: How sheet names name a block.
 BLOCK_SHEETS = {
     "income_statement": "p ?&? ?l|pnl|income|profit",
@@ -224,4 +349,4 @@ def identity_results(bound: DataFrame, many: DataFrame, values: DataFrame) -> Da
     return out.withColumn("status", status).drop("scale")
 
 
-__all__ = ["best_signs", "coefficients", "corkscrews", "dominant_formulas", "identity_results", "label_bindings", "linear_terms", "link_sources", "many_bindings", "residuals", "row_values", "structure", "subtotal_results", "terms"]
+__all__ = ["best_signs", "coefficients", "corkscrews", "dominant_formulas", "held_rows", "held_subtotals", "identity_results", "label_bindings", "linear_spans", "linear_terms", "link_sources", "many_bindings", "residuals", "row_values", "structure", "subtotal_results", "terms"]

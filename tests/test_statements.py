@@ -7,7 +7,7 @@ import pytest
 from gridloom.functions.formula import column_letters
 from gridloom.functions.ontology import IDENTITIES, ROLES, coefficients
 from gridloom.operators.rowmap import detect_layout, families, line_items
-from gridloom.operators.statements import (corkscrews, dominant_formulas, identity_results, label_bindings, linear_terms, link_sources, many_bindings, row_values, structure, subtotal_results, terms)
+from gridloom.operators.statements import (corkscrews, dominant_formulas, held_rows, held_subtotals, identity_results, label_bindings, linear_spans, linear_terms, link_sources, many_bindings, row_values, structure, subtotal_results, terms)
 from gridloom.tables import materialise
 from gridloom.sources.ooxml import load_workbooks, split_records, write_workbook
 
@@ -117,3 +117,56 @@ def test_long_chains_of_links_end_at_their_source(spark):
     t = spark.createDataFrame(links, "workbook_id string, sheet string, `row` int, sign int, t_sheet string, t_row int, delta int, in_sum boolean")
     got = {(r.workbook_id, r.row): r.s_row for r in link_sources(t, structure(t)).collect()}
     assert got == {("w", i): 1 for i in range(2, n + 1)}
+
+
+def _odd_cells(spark):
+    """Sheets with timelines in other columns, a repeated date, unknown and blank parts, a long sum, older copies, no address, no sheet."""
+    rows = {}
+
+    def put(sheet, row, col, value=None, formula=None, kind="num", addr="x", at=2):
+        num, day = (value, None) if kind == "num" else (None, value if kind == "date" else None)
+        addr = f"{column_letters(col)}{row}" if addr == "x" else addr
+        rows[sheet, row, col, at] = ("w", sheet, row, col, addr, formula, None if value is None else str(value), kind, num, day, at)
+
+    for sheet, first, days in (("A", 4, DAYS5), ("B", 6, DAYS5), ("C", 4, [*DAYS5[:3], DAYS5[1], DAYS5[4]]), (None, 4, DAYS5)):
+        for i, d in enumerate(days):
+            put(sheet, 2, first + i, d, kind="date")
+            put(sheet, 3, first + i, 1.0 + i)
+            put(sheet, 4, first + i, 2.0)
+            col = column_letters(first + i)
+            put(sheet, 5, first + i, 3.0 + i, f"=SUM({col}3:{col}4)")
+    put("A", 3, 5, 70.0, at=1)  # an older copy
+    put("B", 4, 8, "n/a", kind="text")
+    put("B", 4, 9, None)
+    for i in range(5):
+        put("A", 7, 4 + i, 6.0 + 2 * i, f"=A!{column_letters(4 + i)}5+B!{column_letters(4 + i)}5")  # columns of B are others of its dates: part of the row is moved
+        put("A", 8, 4 + i, 6.0 + 2 * i, f"=B!{column_letters(4 + i)}5+C!{column_letters(4 + i)}5")
+        put("A", 400, 4 + i, 9.0, f"=SUM({column_letters(4 + i)}10:{column_letters(4 + i)}310)")
+        put("A", 10 + 60 * i, 4, 1.0)
+        put("A", 401, 4 + i, 3.0, f"=SUM({column_letters(4 + i)}3:{column_letters(4 + i)}4)", addr=None)
+        put("A", 402, 4 + i, 3.0, f"={column_letters(4 + i)}3+{column_letters(4 + i)}3" if i < 3 else "=A1*2", addr="Z1")
+        put("A", 403, 4 + i, 3.0, f"=A{i + 1}+B{i + 2}*2" if i else "=D3-D4")
+    return spark.createDataFrame(list(rows.values()), "workbook_id string, sheet string, `row` int, col int, addr string, formula string, value string, value_kind string, value_num double, value_date date, loaded_at int")
+
+
+DAYS5 = [date(2025 + i, 6, 30) for i in range(5)]
+
+
+def test_held_rows_give_the_same_subtotals(spark):
+    cells = _odd_cells(spark)
+    live = materialise(cells.filter("loaded_at = 2"), 1)
+    t = materialise(terms(dominant_formulas(live, families(live))), 1)
+    want = sorted((r.sheet, r.row, r.max_residual, r.n_failing, r.n_periods, r.status) for r in subtotal_results(t, structure(t), row_values(live, detect_layout(live))).collect())
+    held = held_rows(cells, newest="loaded_at")
+    got = sorted((r.sheet, r.row, r.max_residual, r.n_failing, r.n_periods, r.status) for r in held_subtotals(materialise(held)).collect())
+    assert got == want and len(got) >= 6
+    assert {("A", 5, 0.0, 0, 5, "holds"), ("B", 5, 2.0, 1, 4, "fails"), ("A", 400, 8.0, 5, 5, "fails")} & set(got)
+    assert held._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the cells move once
+
+
+def test_long_sums_leave_python_as_ranges(spark):
+    """A batch of sums over 301 rows had its three million terms in one Python worker at once."""
+    assert linear_spans("=SUM(D1:D301)-D400", "S", 4) == [(1, "S", 1, 301, 0, True), (-1, "S", 400, 400, 0, False)]
+    f = spark.range(2000).selectExpr("'w' workbook_id", "'S' sheet", "cast(id + 400 as int) row", "4 col", "'=SUM(D1:D301)' formula")
+    out = terms(f)
+    assert out.count() == 2000 * 301 and out.columns == ["workbook_id", "sheet", "row", "sign", "t_sheet", "t_row", "delta", "in_sum"]
