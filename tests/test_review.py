@@ -1,10 +1,12 @@
 from datetime import date
 
+import duckdb
 import pytest
 
-from gridloom.functions.arithmetic import reads, recompute
+from gridloom.functions.arithmetic import count_cells, read_areas, reads, recompute
 from gridloom.operators.review import anonymise, candidate_cells, classify, stale_cells, table_summaries, valuation_outputs
 from gridloom.operators.rowmap import detect_layout, line_items
+from gridloom.plans import workbooks
 from gridloom.sources.ooxml import load_workbooks, split_records, write_workbook
 from gridloom.tables import materialise
 
@@ -81,3 +83,39 @@ def test_materialise_leaves_no_shuffle_files(spark):
     out = materialise(spark.range(1000).repartition(3).groupBy("id").count())
     assert files.getAllFiles().size() <= had and out.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_cells_are_counted_once():
+    areas = ["=SUM(A1:C4,B3:D6,A1)", "=SUM(A1:A500,A400:A600,B1:B2)", "=A1*A1", "=SUM(A:A,1:1)", "=SUM(A1:B2)+SUM(T!A1:B2,S!B2:C3)"]
+    assert [count_cells(read_areas(f), "S") for f in areas] == [20, 602, 1, 1_048_576 + 16_383, 11]
+    for f in (areas[0], areas[1], areas[4]):
+        assert count_cells(read_areas(f), "S") == len(set(reads(f, "S")))
+
+
+def test_ranges_of_any_size_are_recomputed(spark):
+    """Formulas over ranges of more than 400 cells were left out."""
+    n, s = "num", "workbook_id string, sheet string, `row` int, col int, formula string, value string, value_kind string, value_num double"
+    c = [("A", i, k, None, float(i), n) for i in range(1, 1201) for k in (1, 2)] + [("A", 900, 3, None, None, "text"), ("A", 901, 3, None, 1.0, n), ("D", 700, 1, None, -2.0, n), ("D", 5, 9000, None, 4.0, n), ("D", 1_048_576, 16_384, None, 0.5, n)]
+    f = [("=SUM(A1:A401)", 80601.0, 401), ("=SUM(A1:A1200)/2", 360300.0, 1200), ("=SUM(A1:B20)+SUM(A1:B230)-A2", 420.0 + 53130 - 2, 460), ("=SUM(A1:A500,A400:A600)", 125250.0 + 100500, 600), ("=MAX(A100:B1300)", 1200.0, 2402), ("=MIN(A1:A5000)", 0.0, 5000), ("=SUM(D!A:A)", -2.0, 1_048_576),
+         ("=SUM(D!5:5)*2", 8.0, 16_384), ("=SUM(D!A1:XFD1048576)", 2.5, 2**31 - 1), ("=ABS(A7:A900)-3", 4.0, 894), ("=ABS(D!A1:A900)-3", -3.0, 900), ("=SUM(B1:B700,E!B1:B700)", 245350.0, 1400)]
+    untested = ["=SUM(C1:C1200)", "=A1:A900", "=SUM(A1:A900+1)", "=(A1:A900)*2", "=SUM(F!A:A)*0/0"]
+    for i, (x, v, _) in enumerate(f):
+        c += [("A", 2000 + i, 4, x, v + 1000.0 + abs(v) / 5, n), ("A", 2000 + i, 5, x, v, n)]
+    c += [("A", 3000 + i, 4, x, 5e9, n) for i, x in enumerate(untested)]
+    df = spark.createDataFrame([("w", sh, r, k, x, "x" if kind == "text" else None if v is None else str(v), kind, v) for sh, r, k, x, v, kind in c], s)
+    got = sorted((r.formula, r.computed, r.n_operands) for r in stale_cells(df).collect())
+    assert got == sorted(f)
+
+
+def test_long_ranges_agree_with_sql(spark, tmp_path):
+    """The query's SQL has no longest range."""
+    rows = [("w", "S", i, k, None, str(i / 7), "num", i / 7) for i in range(1, 3001) for k in (1, 2) if i % 5] + [("w", "S", i, 4, f"=SUM(A{i}:A{i * 9})", str(x := i * 11.5), "num", x) for i in range(1, 331)] + [("w", "S", i, 5, f"=SUM(B{i}:B2990)", "1", "num", 1.0) for i in (2, 7, 300, 2800)]
+    df = spark.createDataFrame(rows, "workbook_id string, sheet string, `row` int, col int, formula string, value string, value_kind string, value_num double")
+    df = df.selectExpr("*", "cast(null as string) addr", "cast(null as string) value_text", "cast(null as date) value_date", "timestamp'2026-01-01 00:00:00' loaded_at")
+    df.coalesce(1).write.parquet(str(tmp_path / "cells.parquet"))
+    got = workbooks.QUERIES["stale_cells"](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute("SET TimeZone = 'UTC'")
+        con.execute(f"CREATE VIEW cells AS SELECT * FROM '{tmp_path}/cells.parquet/*.parquet'")
+        want = con.execute(workbooks.ORACLES["stale_cells"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and max(r.n_operands for r in got.collect()) == 2989
