@@ -17,7 +17,7 @@ from gridloom.functions.formula import Call, FormulaError, area, relative, tree
 from gridloom.functions.ontology import IDENTITIES, ROLES, coefficients, identity_parts, named_roles
 from gridloom.operators.identities import best_signs, residuals, tolerance
 from gridloom.operators.rowmap import SHEET, timeline_runs
-from gridloom.tables import materialise
+from gridloom.tables import broadcast_if_small, materialise
 
 SPANS = "workbook_id string, sheet string, `row` int, sign int, t_sheet string, r1 int, r2 int, delta int, in_sum boolean"
 Span = tuple[int, str, int, int, int, bool]
@@ -31,8 +31,10 @@ HELD_TYPES = {
 }
 #: Rows of Python objects that are handed over at once.
 PIECE = 5_000
-#: A sum over more rows than this is no list of terms (fixed value).
+#: A sum over more rows than this is no list of terms where terms are listed one by one (fixed value).
 MAX_TERMS = 300
+#: Sums over more rows than ``MAX_TERMS`` + 1 add blocks of 2**8 rows, each added up once.
+BLOCK_BITS = 8
 
 
 def linear_terms(formula: str, sheet: str, col: int) -> list[tuple[int, str, int, int, bool]] | None:
@@ -41,10 +43,12 @@ def linear_terms(formula: str, sheet: str, col: int) -> list[tuple[int, str, int
     return spans and [(sign, t, r, delta, in_sum) for sign, t, a, b, delta, in_sum in spans for r in range(a, b + 1)]
 
 
-def linear_spans(formula: str, sheet: str, col: int) -> list[Span] | None:
-    """The same with (first row, last row) in place of each row."""
+def linear_spans(formula: str, sheet: str, col: int, most: int | None = MAX_TERMS) -> list[Span] | None:
+    """The same with (first row, last row) in place of each row; ``most`` None lets sums be of any length."""
     spans = _spans(formula)
-    return spans and [(sign, t or sheet, a, b, c - col, in_sum) for sign, t, a, b, c, in_sum in spans]
+    if spans is None or most is not None and any(b - a > most for _, _, a, b, _, _ in spans):
+        return None
+    return [(sign, t or sheet, a, b, c - col, in_sum) for sign, t, a, b, c, in_sum in spans]
 
 
 @lru_cache(1 << 14)
@@ -57,7 +61,7 @@ def _spans(formula: str) -> list[tuple[int, str | None, int, int, int, bool]] |
 
     def cells(text: str, sign: int, in_sum: bool) -> bool:
         a = area(text)
-        if a is None or a.c1 != a.c2 or a.whole_row or a.r2 - a.r1 > MAX_TERMS or not in_sum and a.r1 != a.r2:
+        if a is None or a.c1 != a.c2 or a.whole_row or not in_sum and a.r1 != a.r2:
             return False
         out.append((sign, a.sheet, a.r1, a.r2, a.c1, in_sum))
         return True
@@ -174,7 +178,12 @@ def subtotal_results(t: DataFrame, kinds: DataFrame, values: DataFrame) -> DataF
 
 def _held_against(both: DataFrame) -> DataFrame:
     """Results of subtotals whose parts count with their signs and whose own values count as -1."""
-    res = both.filter("value is not null").groupBy(*SHEET, "row", "n_terms", "period").agg(F.sum(F.col("sign") * F.col("value")).alias("residual"), F.max(F.abs("value")).alias("scale"), F.count(F.lit(1)).alias("n")).filter("n = n_terms + 1")
+    return _results(both.filter("value is not null").select(*SHEET, "row", "n_terms", "period", "sign", "value", F.abs("value").alias("scale"), F.lit(1).alias("n")))
+
+
+def _results(parts: DataFrame) -> DataFrame:
+    """The same of parts that are one value each or ``n`` of them added up, ``scale`` the largest."""
+    res = parts.groupBy(*SHEET, "row", "n_terms", "period").agg(F.sum(F.col("sign") * F.col("value")).alias("residual"), F.max("scale").alias("scale"), F.sum("n").alias("n")).filter("n = n_terms + 1")
     tol = tolerance(F.max("scale").over(Window.partitionBy(*SHEET, "row")))
     marked = res.withColumn("bad", F.abs("residual") > tol)
     out = marked.groupBy(*SHEET, "row").agg(F.max(F.abs("residual")).alias("max_residual"), F.count_if("bad").alias("n_failing"), F.count(F.lit(1)).alias("n_periods"))
@@ -194,7 +203,7 @@ def _row_of(key: tuple, cols: list, formulas: list, addrs: list, used: list, dat
     book, sheet, row = key
     fs = [(c, f, a) for c, f, a in zip(cols, formulas, addrs) if f is not None and c is not None]
     found = row is not None and any(_spans(f) for _, f, _ in fs)  # else no formula of the row has terms
-    got = [t for c, f in _dominant(fs, row) for t in linear_spans(f, sheet, c) or []] if found else []
+    got = [t for c, f in _dominant(fs, row) for t in linear_spans(f, sheet, c, None) or []] if found else []
     return book, sheet, row, got, any(used), cols, vals, [(c, d) for c, is_date, d in zip(cols, dated, dates) if is_date]
 
 
@@ -261,10 +270,38 @@ def held_subtotals(rows: DataFrame) -> DataFrame:
         *SHEET, "row", "terms", F.aggregate("terms", F.lit(0).cast("bigint"), lambda n, x: n + x["r2"] - x["r1"] + 1).alias("n_terms"), F.array_min(deltas).alias("lo"), F.array_max(deltas).alias("hi"), F.array_min(F.transform("terms", lambda x: x["sign"])).alias("_s"),
         F.size(F.array_distinct(other)).alias("n_other"), F.size(F.filter("terms", lambda x: x["t_sheet"] == F.col("sheet"))).alias("n_own"),
     ).filter(_kind().isin("subtotal", "consolidation"))
-    part = kinds.select(*SHEET, "row", "n_terms", F.explode(F.concat("terms", F.array(total))).alias("x")).select(*SHEET, "row", "n_terms", "x.sign", "x.t_sheet", F.explode(F.sequence("x.r1", "x.r2")).alias("t_row"))
+    spans = kinds.select(*SHEET, "row", "n_terms", F.explode(F.concat("terms", F.array(total))).alias("x")).select(*SHEET, "row", "n_terms", "x.sign", "x.t_sheet", "x.r1", "x.r2")
+    few, many = spans.filter(F.col("n_terms") <= MAX_TERMS + 1), spans.filter(F.col("n_terms") > MAX_TERMS + 1)
+    part = few.select(*SHEET, "row", "n_terms", "sign", "t_sheet", F.explode(F.sequence("r1", "r2")).alias("t_row"))
     both = part.join(valued, ["workbook_id", "t_sheet", "t_row"]).select(*SHEET, "row", "n_terms", "sign", "period", "value").repartition(*SHEET, "row")
     each = both.select(*SHEET, "row", "n_terms", "sign", F.explode(F.arrays_zip("period", "value")).alias("x")).select(*SHEET, "row", "n_terms", "sign", "x.*")
-    return _held_against(each)
+    out = _held_against(each)
+    return out if many.isEmpty() else out.unionByName(_held_long(materialise(many), valued))
+
+
+def _held_long(spans: DataFrame, valued: DataFrame) -> DataFrame:
+    """The same for sums over many rows: whole blocks of rows are added up once, whatever the number of sums that hold them.
+
+    ``spans`` has r1 and r2 and the sheet they lie on, ``valued`` a row's values by period. A sum over rows that are not
+    all there has no result, as one of fewer rows.
+    """
+    size, key = 1 << BLOCK_BITS, ["workbook_id", "t_sheet"]
+    sheets = materialise(spans.select(*key).distinct())
+    there = materialise(valued.join(broadcast_if_small(sheets, sheets.count()), key, "left_semi"))
+    ends = there.groupBy(*key).agg(F.min("t_row").alias("lo"), F.max("t_row").alias("hi"))
+    first, last = F.shiftright(F.col("r1") + (size - 1), BLOCK_BITS), F.shiftright(F.col("r2") + 1, BLOCK_BITS) - 1  # whole blocks
+    cut = spans.join(ends, key).filter("r1 >= lo and r2 <= hi").withColumn("first", first).withColumn("last", last)
+    whole = F.col("first") <= F.col("last")
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    single = F.when(whole, F.concat(run(F.col("r1"), F.col("first") * size - 1), run((F.col("last") + 1) * size, F.col("r2")))).otherwise(run(F.col("r1"), F.col("r2")))
+    by_period = lambda df, *c: df.select(*c, F.explode(F.arrays_zip("period", "value")).alias("x")).select(*c, "x.*").filter("value is not null")
+    own = [*SHEET, "row", "n_terms", "sign"]
+    rows = by_period(cut.withColumn("t_row", F.explode(single)).join(there, [*key, "t_row"]), *own).withColumn("scale", F.abs("value")).withColumn("n", F.lit(1).cast("bigint"))
+    asked = cut.filter(whole).withColumn("block", F.explode(F.sequence("first", "last"))).select(*own, "t_sheet", "block")
+    block = there.withColumn("block", F.shiftright("t_row", BLOCK_BITS)).join(asked.select(*key, "block").distinct(), [*key, "block"], "left_semi")
+    block = by_period(block, *key, "block").groupBy(*key, "block", "period").agg(F.sum("value").alias("value"), F.max(F.abs("value")).alias("scale"), F.count(F.lit(1)).alias("n"))
+    blocks = asked.join(block, [*key, "block"]).select(*own, "period", "value", "scale", "n")
+    return _results(rows.unionByName(blocks))
 
 
 #: How sheet names name a block.

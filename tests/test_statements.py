@@ -188,3 +188,43 @@ def test_query_writes_one_table_of_rows_before_its_result(spark, tmp_path, monke
 
 def test_relative_forms_of_odd_references():
     assert [relative(f, 2, 2) for f in ("=A0+$B$3", "='a!b'!C3:D$4*2", "=0:0+$A:B", "=(", "=A1+(#")] == ["=R[-2]C[-1]+R3C2", "='a!b'!R[1]C[1]:R4C[2]*2", "=R[-2]:R[-2]+C1:C", "=(", "=R[-1]C[-1]+(#"]
+
+
+def _long_sums(spark):
+    """Sums over more rows than 301, of own and other rows, with a blank, a text and a missing row; a whole column."""
+    rows = {}
+
+    def put(sheet, row, col, value=None, formula=None, kind="num"):
+        num, day = (value, None) if kind == "num" else (None, value if kind == "date" else None)
+        rows[sheet, row, col] = ("w", sheet, row, col, f"{column_letters(col)}{row}", formula, None if value is None else str(value), kind, num, None, day)
+
+    for sheet, gap in (("A", 0), ("B", 1500)):
+        for i, d in enumerate(DAYS5):
+            c = column_letters(4 + i)
+            put(sheet, 2, 4 + i, d, kind="date")
+            for r in range(3, 2003):
+                if r != gap:
+                    put(sheet, r, 4 + i, float(r % 89 + i))
+            if sheet == "A":
+                put(sheet, 700, 4, "n/a", kind="text")
+                put(sheet, 701, 5, None)
+            added = lambda a, b: float(sum(rows[sheet, r, 4 + i][8] or 0.0 for r in range(a, b + 1) if (sheet, r, 4 + i) in rows))  # noqa: B023, E731
+            for at, a, b in ((3000, 3, 304), (3001, 3, 2002), (3002, 256, 767), (3003, 255, 1100), (3004, 701, 1003), (3005, 3, 303), (3006, 900, 2500)):
+                put(sheet, at, 4 + i, added(a, b) + (5.0 if i == 2 else 0.0), f"=SUM({c}{a}:{c}{b})")
+            put(sheet, 3100, 4 + i, added(3, 1200) - added(1300, 1310), f"=SUM({c}3:{c}700,{c}701:{c}1200)-SUM({c}1300:{c}1310)")
+            put(sheet, 3101, 4 + i, 0.0, f"=SUM({c}:{c})")
+    df = spark.createDataFrame(list(rows.values()), "workbook_id string, sheet string, `row` int, col int, addr string, formula string, value string, value_kind string, value_num double, value_text string, value_date date")
+    return df.selectExpr("*", "timestamp'2026-01-01 00:00:00' loaded_at")
+
+
+LONG_SUMS = {("A", 3000): (1, 5), ("A", 3001): (1, 4), ("A", 3002): (1, 4), ("A", 3003): (1, 4), ("A", 3004): (1, 5), ("A", 3005): (1, 5), ("B", 3000): (1, 5), ("B", 3002): (1, 5), ("B", 3003): (1, 5), ("B", 3004): (1, 5), ("B", 3005): (1, 5)}
+
+
+def test_sums_over_any_number_of_rows_are_held_against_their_parts(spark, tmp_path):
+    """A sum over more than 301 rows had no result."""
+    _long_sums(spark).coalesce(1).write.parquet(str(tmp_path / "cells.parquet"))
+    out = workbooks.QUERIES["subtotal_results"](spark, str(tmp_path))
+    got = {(r.sheet, r.row): r for r in out.collect()}
+    assert {k: (r.n_failing, r.n_periods) for k, r in got.items()} == LONG_SUMS | {("A", 3100): (0, 4), ("B", 3100): (0, 5)}
+    assert all(r.max_residual == pytest.approx(5.0 if r.n_failing else 0.0, abs=1e-6) and r.status == ("fails" if r.n_failing else "holds") for r in got.values())
+    assert linear_spans("=SUM(D1:D302)", "S", 4) is None and linear_spans("=SUM(D1:D302)", "S", 4, None) == [(1, "S", 1, 302, 0, True)]  # terms listed one by one stay as their SQL has them
