@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,17 @@ def test_sums_over_any_number_of_rows_are_held_against_their_parts(spark, tmp_pa
     assert {k: (r.n_failing, r.n_periods) for k, r in got.items()} == LONG_SUMS | {("A", 3100): (0, 4), ("B", 3100): (0, 5)}
     assert all(r.max_residual == pytest.approx(5.0 if r.n_failing else 0.0, abs=1e-6) and r.status == ("fails" if r.n_failing else "holds") for r in got.values())
     assert linear_spans("=SUM(D1:D302)", "S", 4) is None and linear_spans("=SUM(D1:D302)", "S", 4, None) == [(1, "S", 1, 302, 0, True)]  # terms listed one by one stay as their SQL has them
+
+
+def test_verdicts_of_long_sums_agree_with_sql(spark, tmp_path):
+    """Both sides left out sums over more than 301 rows."""
+    _long_sums(spark).coalesce(1).write.parquet(str(tmp_path / "cells.parquet"))
+    df = workbooks.QUERIES["subtotal_verdicts"](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute("SET TimeZone = 'UTC'")
+        con.execute(f"CREATE VIEW cells AS SELECT * FROM '{tmp_path}/cells.parquet/*.parquet'")
+        res = con.execute(workbooks.ORACLES["subtotal_verdicts"])
+        want = sorted(dict(zip([c[0] for c in res.description], r)).items() for r in res.fetchall())
+    got = {(r.sheet, r.row): (r.n_failing, r.n_periods) for r in df.collect()}
+    plain = {k: v for k, v in got.items() if k[1] < 3100}  # SQL reads sums of one range
+    assert plain == LONG_SUMS and sorted(sorted(r.asDict().items()) for r in df.collect() if r.row < 3100) == sorted(map(sorted, want))
